@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trussline.llm import forest, language_id, matroska, mixing, pieces, pii, simhash
+from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.vector_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_rp_forest": op3_rp_forest,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_pii": op6_pii,
