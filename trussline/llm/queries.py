@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, simhash
+from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_rp_forest": op3_rp_forest,
+        "op4_token_counts": op4_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
