@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, simhash, token_counts
+from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, quotes, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": op5_sentencepiece,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
+        "op8_quotation_linking": op8_quotation_linking,
         "op9_simhash": op9_simhash,
         "op10_matroska": op10_matroska,
     }
