@@ -26,7 +26,8 @@ UNMARKED = "\ud801"
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: An unknown character costs this much more than the rarest piece.
 UNKNOWN = 10.0
-CACHE_WORDS = 1 << 18
+#: Words of a worker's cache, about 200 bytes each, and the length up to which one is kept.
+CACHE_WORDS, KEEP = 1 << 20, 64
 
 
 class Pieces:
@@ -81,6 +82,39 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
+def relax(pieces: Pieces, text: str, best: list[float], back: list[int], start: int, stop: int) -> None:
+    """Extend the best paths from the positions from ``start`` to before ``stop``; equal scores keep the earlier start."""
+    prefixes, scores, worst, size = pieces.prefixes, pieces.scores, pieces.worst, len(text) + 1
+    for i in range(start, stop):
+        base = best[i]
+        for j in range(i + 1, size):
+            part = text[i:j]
+            if part not in prefixes:
+                break
+            score = scores.get(part)
+            if score is not None and base + score > best[j]:
+                best[j] = base + score
+                back[j] = i
+        if base + worst > best[i + 1]:
+            best[i + 1] = base + worst
+            back[i + 1] = i
+
+
+def follow(pieces: Pieces, text: str, back: list[int], end: int) -> list[int]:
+    """Ids on the best path to ``end``."""
+    out: list[int] = []
+    while end > 0:
+        start = back[end]
+        own = pieces.ids.get(part := text[start:end])
+        if own is not None:
+            out.append(own)
+        else:
+            out += [pieces.byte_ids[b] for b in reversed(part.replace(LITERAL, SPACE).encode())]
+        end = start
+    out.reverse()
+    return out
+
+
 class Viterbi:
     """Best segmentation of a stream of characters, committed as it becomes certain.
 
@@ -112,19 +146,7 @@ class Viterbi:
         return self._ids(len(self.text))
 
     def _advance(self, stop: int) -> None:
-        text, best, back, prefixes, scores = self.text, self.best, self.back, self.pieces.prefixes, self.pieces.scores
-        size = len(text)
-        for i in range(self.at, stop):
-            base = best[i]
-            for j in range(i + 1, size + 1):
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                score = scores.get(part)
-                if score is not None and base + score > best[j]:
-                    best[j], back[j] = base + score, i
-            if text[i] not in scores and base + self.pieces.worst > best[i + 1]:
-                best[i + 1], back[i + 1] = base + self.pieces.worst, i
+        relax(self.pieces, self.text, self.best, self.back, self.at, stop)
         self.at = stop
 
     def _commit(self) -> list[int]:
@@ -142,14 +164,7 @@ class Viterbi:
         return ids
 
     def _ids(self, end: int) -> list[int]:
-        cuts = [end]
-        while cuts[-1] > 0:
-            cuts.append(self.back[cuts[-1]])
-        out, pieces = [], self.pieces
-        for i, j in zip(cuts[:0:-1], cuts[-2::-1]):
-            own = pieces.ids.get(part := self.text[i:j])
-            out += [own] if own is not None else [pieces.byte_ids[b] for b in part.replace(LITERAL, SPACE).encode()]
-        return out
+        return follow(self.pieces, self.text, self.back, end)
 
 
 def encode_stream(pieces: Pieces, chunks: Iterable[str]) -> Iterator[int]:
@@ -197,9 +212,14 @@ def _stretch(pieces: Pieces, cache: dict[str, bytes], key: str) -> bytes:
 
 
 def _kept(pieces: Pieces, cache: dict[str, bytes], key: str, marked: str) -> bytes:
-    run = Viterbi(pieces)
-    packed = array("i", run.push(marked) + run.finish()).tobytes()
-    if len(key) <= 64:
+    size = len(marked)
+    if size > KEEP:
+        run = Viterbi(pieces)
+        return array("i", run.push(marked) + run.finish()).tobytes()
+    best, back = [0.0] + [float("-inf")] * size, [0] * (size + 1)
+    relax(pieces, marked, best, back, 0, size)
+    packed = array("i", follow(pieces, marked, back, size)).tobytes()
+    if key not in cache:
         if len(cache) >= CACHE_WORDS:
             cache.clear()
         cache[key] = packed
