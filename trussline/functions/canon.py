@@ -120,4 +120,4 @@ def fingerprint(check_id: Column, code: Column, subject: Column, state: Column,
     """SHA-256 of the canonical identity of a finding. ``refs`` is an array of strings; order and repeats don't count."""
     refs = F.array_sort(F.array_distinct(F.transform(refs, lambda x: x)))
     identity = F.to_json(F.struct(check_id.alias("check_id"), code.alias("code"), refs.alias("evidence_refs"), state.alias("observed_state"), subject.alias("subject_id")))
-    return F.sha2(canonical_json(identity), 256)
+    return F.sha2(F.concat(canonical_json(identity), F.lit("\n")), 256)

@@ -17,14 +17,10 @@ def _findings(rows: DataFrame, check_id: str, code: str | Column, subject: Colum
     return rows.select("package_id", F.lit(check_id).alias("check_id"), as_column(code).alias("code"), subject.cast("string").alias("subject_id"), state.cast("string").alias("observed_state"), as_column(disposition).alias("disposition"))
 
 
-def capability_minimum(capabilities: DataFrame, minima: DataFrame, packages: DataFrame, check_id: str = "capability", on_fail: str = "fail") -> DataFrame:
-    """Findings for capabilities below their minimum, or missing. Tables (package_id, capability, level), (capability, minimum).
-
-    The minima are a policy's, at most a few hundred rows.
-    """
-    wanted = packages.select("package_id").crossJoin(F.broadcast(minima)) if minima.limit(1025).count() <= 1024 else None
-    if wanted is None:
-        raise ValueError("a policy has at most 1024 minima")
+def capability_minimum(capabilities: DataFrame, minima: dict[str, str], packages: DataFrame, check_id: str = "capability", on_fail: str = "fail") -> DataFrame:
+    """Findings for capabilities (package_id, capability, level) below a policy's minimum level, or missing."""
+    entries = F.array(*[F.struct(F.lit(c).alias("capability"), F.lit(m).alias("minimum")) for c, m in sorted(minima.items())])
+    wanted = packages.select("package_id").distinct().select("package_id", F.inline(entries))
     seen = wanted.join(capabilities, ["package_id", "capability"], "left")
     low = rank(F.col("level"), SUPPORT_LEVELS, other=-1) < rank(F.col("minimum"), SUPPORT_LEVELS)
     code = F.when(F.col("level").isNull(), "CAPABILITY_MISSING").otherwise("CAPABILITY_BELOW_MINIMUM")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trussline.storage import stored
+
 
 def entity_endpoints(endpoints: DataFrame, entities: DataFrame, on: str = "record_id") -> DataFrame:
     """Endpoints whose record is an entity."""
@@ -22,12 +24,12 @@ def lineage(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFram
     Breadth first: each round joins the newest nodes with the edges and keeps those not reached before, so cycles end and
     a node has its least depth. Rounds are bounded by ``max_depth``; going deeper is an error, not a cut.
     """
-    reached = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    front, depth = reached, 0
+    front = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "lineage")
+    reached, depth = front, 0
     while True:
         depth += 1
         step = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        front = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = stored(step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
         if front.isEmpty():
             return reached
         if depth > max_depth:
