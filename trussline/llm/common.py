@@ -1,48 +1,15 @@
-"""What the operators of this subpackage share: intermediate tables, Arrow batches and fold tests."""
+"""What the operators of this subpackage share: Arrow batches and fold tests, beside the intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a local folder
-    is set for this session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="trussline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, so that a table used by several jobs is computed once and a lost executor costs a reread.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+from trussline.storage import drop_stored, shared_dir, stored  # noqa: F401  the operators take them from here
 
 
 def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = 512) -> DataFrame:
