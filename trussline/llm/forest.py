@@ -41,10 +41,22 @@ class Tree:
     leaves: int
 
 
+def _sparse_cut(spread: np.ndarray, spill: float) -> float:
+    """The quantile to split at: near the middle, but not through a crowd.
+
+    Each candidate costs its distance from the middle and the share of rows within twice ``spill`` of it, so evenly
+    spread rows split at the median and a group of close copies stays on one side.
+    """
+    shares = np.concatenate([[0.02], np.arange(0.05, 0.96, 0.05), [0.98]])
+    at = np.quantile(spread, shares)
+    crowd = np.searchsorted(spread, at + 2 * spill) - np.searchsorted(spread, at - 2 * spill)
+    return float(shares[np.argmin(crowd / len(spread) + np.abs(shares - 0.5))])
+
+
 def grow(unit: np.ndarray, stop: int, settings: ForestSettings, seed: int) -> Tree:
-    """Split at the median of a random direction until ``stop`` rows are left.
+    """Split along random directions, at the median or a sparser place, until ``stop`` rows are left.
 
-    Rows within ``spill`` of the median go to both sides, but no more than ``most_spill`` of the rows on either side of
+    Rows within ``spill`` of the split go to both sides, but no more than ``most_spill`` of the rows on either side of
     it. A node of mutually similar rows (a long mean vector) is a leaf whatever its size: cutting it would lose links.
     """
     rng = np.random.default_rng(seed)
@@ -57,7 +69,8 @@ def grow(unit: np.ndarray, stop: int, settings: ForestSettings, seed: int) -> Tr
             direction = rng.standard_normal(unit.shape[1])
             direction /= np.linalg.norm(direction)
             spread = unit[own] @ direction
-            q = np.quantile(spread, [0.5 - settings.most_spill, 0.5, 0.5 + settings.most_spill])
+            cut = _sparse_cut(np.sort(spread), settings.spill)
+            q = np.quantile(spread, np.clip([cut - settings.most_spill, cut, cut + settings.most_spill], 0, 1))
             lo, hi = max(q[0], q[1] - settings.spill), min(q[2], q[1] + settings.spill)
             halves = [own[spread <= hi], own[spread >= lo]]
             if max(map(len, halves)) == len(own):
