@@ -127,21 +127,21 @@ def fit_sample(docs: DataFrame, train: Column, settings: KernelSettings) -> tupl
     return [r.text for r in chosen], [r.lang for r in chosen]
 
 
-def predict_language(docs: DataFrame, train: Column, settings: KernelSettings = KernelSettings()) -> DataFrame:
-    """``docs`` with lang_pred string and score double, learned from the rows where ``train`` holds.
+def predict_language(docs: DataFrame, train: Column, settings: KernelSettings = KernelSettings(), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with a language (string) and a score (double) in columns of these names, learned where ``train`` holds.
 
     Reads whole texts only: lang and other columns take no part in a prediction. ``und`` with score 0 is given to null
-    texts, texts without a letter, and all texts if nothing can be learned; an existing lang_pred or score column is
+    texts, texts without a letter, and all texts if nothing can be learned; existing columns of the two names are
     replaced. Equal texts get equal predictions, an equal score goes to the language first in order.
     """
     model = fit(*fit_sample(docs.select("doc_id", "lang", "text", train.alias("__train")), F.col("__train"), settings), settings)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in names]
     fields = docs.select(*keep).schema
     at = keep.index("text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, best = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
+            told, best = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column(at).to_pylist()
             for low in range(0, len(texts) if model else 0, 64):
                 own = [spectrum(t, model.order) for t in texts[low : low + 64]]
@@ -149,12 +149,12 @@ def predict_language(docs: DataFrame, train: Column, settings: KernelSettings =
                 if known:
                     share = scores(model, [own[k] for k in known])
                     for k, row in zip(known, share):
-                        names[low + k], best[low + k] = model.languages[int(row.argmax())], float(row.max())
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(best)], [*batch.schema.names, "lang_pred", "score"])
+                        told[low + k], best[low + k] = model.languages[int(row.argmax())], float(row.max())
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string()), pa.array(best)], [*batch.schema.names, *names])
 
         return work
 
-    return map_rows(docs.select(*keep), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), make)
+    return map_rows(docs.select(*keep), T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]), make)
 
 
 def language_report(docs: DataFrame, settings: KernelSettings = KernelSettings()) -> DataFrame:
@@ -168,5 +168,5 @@ def language_report(docs: DataFrame, settings: KernelSettings = KernelSettings()
 def keep_identified(docs: DataFrame, settings: KernelSettings = KernelSettings(), least: float = 0.3) -> DataFrame:
     """Rows whose language is told with at least ``least`` of the score, with the columns of ``docs``."""
     held_out = in_fold(F.col("doc_id"), 4, 2)
-    told = predict_language(docs, ~held_out & F.col("doc_id").isNotNull(), settings)
-    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    told = predict_language(docs, ~held_out & F.col("doc_id").isNotNull(), settings, ("__language", "__score"))
+    return told.filter((F.col("__language") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
