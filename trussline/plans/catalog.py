@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
-from trussline.operators import context, diff, gate, geometry, graph, inference, query, trust
+from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, providers, query, trust
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -541,3 +541,94 @@ def probe_kind(spark, d):
 def support_ordinals(spark, d):
     level = F.when(F.col("p_size") >= 40, "full").when(F.col("p_size") >= 25, "partial").when(F.col("p_size") >= 10, "opaque").otherwise("unsupported")
     return table(spark, d, "part").select(level.alias("level")).groupBy(rank(F.col("level"), SUPPORT_LEVELS).alias("ordinal"), "level").agg(F.count("*").alias("n"))
+
+
+# ---- drawings and providers
+
+
+@register("""WITH e AS (SELECT user_id, event_id, event_type, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS t FROM events)
+SELECT user_id, CASE WHEN p < t THEN p END AS path, count(*) AS n, min(event_id) AS first_id FROM e GROUP BY 1, 2""")
+def path_grouping(spark, d):
+    ops = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("op"))
+    return drawings.group_paths(ops, ["user_id"], ("purchase",)).groupBy("user_id", "path").agg(F.count("*").alias("n"), F.min("seq").alias("first_id"))
+
+
+@register("""WITH RECURSIVE e AS (SELECT p_partkey AS parent, (p_partkey * 7 + 3) % 400 AS child FROM part WHERE p_partkey < 400 AND p_size > 20),
+w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth, [p_partkey] AS way, 'ok' AS status FROM part WHERE p_partkey < 40
+UNION ALL SELECT w.root, e.child, w.depth + 1, list_append(w.way, e.child), CASE WHEN list_contains(w.way, e.child) THEN 'cycle' WHEN w.depth + 1 > 8 THEN 'too_deep' ELSE 'ok' END FROM w JOIN e ON e.parent = w.node WHERE w.status = 'ok')
+SELECT root, node, depth, status FROM w""")
+def reference_walk(spark, d):
+    p = table(spark, d, "part")
+    unit = F.array(*[F.lit(1.0 if k % 5 == 0 else 0.0) for k in range(16)])
+    edges = p.filter("p_partkey < 400 and p_size > 20").select(F.col("p_partkey").alias("parent"), ((F.col("p_partkey") * 7 + 3) % 400).alias("child"), unit.alias("matrix"))
+    return drawings.walk(edges, p.filter("p_partkey < 40").select(F.col("p_partkey").alias("root")), 8).drop("matrix")
+
+
+@register("SELECT p_partkey, round(p_size + p_size * cos(pi() * k / 4), 6) AS x, round(p_size * sin(pi() * k / 4), 6) AS y FROM part, generate_series(0, 4) g(k)")
+def arc_sampling(spark, d):
+    r = F.col("p_size").cast("double")
+    points = drawings.arc_points(r, F.lit(0.0), r, F.lit(0.0), F.acos(F.lit(-1.0)), 4)
+    rows = table(spark, d, "part").select("p_partkey", F.explode(points).alias("p"))
+    return rows.select("p_partkey", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
+
+
+@register("""SELECT CASE c_custkey % 6 WHEN 0 THEN 'explicit_null' WHEN 1 THEN 'not_applicable' WHEN 2 THEN 'known' WHEN 3 THEN 'unknown' WHEN 4 THEN 'known' ELSE 'unsupported' END AS state, CASE c_custkey % 6 WHEN 2 THEN c_name WHEN 4 THEN c_mktsegment END AS value, c_custkey FROM customer""")
+def attribute_states(spark, d):
+    k = F.col("c_custkey") % 6
+    quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    text = F.when(k == 0, "$").when(k == 1, "*").when(k == 2, quoted("c_name")).when(k == 3, ".U.").when(k == 4, F.concat(F.lit("IFCLABEL("), quoted("c_mktsegment"), F.lit(")"))).otherwise("(1,2)")
+    state = drawings.attribute_state(text)
+    return table(spark, d, "customer").select(state["state"].alias("state"), state["value"].alias("value"), "c_custkey")
+
+
+@register("""WITH c AS (SELECT s_nationkey AS package_id, count(*) FILTER (s_acctbal > 3000) AS supported, count(*) AS total FROM supplier GROUP BY 1)
+SELECT package_id, 'geometry' AS capability, CASE WHEN supported = total THEN 'full' WHEN supported > 0 THEN 'partial' ELSE 'opaque' END AS level, CASE WHEN supported = total THEN NULL WHEN supported > 0 THEN 'GEOMETRY_PARTIAL' ELSE 'GEOMETRY_OPAQUE' END AS reason, total - supported AS affected FROM c""")
+def capability_derivation(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("package_id"), F.lit("geometry").alias("capability"), (F.col("s_acctbal") > 3000).cast("long").alias("supported"), F.lit(1).cast("long").alias("total"))
+    return drawings.derive_capabilities(s)
+
+
+@register("""WITH n AS (SELECT c_nationkey AS k, count(*) FILTER (c_custkey % 40 = 0) AS conv, count(*) FILTER (c_custkey % 50 = 0) AS sys FROM customer GROUP BY 1)
+SELECT k, CASE WHEN conv = 0 AND sys = 0 THEN 'none' WHEN conv > 1 OR sys > 1 THEN 'conflicted' WHEN conv = 0 OR sys = 0 THEN 'incomplete' WHEN k % 2 = 0 THEN 'unit_conflict' ELSE 'known' END AS state FROM n""")
+def georeference(spark, d):
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count_if(F.col("c_custkey") % 40 == 0).alias("conv"), F.count_if(F.col("c_custkey") % 50 == 0).alias("sys"))
+    odd = F.col("k") % 2 == 1
+    return n.select("k", drawings.georeference_state(F.col("conv"), F.col("sys"), F.when(odd, 1.0), F.lit("m"), F.lit("mm")).alias("state"))
+
+
+@register("""SELECT o_custkey AS package_id, 'has F' AS requirement, o_orderkey AS id, 'REQUIREMENT_UNMET' AS code FROM orders o WHERE o_orderpriority = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')
+UNION ALL SELECT o_custkey, 'no R', o_orderkey, 'REQUIREMENT_PROHIBITED' FROM orders o WHERE o_orderpriority = '2-HIGH' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag IN ('R', 'N'))""")
+def requirement_findings(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    instances = o.select(F.col("o_custkey").alias("package_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("original_class"))
+    held = li.select(F.col("l_orderkey").alias("id"), F.expr("stack(2, 'status', l_linestatus, 'flag', l_returnflag) as (name, value)"))
+    properties = held.join(instances.select("package_id", "id"), "id")
+    wanted = [{"name": "has F", "entity": "1-URGENT", "property": "status", "value": "F"}, {"name": "no R", "entity": "2-HIGH", "property": "flag", "pattern": "R|N", "cardinality": "prohibited"}]
+    return drawings.requirement_findings(instances, properties, wanted)
+
+
+@register("""WITH o AS (SELECT l_orderkey AS package_id, l_suppkey AS handle, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) - 1 AS occurrence, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS times FROM lineitem)
+SELECT package_id, handle, occurrence, CASE WHEN times > 1 THEN 'conflicted' WHEN handle % 3 = 0 THEN 'unmatched' ELSE 'matched' END AS state FROM o""")
+def handle_match(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("package_id"), F.col("l_suppkey").alias("handle"), F.struct("l_linenumber", "l_partkey").alias("place"))
+    out = providers.match_handles(li, li.filter("handle % 3 <> 0"))
+    return out.withColumn("occurrence", F.col("occurrence").cast("long"))
+
+
+@register("""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 9 = 0 THEN 'b' ELSE 'a' END AS p, CASE WHEN o_orderkey % 8 = 0 THEN 'x' ELSE 'a' END AS att, o_orderstatus AS payload, sha256(CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE o_orderstatus END) AS sha FROM orders)
+SELECT o_orderkey AS response_id, 'RESPONSE_REQUEST_UNKNOWN' AS code FROM r WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT o_orderkey, 'RESPONSE_PROVIDER_MISMATCH' FROM r WHERE p <> 'a' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT o_orderkey, 'RESPONSE_ATTESTATION_MISMATCH' FROM r WHERE att <> p UNION ALL SELECT o_orderkey, 'RESPONSE_PAYLOAD_MISMATCH' FROM r WHERE sha <> sha256(payload)""")
+def response_validation(spark, d):
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    requests = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("request_id"), F.lit("a").alias("provider_id"))
+    said = F.sha2(F.when(key % 10 == 0, "x").otherwise(F.col("o_orderstatus")), 256)
+    responses = o.select(key.alias("response_id"), F.col("o_custkey").alias("request_id"), F.when(key % 9 == 0, "b").otherwise("a").alias("provider_id"), F.col("o_orderstatus").alias("payload"), said.alias("payload_sha256"), F.when(key % 8 == 0, "x").otherwise("a").alias("attested_provider"))
+    none = responses.select("response_id", F.col("payload").alias("content"), F.sha2("payload", 256).alias("sha256"))
+    return providers.check_responses(requests, responses, none)
+
+
+@register("""SELECT c_custkey, 'request_' || substr(sha256('{"a":"' || c_mktsegment || '","b":' || c_nationkey || '}' || chr(0) || sha256(c_name)), 1, 24) AS request_id FROM customer""")
+def request_ids(spark, d):
+    text = F.format_string('{"b": %d, "a": "%s"}', "c_nationkey", "c_mktsegment")
+    return table(spark, d, "customer").select("c_custkey", providers.request_id(text, F.sha2("c_name", 256)).alias("request_id"))
