@@ -547,10 +547,10 @@ def support_ordinals(spark, d):
 
 
 @register("""WITH e AS (SELECT user_id, event_id, event_type, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS t FROM events)
-SELECT user_id, CASE WHEN p < t THEN p END AS path, count(*) AS n, min(event_id) AS first_id FROM e GROUP BY 1, 2""")
+SELECT user_id, CASE WHEN p < t THEN p ELSE -1 END AS path, count(*) AS n, min(event_id) AS first_id FROM e GROUP BY 1, 2""")
 def path_grouping(spark, d):
     ops = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("op"))
-    return drawings.group_paths(ops, ["user_id"], ("purchase",)).groupBy("user_id", "path").agg(F.count("*").alias("n"), F.min("seq").alias("first_id"))
+    return drawings.group_paths(ops, ["user_id"], ("purchase",)).groupBy("user_id", F.coalesce("path", F.lit(-1)).alias("path")).agg(F.count("*").alias("n"), F.min("seq").alias("first_id"))
 
 
 @register("""WITH RECURSIVE e AS (SELECT p_partkey AS parent, (p_partkey * 7 + 3) % 400 AS child FROM part WHERE p_partkey < 400 AND p_size > 20),
