@@ -115,7 +115,7 @@ def _lookalike_pattern() -> re.Pattern[str]:
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+|&#0*46;|&period;)"
-_AT = rf"(?:\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|&#0*64;|&commat;)"
+_AT = rf"(?:\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|&#0*64;|&commat;|[ \t]+@[ \t]+)"
 _LABEL = r"[A-Za-z0-9-]+"
 _WORD = r"[A-Za-z0-9_%+-]+"
 #: A local part, a disguised at, and a domain with plain or disguised dots. A bare word "at" needs a disguised dot.
@@ -123,16 +123,20 @@ _MAIL = re.compile(
     rf"(?<![A-Za-z0-9_%+-])(?:{_WORD}{_DOT})?[A-Za-z0-9._%+-]++(?:(?P<at>{_AT}){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|(?P<bare>\s+at\s+){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+|(?P<plain>\s*@\s*){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+)",
     re.IGNORECASE,
 )
-_MAIL_HINT = re.compile(rf"{_OPEN}\s*(?:at|@|dot|\.)\s*{_CLOSE}|\sdot\s|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
+_MAIL_HINT = re.compile(rf"{_OPEN}\s*(?:at|@|dot|\.)\s*{_CLOSE}|\sdot\s|[ \t]@[ \t]|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
+#: Four numbers with disguised dots between, plain ones among them.
+_ADDRESS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _DOT_ONLY = re.compile(_DOT, re.IGNORECASE)
-_NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
+_VALUES = {word: str(k) for k, word in enumerate(_NUMBERS)} | {"oh": "0"}
+_NUMBER = "(?:" + "|".join(_VALUES) + ")"
+_TIMES = {"double": 2, "triple": 3}
 #: Runs with three number words or more, with digits, pluses and dots among them.
 _SPELLED = re.compile(
-    rf"(?:(?:\bplus\s+|\+\s?)|\b)(?:(?:{_NUMBER}|dot|point|[0-9]+)[ \t\n.\-]+|[0-9.]+(?=[a-z])){{0,8}}?{_NUMBER}(?:(?:[ \t\n.\-]+|(?<=[0-9])|(?=[0-9]))(?:{_NUMBER}|dot|point|[0-9]+)\b)+",
+    rf"(?:(?:\bplus\s+|\+\s?)|\b)(?:(?:{_NUMBER}|double|triple|dot|point|[0-9]+)[ \t\n.,\-]+|[0-9.]+(?=[a-z])){{0,8}}?{_NUMBER}(?:(?:[ \t\n.,\-]+|(?<=[0-9])|(?=[0-9]))(?:{_NUMBER}|double|triple|dot|point|[0-9]+)\b)+",
     re.IGNORECASE,
 )
-_SPELLED_TOKEN = re.compile(rf"plus\s+|\+|{_NUMBER}|[\s\-]*\b(?:dot|point)\b[\s\-]*|\s*\.\s*|[0-9]+|[\s\-]+", re.IGNORECASE)
-_NUMBER_ENDS = [word + end for word in _NUMBERS for end in " \t\n.-"]
+_SPELLED_TOKEN = re.compile(rf"plus\s+|\+|double|triple|{_NUMBER}|[\s\-]*\b(?:dot|point)\b[\s\-]*|\s*\.\s*|[0-9]+|[\s,\-]+", re.IGNORECASE)
+_NUMBER_ENDS = [word + end for word in _VALUES for end in " \t\n.,-"]
 _INVISIBLE_RUN = re.compile(f"[{_INVISIBLE}]+")
 
 
@@ -171,18 +175,23 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, m.start(), low)]
         edits.append((low, high, "@"))
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, high, m.end())]
-    return edits
+    for m in _ADDRESS.finditer(text):
+        edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, m.start(), m.end())]
+    return sorted(edits)
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
-        run, words = [], 0
+        run, words, times = [], 0, 1
         for t in _SPELLED_TOKEN.finditer(text, m.start(), m.end()):
-            word = t[0].strip(" \t\n\r\f\v-").lower()
-            if word in _NUMBERS:
-                run.append((t.start(), t.end(), str(_NUMBERS.index(word))))
-                words += 1
+            word = t[0].strip(" \t\n\r\f\v,-").lower()
+            if word in _VALUES:
+                run.append((t.start(), t.end(), _VALUES[word] * times))
+                words, times = words + 1, 1
+            elif word in _TIMES:
+                run.append((t.start(), t.end(), ""))
+                times = _TIMES[word]
             elif word in ("plus", "+"):
                 run.append((t.start(), t.end(), "+"))
             elif word in ("dot", "point", "."):
