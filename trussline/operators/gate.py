@@ -12,6 +12,16 @@ from trussline.model import SEVERITIES, SUPPORT_LEVELS, rank, worst
 FINDING = ("package_id", "check_id", "code", "subject_id", "observed_state", "disposition")
 
 
+def _each_finding(rows: DataFrame, check_id: str, rules: list[tuple[Column, str | Column, Column, Column, str | Column]]) -> DataFrame:
+    """A finding for each rule (condition, code, subject, state, disposition) that holds for a row, in one pass."""
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    found = [
+        F.when(holds, F.struct(F.lit(check_id).alias("check_id"), as_column(code).alias("code"), subject.cast("string").alias("subject_id"), state.cast("string").alias("observed_state"), as_column(disposition).alias("disposition")))
+        for holds, code, subject, state, disposition in rules
+    ]
+    return rows.select("package_id", F.inline(F.array_compact(F.array(*found))))
+
+
 def _findings(rows: DataFrame, check_id: str, code: str | Column, subject: Column, state: Column, disposition: str | Column) -> DataFrame:
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     return rows.select("package_id", F.lit(check_id).alias("check_id"), as_column(code).alias("code"), subject.cast("string").alias("subject_id"), state.cast("string").alias("observed_state"), as_column(disposition).alias("disposition"))
@@ -35,26 +45,33 @@ def loss_maximum(declared: DataFrame, diagnostics: DataFrame, overall_max: int |
     """
     per_code = diagnostics.groupBy("package_id", F.col("code").alias("reason")).agg(F.sum("affected_count").alias("affected"), F.max((F.col("affected_count").isNull() | (F.col("affected_count") < 0)).cast("int")).alias("bad"))
     seen = declared.join(per_code, ["package_id", "reason"], "left")
-    out = _findings(seen.filter("bad is null"), check_id, "LOSS_EVIDENCE_MISSING", F.col("reason"), F.lit("missing"), on_fail)
-    out = out.union(_findings(seen.filter("bad = 1"), check_id, "LOSS_EVIDENCE_INCONSISTENT", F.col("reason"), F.lit("invalid_affected_count"), "error"))
-    good = seen.filter("bad = 0")
-    if overall_max is not None:
-        total = good.groupBy("package_id").agg(F.sum("affected").alias("affected")).filter(F.col("affected") > overall_max)
-        out = out.union(_findings(total, check_id, "LOSS_MAXIMUM_EXCEEDED", F.lit("loss.total"), F.col("affected"), on_fail))
+    good, reason, affected = F.col("bad") == 0, F.col("reason"), F.col("affected")
+    rules = [
+        (F.col("bad").isNull(), "LOSS_EVIDENCE_MISSING", reason, F.lit("missing"), on_fail),
+        (F.col("bad") == 1, "LOSS_EVIDENCE_INCONSISTENT", reason, F.lit("invalid_affected_count"), "error"),
+    ]
     if maxima is not None:
-        over = good.join(maxima, "reason", "left").filter("maximum is null or affected > maximum")
-        out = out.union(_findings(over, check_id, "LOSS_REASON_MAXIMUM_EXCEEDED", F.col("reason"), F.col("affected"), on_fail))
+        seen = seen.join(maxima, "reason", "left")
+        rules.append((good & (F.col("maximum").isNull() | (affected > F.col("maximum"))), "LOSS_REASON_MAXIMUM_EXCEEDED", reason, affected, on_fail))
+    out = _each_finding(seen, check_id, rules)
+    if overall_max is not None:
+        total = seen.filter(good).groupBy("package_id").agg(F.sum("affected").alias("affected")).filter(affected > overall_max)
+        out = out.union(_findings(total, check_id, "LOSS_MAXIMUM_EXCEEDED", F.lit("loss.total"), affected, on_fail))
     return out
 
 
 def value_state_action(states: DataFrame, actions: dict[str, str], check_id: str = "values", on_missing: str = "fail") -> DataFrame:
     """Findings of value states (package_id, subject, present, state): missing fields, invalid states, states not allowed."""
     action = F.create_map(*[F.lit(x) for pair in actions.items() for x in pair])[F.col("state")]
-    missing = _findings(states.filter("not present"), check_id, "VALUE_FIELD_MISSING", F.col("subject"), F.lit("missing"), on_missing)
-    there = states.filter("present").withColumn("action", F.when(F.col("state") == "known", "allow").otherwise(action))
-    invalid = _findings(there.filter("action is null"), check_id, "VALUE_STATE_INVALID", F.col("subject"), F.lit("invalid"), "error")
-    code = F.when(F.col("action") == "requires_review", "VALUE_STATE_REQUIRES_REVIEW").otherwise("VALUE_STATE_FAILED")
-    return missing.union(invalid).union(_findings(there.filter("action <> 'allow'"), check_id, code, F.col("subject"), F.col("state"), F.col("action")))
+    rows = states.withColumn("action", F.when(F.col("state") == "known", "allow").otherwise(action))
+    there, acts, subject = F.col("present"), F.col("action"), F.col("subject")
+    rules = [
+        (~there, "VALUE_FIELD_MISSING", subject, F.lit("missing"), on_missing),
+        (there & acts.isNull(), "VALUE_STATE_INVALID", subject, F.lit("invalid"), "error"),
+        (there & (acts == "requires_review"), "VALUE_STATE_REQUIRES_REVIEW", subject, F.col("state"), acts),
+        (there & (acts == "fail"), "VALUE_STATE_FAILED", subject, F.col("state"), acts),
+    ]
+    return _each_finding(rows, check_id, rules)
 
 
 def diagnostic_maximum(diagnostics: DataFrame, threshold: str, max_count: int, maxima: DataFrame | None, check_id: str = "diagnostics", on_fail: str = "fail") -> DataFrame:

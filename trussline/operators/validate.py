@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,12 @@ def _rows(rows: DataFrame, code: str | Column, path: Column) -> DataFrame:
     return rows.select("package_id", (F.lit(code) if isinstance(code, str) else code).alias("code"), path.alias("path"))
 
 
+def _each(rows: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFrame:
+    """A row for each rule (condition, code, path) that a row breaks, in one pass."""
+    broken = [F.when(holds, F.struct(F.lit(code).alias("code"), path.alias("path"))) for holds, code, path in rules]
+    return rows.select("package_id", F.inline(F.array_compact(F.array(*broken))))
+
+
 def check_inventory(inventory: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
     """Inventories (package_id, place, path, sha256, bytes) against files (package_id, path, sha256, bytes).
 
@@ -23,21 +27,19 @@ def check_inventory(inventory: DataFrame, files: DataFrame, packages: DataFrame)
     that no entry names.
     """
     nth = F.row_number().over(Window.partitionBy("package_id", "path").orderBy("place"))
-    numbered = inventory.withColumn("nth", nth)
-    first = numbered.filter("nth = 1").drop("nth")
     found = files.select("package_id", "path", F.col("sha256").alias("is_sha"), F.col("bytes").alias("is_bytes"))
-    both = first.join(found, ["package_id", "path"], "left")
+    both = inventory.withColumn("nth", nth).join(found, ["package_id", "path"], "left")
     required = packages.select("package_id").withColumn("path", F.explode(F.array(*map(F.lit, REQUIRED_ARTIFACTS))))
-    path = F.col("path")
-    parts = [
-        _rows(numbered.filter("nth > 1"), "ARTIFACT_PATH_DUPLICATE", path),
-        _rows(both.filter("is_sha is null"), "ARTIFACT_MISSING", path),
-        _rows(both.filter("is_sha is not null and not (bytes <=> is_bytes)"), "ARTIFACT_SIZE_MISMATCH", path),
-        _rows(both.filter("is_sha is not null and not (sha256 <=> is_sha)"), "ARTIFACT_HASH_MISMATCH", path),
-        _rows(required.join(first.select("package_id", "path"), ["package_id", "path"], "left_anti"), "REQUIRED_ARTIFACT_MISSING", path),
-        _rows(first.filter(~safe_path(path)), "PATH_UNSAFE", path),
+    path, first, there = F.col("path"), F.col("nth") == 1, F.col("is_sha").isNotNull()
+    rules = [
+        (F.col("nth") > 1, "ARTIFACT_PATH_DUPLICATE", path),
+        (first & ~there, "ARTIFACT_MISSING", path),
+        (first & there & ~F.col("bytes").eqNullSafe(F.col("is_bytes")), "ARTIFACT_SIZE_MISMATCH", path),
+        (first & there & ~F.col("sha256").eqNullSafe(F.col("is_sha")), "ARTIFACT_HASH_MISMATCH", path),
+        (first & ~safe_path(path), "PATH_UNSAFE", path),
     ]
-    return reduce(DataFrame.union, parts)
+    unnamed = required.join(inventory.select("package_id", "path"), ["package_id", "path"], "left_anti")
+    return _each(both, rules).union(_rows(unnamed, "REQUIRED_ARTIFACT_MISSING", path))
 
 
 def logical_digests(inventory: DataFrame, files: DataFrame) -> DataFrame:
@@ -54,16 +56,16 @@ def check_digests(packages: DataFrame, digests: DataFrame) -> DataFrame:
 def check_manifests(packages: DataFrame, versions: tuple[str, ...] = ("0.1.0", "0.2.0"), extensions: tuple[str, ...] = ()) -> DataFrame:
     """Versions that aren't known, fields of the wrong form, and required extensions that aren't supported."""
     known = F.coalesce(F.col("format_version").isin(*versions), F.lit(False))
-    missing = packages.withColumn("extension", F.explode(F.col("required_extensions"))).filter(~F.col("extension").isin(*extensions) if extensions else F.lit(True))
-    malformed = [
-        (F.coalesce(F.length("package_id"), F.lit(0)) == 0, "package_id"),
-        (~F.coalesce(F.col("logical_digest").rlike(HEX64), F.lit(False)), "logical_digest"),
-        (~F.coalesce(F.col("package_form").isin("directory", "zip"), F.lit(False)), "package_form"),
-        (~F.coalesce(F.col("source_embedding_policy").isin("external", "embedded", "redacted"), F.lit(False)), "source_embedding_policy"),
-    ]
-    parts = [_rows(packages.filter(~known), "VERSION_UNSUPPORTED", F.lit("manifest.json#/version")), _rows(missing, "REQUIRED_EXTENSION_UNSUPPORTED", F.lit("manifest.json#/required_extensions"))]
-    parts += [_rows(packages.filter(known & bad), "SCHEMA_INVALID", F.lit(f"manifest.json#/{field}")) for bad, field in malformed]
-    return reduce(DataFrame.union, parts)
+    at = lambda field: F.lit(f"manifest.json#/{field}")
+    bad = {
+        "package_id": F.coalesce(F.length("package_id"), F.lit(0)) == 0,
+        "logical_digest": ~F.coalesce(F.col("logical_digest").rlike(HEX64), F.lit(False)),
+        "package_form": ~F.coalesce(F.col("package_form").isin("directory", "zip"), F.lit(False)),
+        "source_embedding_policy": ~F.coalesce(F.col("source_embedding_policy").isin("external", "embedded", "redacted"), F.lit(False)),
+    }
+    lacking = F.size(F.array_except("required_extensions", F.array(*map(F.lit, extensions)).cast("array<string>"))) > 0
+    rules = [(~known, "VERSION_UNSUPPORTED", at("version")), (F.coalesce(lacking, F.lit(False)), "REQUIRED_EXTENSION_UNSUPPORTED", at("required_extensions"))]
+    return _each(packages, rules + [(known & wrong, "SCHEMA_INVALID", at(field)) for field, wrong in bad.items()])
 
 
 def check_records(records: DataFrame) -> DataFrame:
@@ -74,20 +76,20 @@ def check_records(records: DataFrame) -> DataFrame:
     """
     at = F.format_string("%s:%d", F.col("path"), F.col("line"))
     broken = F.try_parse_json(F.col("json")).isNull()
+    named = ~broken & F.coalesce(F.length("record_id") > 0, F.lit(False))
     place = F.array_position(F.array(*map(F.lit, RECORD_FILES)), F.col("path"))
-    with_id = records.filter(~broken & (F.length("record_id") > 0))
-    seen = with_id.withColumn("nth", F.row_number().over(Window.partitionBy("package_id", "record_id").orderBy(place, "line")))
-    before = with_id.withColumn("before", F.lag("record_id").over(Window.partitionBy("package_id", "path").orderBy("line")))
-    form = ~broken & (F.coalesce(F.length("record_id"), F.lit(0)) == 0)
-    kind = ~broken & ~F.coalesce(F.col("record_type").isin(*RECORD_TYPES), F.lit(False))
-    parts = [
-        _rows(records.filter(broken), "JSONL_INVALID", at),
-        _rows(records.filter(form), "SCHEMA_INVALID", F.concat(at, F.lit("#/record_id"))),
-        _rows(records.filter(kind), "SCHEMA_INVALID", F.concat(at, F.lit("#/record_type"))),
-        _rows(seen.filter("nth > 1"), "RECORD_ID_DUPLICATE", at),
-        _rows(before.filter("record_id < before"), "RECORD_ORDER_INVALID", at),
+    nth = F.row_number().over(Window.partitionBy("package_id", "record_id").orderBy(~F.col("named"), place, "line"))
+    before = F.last(F.when(F.col("named"), F.col("record_id")), ignorenulls=True).over(Window.partitionBy("package_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    rows = records.withColumns({"broken": broken, "named": named}).withColumns({"nth": nth, "before": before})
+    is_named, whole = F.col("named"), ~F.col("broken")
+    rules = [
+        (F.col("broken"), "JSONL_INVALID", at),
+        (whole & ~is_named, "SCHEMA_INVALID", F.concat(at, F.lit("#/record_id"))),
+        (whole & ~F.coalesce(F.col("record_type").isin(*RECORD_TYPES), F.lit(False)), "SCHEMA_INVALID", F.concat(at, F.lit("#/record_type"))),
+        (is_named & (F.col("nth") > 1), "RECORD_ID_DUPLICATE", at),
+        (is_named & F.coalesce(F.col("record_id") < F.col("before"), F.lit(False)), "RECORD_ORDER_INVALID", at),
     ]
-    return reduce(DataFrame.union, parts)
+    return _each(rows, rules)
 
 
 def check_evidence(records: DataFrame) -> DataFrame:
