@@ -130,11 +130,12 @@ def usable(vectors: DataFrame, settings: ForestSettings = ForestSettings()) -> D
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of packed vectors, shorter ones with zeros behind, as unit vectors."""
-    out = np.zeros((len(column), width))
-    for row, x in zip(out, column.to_pylist()):
-        v = np.frombuffer(x, np.float64)
-        row[: len(v)] = v / np.abs(v).max()
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    data = column.to_pylist()
+    if any(len(x) < 8 * width for x in data):
+        data = [x.ljust(8 * width, b"\0") for x in data]
+    out = np.frombuffer(b"".join(data), np.float64).reshape(len(data), width)
+    out = out / np.abs(out).max(axis=1, keepdims=True)
+    return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
 def fit_forest(distinct: DataFrame, settings: ForestSettings) -> tuple[list[Tree], int]:
@@ -202,18 +203,22 @@ def _deal(distinct: DataFrame, trees: list[Tree], width: int, blocks: np.ndarray
     return distinct.mapInArrow(run, "leaf long, pair long, home long, rep long, n long, vec binary, seen array<long>")
 
 
-def _first_meeting(leaf: int, seen: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs share no leaf before ``leaf``."""
-    width = max(map(len, seen))
-    table = np.full((len(seen), width), -1, np.int64)
-    for row, own in zip(table, seen):
-        own = own[own < leaf]
-        row[: len(own)] = own
+def _first_meeting(leaf: int, seen: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share no leaf before ``leaf``. The lists of leaves are sorted."""
+    flat, ends = np.asarray(seen.flatten()), np.asarray(seen.offsets).astype(np.int64)
+    ends -= ends[0]
+    row = np.repeat(np.arange(len(seen)), np.diff(ends))
+    column = np.arange(len(flat)) - ends[row]
+    early = flat < leaf
+    if not early.any():
+        return np.ones(len(a), bool)
+    table = np.full((len(seen), column[early].max() + 1), -1, np.int32)
+    table[row[early], column[early]] = flat[early]
     new = np.ones(len(a), bool)
-    for k in range(0, len(a), 65536):
-        one, two = table[a[k : k + 65536]], table[b[k : k + 65536]]
-        for j in range(width):
-            new[k : k + 65536] &= ~((one[:, j : j + 1] == two) & (two >= 0)).any(axis=1)
+    for k in range(0, len(a), 16384):
+        one, two = table[a[k : k + 16384]], table[b[k : k + 16384]]
+        for j in range(table.shape[1]):
+            new[k : k + 16384] &= ~((one[:, j : j + 1] == two) & (two >= 0)).any(axis=1)
     return new
 
 
@@ -236,9 +241,8 @@ def compare_leaves(dealt: DataFrame, settings: ForestSettings, width: int) -> Da
             a.append(x[good])
             b.append(y[good])
         a, b = np.concatenate(a), np.concatenate(b)
-        seen = group.column("seen").combine_chunks()
         if len(a):
-            new = _first_meeting(leaf, [np.asarray(s) for s in seen.to_pylist()], a, b)
+            new = _first_meeting(leaf, group.column("seen").combine_chunks(), a, b)
             a, b = a[new], b[new]
         links = np.bincount(a, n[b], len(rep)).astype(np.int64) + np.bincount(b, n[a], len(rep)).astype(np.int64)
         some = np.flatnonzero(links)
