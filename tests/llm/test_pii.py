@@ -54,6 +54,37 @@ def test_disguises(text, kind, found):
     assert [(k, text[s:e]) for k, s, e in new] == [(kind, found)] and base == brute(text)
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("mail j\u043ehn@example.com now", "email", "j\u043ehn@example.com"),
+        ("mail j\u200bohn@example.com now", "email", "j\u200bohn@example.com"),
+        ("mail john@example.c\u043em now", "email", "john@example.c\u043em"),
+        ("mail john [dot] smith@example.com now", "email", "john [dot] smith@example.com"),
+        ("mail john [dot] w [dot] smith@example.com now", "email", "john [dot] w [dot] smith@example.com"),
+        ("mail a [dot] b (dot) c [dot] d [at] x [dot] com now", "email", "a [dot] b (dot) c [dot] d [at] x [dot] com"),
+        ("so j dot r dot smith @ example.org.", "email", "j dot r dot smith @ example.org"),
+        ("call +49 151 234 five 678 ok", "phone", "+49 151 234 five 678"),
+        ("pay 4111 one111 1111 1111 ok", "card", "4111 one111 1111 1111"),
+        ("host 192 dot 168 dot one dot 7 up", "ip", "192 dot 168 dot one dot 7"),
+    ],
+)
+def test_partly_disguised_identifiers_are_found_whole(text, kind, found):
+    base, new = pii.find_spans(text)
+    assert [(k, text[s:e]) for k, s, e in new] == [(kind, found)] and base == brute(text)
+    assert pii.redacted(text) == text.replace(found, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["look. dot a@b.co", "a@b.co and one of 12 +1 (202) 555-0147 one more", "one 2 three", "in 2024 one of 3", "hello\u200b a@b.co"])
+def test_nothing_is_added_beside_plain_spans(text):
+    assert pii.find_spans(text) == (brute(text), [])
+
+
+def test_long_chains_take_linear_time():
+    for text in ("a dot " * 60000, "a dot " * 60000 + "b@c.de", "a [dot] b@c.de " * 20000, "1 one " * 60000, "one - " * 60000 + "1"):
+        pii.find_spans(text)
+
+
 @pytest.mark.parametrize("text", ["look at example.com now", "one two three four", "be at home. dot the i", "five five five one two three four", "at the end of the day dot", "Це звичайний текст at all", "oh no one two", "10 . 0 . 0 . 1", "double one two three", "v 1[.]2", ""])
 def test_clean_texts_are_left_alone(text):
     assert pii.find_spans(text) == ([], []) and pii.redacted(text) == text

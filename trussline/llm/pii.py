@@ -124,18 +124,22 @@ _MAIL = re.compile(
     re.IGNORECASE,
 )
 _MAIL_HINT = re.compile(rf"{_OPEN}\s*(?:at|@|dot|\.)\s*{_CLOSE}|\sdot\s|[ \t]@[ \t]|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
+#: A word of a local part and the disguised dot behind it.
+_LEFT = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+" + _DOT, re.IGNORECASE)
 #: Four numbers with disguised dots between, plain ones among them.
 _ADDRESS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _DOT_ONLY = re.compile(_DOT, re.IGNORECASE)
 _VALUES = {word: str(k) for k, word in enumerate(_NUMBERS)} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_VALUES) + ")"
 _TIMES = {"double": 2, "triple": 3}
-#: Runs with three number words or more, with digits, pluses and dots among them.
+#: Runs of number words with digits, pluses and dots among them.
 _SPELLED = re.compile(
     rf"(?:(?:\bplus\s+|\+\s?)|\b)(?:(?:{_NUMBER}|double|triple|dot|point|[0-9]+)[ \t\n.,\-]+|[0-9.]+(?=[a-z])){{0,8}}?{_NUMBER}(?:(?:[ \t\n.,\-]+|(?<=[0-9])|(?=[0-9]))(?:{_NUMBER}|double|triple|dot|point|[0-9]+)\b)+",
     re.IGNORECASE,
 )
 _SPELLED_TOKEN = re.compile(rf"plus\s+|\+|double|triple|{_NUMBER}|[\s\-]*\b(?:dot|point)\b[\s\-]*|\s*\.\s*|[0-9]+|[\s,\-]+", re.IGNORECASE)
+#: A number word with a digit or a plus beside it.
+_BESIDE = re.compile(rf"[0-9+](?:[ \t\n.,\-]|dot|point|double|triple)*{_NUMBER}|{_NUMBER}(?:[ \t\n.,\-]|dot|point|double|triple)*[0-9]", re.IGNORECASE)
 _NUMBER_ENDS = [word + end for word in _VALUES for end in " \t\n.,-"]
 _INVISIBLE_RUN = re.compile(f"[{_INVISIBLE}]+")
 
@@ -168,8 +172,9 @@ class Edited:
 
 
 def _mail_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, starts = [], {start for _, start, _ in _emails(text)}
     for m in _MAIL.finditer(text):
+        starts.add(m.start())
         name = m.lastgroup
         low, high = m.span(name)
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, m.start(), low)]
@@ -177,36 +182,47 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, high, m.end())]
     for m in _ADDRESS.finditer(text):
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, m.start(), m.end())]
+    # the words that disguised dots join to a local part, from right to left
+    left = {m.end(): m.start() for m in _LEFT.finditer(text)}
+    for start in starts:
+        while (before := left.pop(start, None)) is not None:
+            edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(text, before, start)]
+            start = before
     return sorted(edits)
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
-        run, words, times = [], 0, 1
+        run, words, times, digits, dots, mixed = [], 0, 1, 0, 0, False
         for t in _SPELLED_TOKEN.finditer(text, m.start(), m.end()):
             word = t[0].strip(" \t\n\r\f\v,-").lower()
             if word in _VALUES:
                 run.append((t.start(), t.end(), _VALUES[word] * times))
-                words, times = words + 1, 1
+                words, digits, times = words + 1, digits + times, 1
             elif word in _TIMES:
                 run.append((t.start(), t.end(), ""))
                 times = _TIMES[word]
             elif word in ("plus", "+"):
                 run.append((t.start(), t.end(), "+"))
+                mixed = True
             elif word in ("dot", "point", "."):
                 run.append((t.start(), t.end(), "."))
+                dots += 1
             elif not word:
                 run.append((t.start(), t.end(), ""))
-        if words >= 3:
+            else:
+                digits, mixed = digits + len(word), True
+        # beside digits or a plus one word will do, where the run is as long as a phone number or has an address's dots
+        if words >= 3 or words and mixed and (digits >= 10 or dots >= 3):
             edits += run
     return edits
 
 
 def _may_spell(text: str) -> bool:
-    """False only where no three number words can follow each other: two of them have a separator behind."""
+    """False only where no three number words can follow each other (two of them have a separator behind) and none has a digit or a plus beside it."""
     low = text.lower()
-    return sum(low.count(x) for x in _NUMBER_ENDS) >= 2
+    return sum(low.count(x) for x in _NUMBER_ENDS) >= 2 or _BESIDE.search(text) is not None
 
 
 def normalised(text: str) -> list[Edited]:
@@ -228,15 +244,17 @@ def normalised(text: str) -> list[Edited]:
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(plain spans, spans that only the normalised text shows), in source code points, both in order.
 
-    A span of the normalised text counts as new if it shares no character with a plain span of its kind.
+    A span of the normalised text counts as new unless it is equal to or inside a plain span of its kind.
     """
     base = in_order(plain_spans(text))
     stages, new = normalised(text), []
     if stages:
+        plain = {kind: [(s, e) for k, s, e in base if k == kind] for kind in KINDS}
         for kind, start, end in plain_spans(stages[-1].text):
             for stage in reversed(stages):
                 start, end = stage.source(start, end)
-            if not any(k == kind and s < end and start < e for k, s, e in base):
+            at = bisect_right(plain[kind], start, key=lambda span: span[0])  # plain spans of a kind share no character
+            if not at or plain[kind][at - 1][1] < end:
                 new.append((kind, start, end))
     return base, in_order(new)
 
