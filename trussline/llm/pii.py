@@ -114,15 +114,23 @@ def _lookalike_pattern() -> re.Pattern[str]:
 
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+|&#0*46;|&period;)"
+_MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|&#0*46;|&period;)"
+_DOT = rf"(?:{_MARKED_DOT}|\s+dot\s+)"
 _AT = rf"(?:\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|&#0*64;|&commat;|[ \t]+@[ \t]+)"
-_LABEL = r"[A-Za-z0-9-]+"
-_WORD = r"[A-Za-z0-9_%+-]+"
-#: A local part, a disguised at, and a domain with plain or disguised dots. A bare word "at" needs a disguised dot.
+_LABEL = r"[A-Za-z0-9-]++"
+# Last labels of domains that are no common words.
+_LAST_LABELS = "com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|de|fr|es|nl|pl|ru|ch|ca|jp|cn|br|au"
+#: A local part, a disguised at, and a domain with plain or disguised dots. Where both "at" and "dot" are bare words, they
+#: may be prose: there the last label must be a known one, and the sentence must not go on with another "at" or "dot".
 _MAIL = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?:{_WORD}{_DOT})?[A-Za-z0-9._%+-]++(?:(?P<at>{_AT}){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|(?P<bare>\s+at\s+){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+|(?P<plain>\s*@\s*){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+)",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?P<at>{_AT}){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+"
+    rf"|(?P<bare>\s+at\s+){_LABEL}(?:(?:\.|\s+dot\s+){_LABEL})*{_MARKED_DOT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*"
+    rf"|(?P<prose>\s+at\s+)(?:{_LABEL}(?:\.|\s+dot\s+))*?{_LABEL}\s+dot\s+(?:{_LABEL}\.)?(?:{_LAST_LABELS})(?![A-Za-z0-9-])(?!\s+(?:at|dot)\s)"
+    rf"|(?P<plain>\s*@\s*){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+)",
     re.IGNORECASE,
 )
+#: Single characters with single spaces between.
+_SPACED_OUT = re.compile(r"(?<!\S)(?:[A-Za-z0-9@._%+-] ){5,}[A-Za-z0-9@._%+-](?=[\s.,;:!?)\]]|\Z)")
 _MAIL_HINT = re.compile(rf"{_OPEN}\s*(?:at|@|dot|\.)\s*{_CLOSE}|\sdot\s|[ \t]@[ \t]|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
 #: A word of a local part and the disguised dot behind it.
 _LEFT = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+" + _DOT, re.IGNORECASE)
@@ -191,6 +199,20 @@ def _mail_edits(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
+def _spaced_edits(text: str) -> list[tuple[int, int, str]]:
+    """Takes the spaces out of addresses that are spaced out character by character."""
+    edits = []
+    for m in _SPACED_OUT.finditer(text):
+        for kind, start, end in plain_spans(m[0].replace(" ", "")):
+            if kind in ("email", "ip"):
+                edits += [(k, k + 1, "") for k in range(m.start() + 2 * start + 1, m.start() + 2 * end - 1, 2)]
+    return sorted(edits)
+
+
+def _spaced_hint(text: str) -> bool:
+    return " @ " in text or " . " in text
+
+
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
@@ -234,7 +256,7 @@ def normalised(text: str) -> list[Edited]:
         now = stages[-1].text if stages else text
         if hidden := [(m.start(), m.end(), "") for m in _INVISIBLE_RUN.finditer(now)]:
             stages.append(Edited(now, hidden))
-    for hint, find in ((_may_spell, _digit_edits), (_MAIL_HINT.search, _mail_edits)):
+    for hint, find in ((_spaced_hint, _spaced_edits), (_may_spell, _digit_edits), (_MAIL_HINT.search, _mail_edits)):
         now = stages[-1].text if stages else text
         if hint(now) and (edits := find(now)):
             stages.append(Edited(now, edits))
