@@ -35,3 +35,11 @@ def residue(key: Column, modulus: int) -> Column:
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     """Whether the key falls in the fold; false for null keys."""
     return F.coalesce(residue(key, modulus) == remainder, F.lit(False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores before it until no column of ``df`` is called so, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

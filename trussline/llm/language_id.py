@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trussline.llm.common import in_fold, map_rows
+from trussline.llm.common import drop_stored, free_name, in_fold, map_rows, stored
 
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -19,14 +20,17 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class KernelSettings:
-    """Bounds of the fit. The model is fitted on at most ``fit_rows`` labelled rows of each of the
-    ``max_languages`` most frequent languages, chosen by hash."""
+    """Bounds of the fit, chosen by hash: at most ``fit_rows`` labelled rows and ``fit_bytes`` of a language, and
+    ``all_rows`` and ``all_bytes`` of all languages together, of which each has one row at least. At most ``landmarks``
+    of a language's texts become landmarks, as many as ``cells`` of the landmark matrix allow."""
 
     order: int = 4
     fit_rows: int = 256
+    fit_bytes: int = 1 << 20
+    all_rows: int = 1 << 15
+    all_bytes: int = 1 << 26
     landmarks: int = 32
-    fit_chars: int = 4000
-    max_languages: int = 512
+    cells: int = 1 << 25
     ridge: float = 0.05
     sharpness: float = 4.0
 
@@ -80,26 +84,48 @@ def fit(texts: list[str], languages: list[str], settings: KernelSettings = Kerne
     if not rows:
         return None
     names = sorted({lang for _, lang in rows})
-    chosen = [s for name in names for s in [s for s, lang in rows if lang == name][: settings.landmarks]]
-    grams = np.unique(np.concatenate(chosen))
+    of = np.searchsorted(names, [lang for _, lang in rows])
+    chosen, grams = _landmarks([s for s, _ in rows], of, settings)
     presence = np.zeros((len(grams), len(chosen)), np.float32)
     for k, own in enumerate(chosen):
         presence[np.searchsorted(grams, own), k] = 1 / np.sqrt(len(own))
-    between = _kernel(grams, presence, chosen).astype(np.float64)
+    between = np.concatenate(list(_kernels(grams, presence, chosen)))
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
-    mapped = _kernel(grams, presence, [s for s, _ in rows]).astype(np.float64) @ whiten
-    target = np.array([[1.0 if lang == name else -1.0 for name in names] for _, lang in rows])
-    count = np.array([sum(lang == name for _, lang in rows) for name in names])
-    weight = np.array([1 / count[names.index(lang)] for _, lang in rows])  # languages count alike
-    weight /= weight.sum()
-    middle, offset = weight @ mapped, weight @ target
-    z, y = mapped - middle, target - offset
-    solved = np.linalg.solve((z.T * weight) @ z + settings.ridge / len(rows) * np.eye(z.shape[1]), (z.T * weight) @ y)
+    mapped = np.concatenate([kernel @ whiten for kernel in _kernels(grams, presence, [s for s, _ in rows])])
+    # targets are 1 for the own language and -1 for the others, so products with them need sums by language only
+    count = np.bincount(of)
+    weight = 1 / (count[of] * len(names))  # languages count alike
+    middle, offset = weight @ mapped, np.full(len(names), 2 / len(names) - 1)
+    z = mapped - middle
+    by_language = np.zeros((len(names), z.shape[1]))
+    np.add.at(by_language, of, z * weight[:, None])
+    right = 2 * by_language.T - by_language.sum(axis=0)[:, None] * (1 + offset)
+    solved = np.linalg.solve((z.T * weight) @ z + settings.ridge / len(rows) * np.eye(z.shape[1]), right)
     return KernelModel(names, settings.order, grams, presence, (whiten @ solved).astype(np.float32), offset - middle @ solved, settings.sharpness)
 
 
+def _landmarks(spectra: list[np.ndarray], of: np.ndarray, settings: KernelSettings) -> tuple[list[np.ndarray], np.ndarray]:
+    """(spectra of the landmarks, their n-grams): the first text of each language, then the second ones and so on."""
+    order = np.argsort(of, kind="stable")
+    nth = np.empty(len(of), np.int64)
+    nth[order] = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+    chosen, grams = [], np.zeros(0, np.uint64)
+    for k in np.lexsort((np.arange(len(of)), nth))[: int((nth < settings.landmarks).sum())]:
+        more = np.union1d(grams, spectra[k])
+        if chosen and (len(chosen) + 1) * len(more) > settings.cells:
+            break
+        chosen.append(k)
+        grams = more
+    return [spectra[k] for k in sorted(chosen, key=lambda k: (of[k], k))], grams
+
+
+def _kernels(grams: np.ndarray, presence: np.ndarray, spectra: list[np.ndarray]) -> Iterator[np.ndarray]:
+    for low in range(0, len(spectra), 64):
+        yield _kernel(grams, presence, spectra[low : low + 64]).astype(np.float64)
+
+
 def scores(model: KernelModel, spectra: list[np.ndarray]) -> np.ndarray:
     """Shares of the languages for each text, summing to 1: two matrix products and a softmax for the whole batch."""
     raw = model.sharpness * (_kernel(model.grams, model.presence, spectra) @ model.weights + model.bias)
@@ -108,33 +134,41 @@ def scores(model: KernelModel, spectra: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_sample(docs: DataFrame, train: Column, settings: KernelSettings) -> tuple[list[str], list[str]]:
-    """At most ``fit_rows`` texts of each language, by hash of the id; texts of up to ``fit_chars`` characters first.
+    """Whole texts and labels within the bounds of ``settings``, by hash of the id.
 
     A count of the labels sets the share of ids that each language sends on, four times what is taken; only those rows
-    are ranked and only the chosen texts reach the driver. Languages beyond the ``max_languages`` largest aren't learned.
+    are ranked and only the chosen texts reach the driver. The first text of a language is taken whatever its length, but
+    shorter than average ones stand before longer ones.
     """
-    rows = docs.filter(train & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
-    if not counts:
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("bytes", F.octet_length("text"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("count"), F.avg("bytes").alias("mean")), "languages")
+    languages = counts.count()
+    if not languages:
         return [], []
+    most, most_bytes = max(1, min(settings.fit_rows, settings.all_rows // languages)), max(1, min(settings.fit_bytes, settings.all_bytes // languages))
     parts = 1 << 24
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(parts, 1 + 4 * settings.fit_rows * parts // r["count"]))])
-    sent = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.try_element_at(share, F.col("lang"))).filter(F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.length("text") > settings.fit_chars, F.xxhash64("doc_id"), "doc_id", "text")
-    ranked = sent.select("doc_id", "lang", "text", F.row_number().over(order).alias("rank"))
-    chosen = ranked.filter(F.col("rank") <= settings.fit_rows).select("lang", "rank", "text").collect()
+    share = 1 + F.lit(4 * most * parts) / F.col("count")
+    sent = rows.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
+    order = Window.partitionBy("lang").orderBy(F.col("bytes") > F.col("mean"), F.xxhash64("doc_id"), "doc_id", "text")
+    ranked = sent.select("doc_id", "lang", "text", F.row_number().over(order).alias("rank"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    chosen = ranked.filter((F.col("rank") == 1) | (F.col("rank") <= most) & (F.col("upto") <= most_bytes)).select("lang", "rank", "text").collect()
+    drop_stored(counts)
     chosen.sort(key=lambda r: (r.lang, r["rank"]))
     return [r.text for r in chosen], [r.lang for r in chosen]
 
 
-def predict_language(docs: DataFrame, train: Column, settings: KernelSettings = KernelSettings(), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with a language (string) and a score (double) in columns of these names, learned where ``train`` holds.
+def learn(docs: DataFrame, train: Column, settings: KernelSettings = KernelSettings()) -> KernelModel | None:
+    """The model of the labelled rows of ``docs`` where ``train`` holds; None if there is no such row with a letter."""
+    return fit(*fit_sample(docs.select("doc_id", "lang", "text", train.alias("__train")), F.col("__train"), settings), settings)
+
+
+def predict_language(docs: DataFrame, model: KernelModel | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with a language (string) and a score (double) in columns of these names.
 
     Reads whole texts only: lang and other columns take no part in a prediction. ``und`` with score 0 is given to null
-    texts, texts without a letter, and all texts if nothing can be learned; existing columns of the two names are
+    texts, texts without a letter, and all texts if nothing was learned; existing columns of the two names are
     replaced. Equal texts get equal predictions, an equal score goes to the language first in order.
     """
-    model = fit(*fit_sample(docs.select("doc_id", "lang", "text", train.alias("__train")), F.col("__train"), settings), settings)
     keep = [c for c in docs.columns if c not in names]
     fields = docs.select(*keep).schema
     at = keep.index("text")
@@ -160,13 +194,19 @@ def predict_language(docs: DataFrame, train: Column, settings: KernelSettings =
 def language_report(docs: DataFrame, settings: KernelSettings = KernelSettings()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row; a quarter of the ids, by crc32, is held out of the fit."""
     held_out = in_fold(F.col("doc_id"), 4, 2)
-    rows = docs.select("doc_id", "lang", "text")
-    slim = predict_language(rows, ~held_out & F.col("doc_id").isNotNull(), settings)
+    model = learn(docs, ~held_out & F.col("doc_id").isNotNull(), settings)
+    slim = predict_language(docs.select("doc_id", "text"), model)
     return slim.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, settings: KernelSettings = KernelSettings(), least: float = 0.3) -> DataFrame:
-    """Rows whose language is told with at least ``least`` of the score, with the columns of ``docs``."""
-    held_out = in_fold(F.col("doc_id"), 4, 2)
-    told = predict_language(docs, ~held_out & F.col("doc_id").isNotNull(), settings, ("__language", "__score"))
-    return told.filter((F.col("__language") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame, settings: KernelSettings = KernelSettings(), least: float = 1.2) -> DataFrame:
+    """Rows whose language is told with at least ``least`` times an even share of the score, with the columns of ``docs``.
+
+    Rows without a letter go. Where no label gives anything to learn from, nothing can be told and every row stays.
+    """
+    model = learn(docs, ~in_fold(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull(), settings)
+    if model is None:
+        return docs
+    names = tuple(free_name(docs, x) for x in ("language", "score"))
+    told = predict_language(docs, model, names)
+    return told.filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= min(1.0, least / len(model.languages)))).select(*docs.columns)
