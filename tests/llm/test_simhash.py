@@ -103,3 +103,11 @@ def test_deduplicate_and_edges(docs):
     assert simhash.simhash_groups(docs([])).count() == 0 and simhash.deduplicate(docs([])).count() == 0
     lost = simhash.simhash_groups(docs([(None, "q r s"), (7, "q r s"), (None, "alone here now")])).collect()
     assert sorted((repr(r.doc_id), r.component_id) for r in lost if r.component_id) == [("7", 7), ("None", 7)] and len(lost) == 3
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(docs):
+    """No text is lost but copies, in whichever order the rows come."""
+    rows = [(1, "a b c d e"), (1, "x y z u v"), (2, "x y z u v"), (3, "p q r s t"), (3, "p q r s t"), (None, "a b c d e")]
+    for order in (rows, rows[::-1]):
+        out = simhash.deduplicate(docs(order)).collect()
+        assert sorted((repr(r.doc_id), r.text) for r in out) == [("1", "a b c d e"), ("1", "x y z u v"), ("3", "p q r s t"), ("None", "a b c d e")]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.common import map_rows, stored
+from trussline.llm.common import free_name, map_rows, stored
 from trussline.llm.components import connected_components, local_components
 
 #: Six blocks of the 64 bits. Fingerprints at distance 2 or less differ in at most two blocks, so four blocks agree.
@@ -52,16 +52,18 @@ def fingerprint(data: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp holds the 64 bits as a signed long."""
+    """(fp, and all columns of ``docs`` but text) for every row; fp holds the 64 bits as a signed long."""
+    keep = [c for c in docs.columns if c != "text"]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = [_signed(fingerprint(x)) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [_signed(fingerprint(x)) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*keep, "fp"])
 
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), "doc_id long, fp long", make)
+    slim = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    return map_rows(slim, slim.drop("text").withColumn("fp", F.lit(0).cast("long")).schema, make)
 
 
 def near_edges(fps: np.ndarray, starts: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +140,12 @@ def link_blocks(fps: DataFrame) -> DataFrame:
     return dealt.select("rule", "key", "fp").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_groups(fps: DataFrame) -> DataFrame:
+    """(fp, component) of a table of distinct fingerprints; the component is the smallest of its fingerprints."""
+    comp = connected_components(link_blocks(fps)).withColumnRenamed("node", "fp")
+    return fps.join(comp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """Near-duplicate groups of all documents: (doc_id long, fingerprint string, component_id long).
 
@@ -146,19 +154,27 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     null ids keep their row and are never chosen as ``component_id`` unless all ids of the group are null. An empty table
     gives an empty table; other columns of ``docs`` are ignored.
     """
-    per_doc = stored(fingerprints(docs), "simhash")
+    per_doc = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "simhash")
     distinct = stored(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
-    comp = connected_components(link_blocks(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    grouped = distinct.join(comp, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = distinct.join(fingerprint_groups(distinct.select("fp")), "fp")
     ids = grouped.join(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
     return per_doc.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The row of each group's smallest ``doc_id``, with the columns of ``docs``.
+    """One row of each group, with the columns of ``docs``: that of the smallest ``doc_id``, among its rows that of the
+    smallest hash of the text, then of the other columns.
 
-    Of repeated rows of that id one stays. Rows without an id can't be told apart and all stay.
+    So two rows of one id with unlike texts are each judged by their own text, and the order of rows doesn't matter. Rows
+    without an id can't be told apart and all stay, beside their groups' choice among the others.
     """
-    kept = simhash_groups(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])) if len(docs.columns) > 2 else F.lit("")
+    row, text = free_name(docs, "row"), free_name(docs, "mark")
+    marked = docs.filter("doc_id is not null").withColumns({text: F.coalesce(F.sha2("text", 256), F.lit("")), row: F.md5(others)})
+    per_row = stored(fingerprints(marked.select("doc_id", F.col(text).alias("mark"), F.col(row).alias("row"), "text")), "dedup-rows")
+    groups = fingerprint_groups(stored(per_row.select("fp").distinct(), "dedup-fps"))
+    chosen = per_row.join(groups, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "mark", "row")).alias("kept"))
+    keys = ["doc_id", text, row]
+    kept = chosen.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.mark").alias(text), F.col("kept.row").alias(row))
+    one = marked.join(kept, keys, "left_semi").dropDuplicates(keys)
     return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
