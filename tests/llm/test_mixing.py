@@ -79,3 +79,11 @@ def test_edges(docs):
 def test_no_python_in_the_plan(docs):
     plan = mixing.mix_report(docs([(1, "a b", "en", "s")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_columns_of_any_name_come_through(docs):
+    rows = [(k, f"a b {k}", None, f"s{k % 3}") for k in range(30)]
+    table = docs(rows, {"__src": "mine", "__key": "own", "__size": "kept", "__passes": "x", "__row": "y"})
+    out = mixing.mix_documents(table)
+    assert out.columns == table.columns and out.count() > 0
+    assert {tuple(r)[5:] for r in out.collect()} == {("mine", "own", "kept", "x", "y")}

@@ -124,8 +124,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with their columns; a row taken twice comes twice."""
     taken = _mix(docs).filter("passes > 0").select("__src", "__key", "__size", F.col("passes").alias("__passes"))
-    rows = _placed_keys(docs).join(taken, ["__src", "__key", "__size"])
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    # the caller's columns travel in a struct, so that none of them meets a name used here
+    rows = _placed_keys(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")).join(taken, ["__src", "__key", "__size"])
+    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select("__row.*")
 
 
 #: The same mix in DuckDB, over all documents.
