@@ -73,3 +73,64 @@ def test_the_whole_table(tables):
     got = quotes.format_conversations(messages)
     assert got.count() == messages.distinct().count() and got.filter("branch is null or n_linked > n_quotes").count() == 0
     assert quotes.format_conversations(messages.limit(0)).count() == 0
+
+
+def brute_links(rows):
+    """For each passage the latest earlier message of its conversation that holds it, by looking into every one."""
+    parsed = [(c, t, *quotes.parse_quotes(text)) for c, t, _, text in dict.fromkeys(rows) if c is not None and t is not None]
+    out = set()
+    for c, t, _, found in parsed:
+        for place, (level, passage) in enumerate(found):
+            want, lines = quotes.normalised(passage), quotes._lines(passage)
+            if not want:
+                continue
+            held = []
+            for c2, t2, body, _ in parsed:
+                if c2 == c and t2 < t:
+                    own = quotes._lines(body)
+                    parts = [body, *quotes.re.split(r"\n\s*\n", body), *body.split("\n")]
+                    if want in map(quotes.normalised, parts) or any(own[k : k + len(lines)] == lines for k in range(len(own))):
+                        held.append(t2)
+            if held:
+                out.add((c, t, level, place, max(held)))
+    return out
+
+
+def test_links_equal_a_brute_force_linker(spark):
+    import random
+
+    r = random.Random(6)
+    lines = ["yes", "No way", "the cat  sat", "one two", "", "Thanks,", "see below", "ok then"]
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(0, 5000 if c == 0 else 40, 90 if c == 0 else 1):
+            text = []
+            if said and r.random() < 0.7:
+                source = r.choice(said).split("\n")
+                k = r.randrange(len(source))
+                text = [r.choice(["> ", ">", ">> "]) + line.upper() for line in source[k : k + r.randrange(1, 5)]]
+            body = "\n".join(r.choice(lines) for _ in range(r.randrange(1, 7)))
+            said.append(body)
+            rows.append((c, t, "user", "\n".join([*text, body])))
+    parsed = quotes._parsed(table(spark, rows))
+    assert {tuple(x) for x in quotes.quote_links(parsed).select("conv_id", "turn", "level", "place", "origin").collect()} == brute_links(rows)
+
+
+def test_a_trimmed_reply_finds_its_message(spark):
+    rows = [(1, 0, "user", "a\nb\nc\nd\ne"), (1, 1, "user", "other"), (1, 2, "user", "> b\n> c\nyes"), (1, 3, "user", "> c\n> b\nno")]
+    got = by_turn(quotes.format_conversations(table(spark, rows)))
+    assert got[1, 2].reply_to == 0 and got[1, 2].n_linked == 1 and got[1, 3].n_linked == 0
+
+
+def test_a_line_that_many_turns_share(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "'user' as role", "if(id % 2 = 0, 'yes', '> yes\n> yes\nno') as text")
+    links = quotes.quote_links(quotes._parsed(rows.withColumn("text", quotes.F.expr("if(turn % 2 = 0, 'yes\nyes', text)"))))
+    got = links.selectExpr("count(*) as n", "sum(if(origin = turn - 1, 1, 0)) as good").first()
+    assert tuple(got) == (n // 2, n // 2)
+
+
+def test_runs_are_named_in_linear_time():
+    marks = quotes.run_marks([f"line {k}" for k in range(20000)], [2, 5000, 19999, 30000])
+    assert len(marks) == 19999 + 15001 + 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -49,13 +51,31 @@ def normalised(passage: str) -> str:
     return _BLANKS.sub(" ", passage.lower()).strip()
 
 
+#: Modulus (a prime) and base of the polynomials that stand for runs of lines.
+_PRIME, _BASE = (1 << 127) - 1, 0x2545F4914F6CDD1D9E3779B97F4A7C15
+
+
+def _lines(text: str) -> list[str]:
+    return [n for line in text.split("\n") if (n := normalised(line))]
+
+
+def run_marks(lines: list[str], sizes: Iterable[int]) -> set[str]:
+    """Names of all runs of consecutive lines of these sizes; each takes constant time."""
+    sums, powers = [0], [1]
+    for line in lines:
+        sums.append((sums[-1] * _BASE + int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest())) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    return {f"{n}:{(sums[k + n] - sums[k] * powers[n]) % _PRIME:032x}" for n in sizes for k in range(len(lines) - n + 1)}
+
+
 def _parsed(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, body, quotes array<struct<level,text>>, parts array<string>) of each distinct message.
+    """(conv_id, turn, role, body, quotes array<struct<level,text,lines,run>>, parts array<string>) of each distinct message.
 
-    ``parts`` holds the normalised body, its paragraphs and its lines: what others may quote of it.
+    ``parts`` holds the normalised body, its paragraphs and its lines: what others may quote of it. ``lines`` counts the
+    lines of a passage that are not blank, ``run`` names them (null for one line).
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    quote = pa.struct([("level", pa.int32()), ("text", pa.string())])
+    quote = pa.struct([("level", pa.int32()), ("text", pa.string()), ("lines", pa.int32()), ("run", pa.string())])
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -63,26 +83,56 @@ def _parsed(messages: DataFrame) -> DataFrame:
             for text in batch.column(3).to_pylist():
                 body, found = parse_quotes(text)
                 bodies.append(body)
-                quotes.append([{"level": level, "text": normalised(p)} for level, p in found])
+                own = []
+                for level, p in found:
+                    lines = _lines(p)
+                    own.append({"level": level, "text": normalised(p), "lines": len(lines), "run": min(run_marks(lines, [len(lines)])) if len(lines) > 1 else None})
+                quotes.append(own)
                 parts.append(sorted({n for p in (body, *re.split(r"\n\s*\n", body), *body.split("\n")) if (n := normalised(p))}))
             cols = [pa.array(bodies, pa.string()), pa.array(quotes, pa.list_(quote)), pa.array(parts, pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["conv_id", "turn", "role", "body", "quotes", "parts"])
 
         return work
 
-    return map_rows(rows, "conv_id long, turn long, role string, body string, quotes array<struct<level:int,text:string>>, parts array<string>", make)
+    return map_rows(rows, "conv_id long, turn long, role string, body string, quotes array<struct<level:int,text:string,lines:int,run:string>>, parts array<string>", make)
+
+
+def _held_runs(parsed: DataFrame) -> DataFrame:
+    """(conv_id, turn, mark) of the runs of lines of each message, of the sizes that passages of its conversation have."""
+    sizes = parsed.select("conv_id", F.explode("quotes").alias("quote")).filter("quote.lines > 1").groupBy("conv_id").agg(F.collect_set("quote.lines").alias("sizes"))
+    asked = parsed.select("conv_id", "turn", "body").join(sizes, "conv_id")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            marks = [list(run_marks(_lines(body), sizes)) for body, sizes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(marks, pa.list_(pa.string()))], ["conv_id", "turn", "marks"])
+
+        return work
+
+    return map_rows(asked.select("conv_id", "turn", "body", "sizes"), "conv_id long, turn long, marks array<string>", make, rows=64).select("conv_id", "turn", F.explode("marks").alias("mark"))
 
 
 def quote_links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, origin): for each quoted passage the latest earlier turn of its conversation that holds it.
+    """(conv_id, turn, level, place, origin): for each quoted passage the latest earlier turn of its conversation that holds it.
 
-    Passages meet messages by conversation and SHA-256 of the normalised text, so a phrase that all conversations share
-    stays apart. Passages that no earlier message holds get no row.
+    A message holds a passage that is its whole body, a paragraph or a line, or a run of its lines. Both sides meet by
+    conversation and hash, so a phrase that all conversations share stays apart. Nothing is paired: the latest turn is a
+    running maximum over the turns of a conversation and hash, taken inside stretches of turns and carried from one to
+    the next, so a line that fills an endless conversation costs a row each time. Passages that no earlier message
+    holds get no row.
     """
-    held = parsed.select("conv_id", F.col("turn").alias("origin"), F.explode("parts").alias("part")).select("conv_id", "origin", F.sha2("part", 256).alias("mark")).distinct()
+    parts = parsed.select("conv_id", "turn", F.explode("parts").alias("part")).select("conv_id", "turn", F.sha2("part", 256).alias("mark"))
+    held = parts.unionByName(_held_runs(parsed)).distinct()
     asked = parsed.select("conv_id", "turn", F.posexplode("quotes").alias("place", "quote")).filter("quote.text <> ''")
-    asked = asked.select("conv_id", "turn", "place", "quote.level", F.sha2("quote.text", 256).alias("mark"))
-    return asked.join(held, ["conv_id", "mark"]).filter("origin < turn").groupBy("conv_id", "turn", "place", "level").agg(F.max("origin").alias("origin")).drop("place")
+    marks = F.explode(F.array_compact(F.array(F.sha2("quote.text", 256), "quote.run")))
+    asked = asked.select("conv_id", "turn", "place", "quote.level", marks.alias("mark"))
+    events = held.withColumn("origin", F.col("turn")).unionByName(asked, allowMissingColumns=True).withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    of_mark = ["conv_id", "mark", "stretch"]
+    inside = F.max("origin").over(Window.partitionBy(*of_mark).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    ends = events.groupBy(*of_mark).agg(F.max("origin").alias("top"))
+    ends = ends.select(*of_mark, F.max("top").over(Window.partitionBy("conv_id", "mark").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier")).filter("earlier is not null")
+    met = events.withColumn("inside", inside).filter("place is not null").join(ends, of_mark, "left").withColumn("origin", F.coalesce("inside", "earlier"))
+    return met.filter("origin is not null").groupBy("conv_id", "turn", "place", "level").agg(F.max("origin").alias("origin"))
 
 
 def _turn_before(turns: DataFrame) -> DataFrame:
