@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -24,8 +25,11 @@ LITERAL = "\ud800"
 #: Before the key of a stretch that no space precedes.
 UNMARKED = "\ud801"
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Scores are whole numbers, this many to a unit of the natural logarithm, so that sums are exact and ties are ties.
+UNIT = 1 << 20
 #: An unknown character costs this much more than the rarest piece.
-UNKNOWN = 10.0
+UNKNOWN = 10 * UNIT
+NEVER = -(1 << 62)
 #: Words of a worker's cache, about 200 bytes each, and the length up to which one is kept.
 CACHE_WORDS, KEEP = 1 << 20, 64
 
@@ -33,6 +37,9 @@ CACHE_WORDS, KEEP = 1 << 20, 64
 class Pieces:
     """Pieces of a SentencePiece model file with their scores.
 
+    The scores of a merge-ordered model are ranks and no log probabilities: as they stand, two frequent pieces outscore most words. A piece of
+    rank r takes the score -log(r + 1) instead, as a frequency by Zipf's law has it. Scores of a unigram model count as they are.
+
     A piece that others spell at a higher total score is on no best path and is left out of the table. No piece may hold
     a space mark behind another character, so that all paths meet before every run of spaces.
     """
@@ -45,12 +52,14 @@ class Pieces:
         if any(k == self.unk_id for k in self.byte_ids):
             raise ValueError("the model has no byte pieces, so not every text can be encoded")
         plain = {name: k for k, name in enumerate(names) if not (proc.is_control(k) or proc.is_unknown(k) or proc.is_byte(k) or proc.is_unused(k))}
-        scores = {name: proc.get_score(k) for name, k in plain.items()}
+        given = {name: proc.get_score(k) for name, k in plain.items()}
+        ranks = all(score <= 0 and score == int(score) for score in given.values())
+        scores = {name: round(UNIT * (-math.log(1 - score) if ranks else score)) for name, score in given.items()}
         self.worst = min(scores.values()) - UNKNOWN
         self.longest = max(map(len, plain))
         for name in sorted(plain, key=len):
             if len(name) > 1:
-                best = [0.0] + [float("-inf")] * len(name)
+                best = [0] + [NEVER] * len(name)
                 for i in range(len(name)):
                     for j in range(i + 1, len(name) + (i > 0)):
                         score = scores.get(name[i:j], self.worst if j == i + 1 else None)
@@ -82,8 +91,12 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def relax(pieces: Pieces, text: str, best: list[float], back: list[int], start: int, stop: int) -> None:
-    """Extend the best paths from the positions from ``start`` to before ``stop``; equal scores keep the earlier start."""
+def relax(pieces: Pieces, text: str, best: list[int], back: list[int], start: int, stop: int) -> None:
+    """Extend the best paths from the positions from ``start`` to before ``stop``.
+
+    Of equal scores the later start stays: in a run of one character all paths then share the boundaries of the
+    longest piece, and what is left over stands at the end.
+    """
     prefixes, scores, worst, size = pieces.prefixes, pieces.scores, pieces.worst, len(text) + 1
     for i in range(start, stop):
         base = best[i]
@@ -92,7 +105,7 @@ def relax(pieces: Pieces, text: str, best: list[float], back: list[int], start:
             if part not in prefixes:
                 break
             score = scores.get(part)
-            if score is not None and base + score > best[j]:
+            if score is not None and base + score >= best[j]:
                 best[j] = base + score
                 back[j] = i
         if base + worst > best[i + 1]:
@@ -119,48 +132,69 @@ class Viterbi:
     """Best segmentation of a stream of characters, committed as it becomes certain.
 
     Only starts in the last ``longest`` positions can still be extended. Once the backpointers of all of these lead to
-    one boundary, nothing before it can change: its pieces are committed and forgotten. What is kept is that window and
-    the stretch since the boundary.
+    one boundary, nothing before it can change: its pieces are committed and forgotten. So the ids are those of the best
+    path of the whole text. Where open paths stay apart for ``most`` characters (periodic text can keep them apart for
+    ever), the best of them is committed up to its last boundary in the older half of the window. What is kept never
+    exceeds ``most`` and two steps, and steps lie at the same places however the stream is cut into chunks.
     """
 
-    def __init__(self, pieces: Pieces, every: int = 256):
-        self.pieces, self.every = pieces, every
-        self.text, self.best, self.back, self.at = "", [0.0], [0], 0
+    def __init__(self, pieces: Pieces, every: int = 256, most: int = 8192):
+        self.pieces, self.every, self.most = pieces, every, most
+        self.text, self.best, self.back, self.at = "", [0], [0], 0
+        self.ahead, self.tried = "", 0
 
     def push(self, chars: str) -> list[int]:
         """Take more characters; the ids that became certain."""
-        ids = []
-        for k in range(0, len(chars), self.every):
-            more = chars[k : k + self.every]
-            self.text += more
-            self.best += [float("-inf")] * len(more)
-            self.back += [-1] * len(more)
-            if len(self.text) - self.pieces.longest - self.at >= self.every:
-                self._advance(len(self.text) - self.pieces.longest)
+        ids: list[int] = []
+        self.ahead += chars
+        taken = len(self.ahead) // self.every * self.every
+        for k in range(0, taken, self.every):
+            self._take(self.ahead[k : k + self.every])
+            self._advance(max(self.at, len(self.text) - self.pieces.longest))
+            if len(self.text) >= min(2 * self.tried, self.most):
                 ids += self._commit()
+                self.tried = len(self.text)
+        self.ahead = self.ahead[taken:]
         return ids
 
     def finish(self) -> list[int]:
         """The ids of what is left."""
+        self._take(self.ahead)
         self._advance(len(self.text))
         return self._ids(len(self.text))
 
+    def _take(self, more: str) -> None:
+        self.text += more
+        self.best += [NEVER] * len(more)
+        self.back += [-1] * len(more)
+
     def _advance(self, stop: int) -> None:
         relax(self.pieces, self.text, self.best, self.back, self.at, stop)
         self.at = stop
 
     def _commit(self) -> list[int]:
-        live = {k for k in range(self.at, len(self.back)) if self.back[k] >= 0}
+        open_ends = [k for k in range(self.at, len(self.back)) if self.back[k] >= 0]
+        live = set(open_ends)
         while len(live) > 1:
             last = max(live)
             live.remove(last)
             live.add(self.back[last])
         edge = live.pop() if live else 0
-        ids = self._ids(edge)
-        low = self.best[edge]
-        self.text, self.at = self.text[edge:], self.at - edge
-        self.best = [x - low for x in self.best[edge:]]
-        self.back = [0, *(k - edge if k >= 0 else -1 for k in self.back[edge + 1 :])]
+        forced = edge == 0 and len(self.text) >= self.most
+        if forced:
+            edge = max(open_ends, key=lambda k: self.best[k])
+            while edge > len(self.text) // 2:
+                edge = self.back[edge]
+        if not edge:
+            return []
+        ids, low, at = self._ids(edge), self.best[edge], self.at
+        self.text = self.text[edge:]
+        if forced:  # paths from the new beginning only
+            self.best, self.back, self.at = [0] + [NEVER] * len(self.text), [0] + [-1] * len(self.text), 0
+            self._advance(at - edge)
+        else:
+            self.best, self.at = [x if x == NEVER else x - low for x in self.best[edge:]], at - edge
+            self.back = [0, *(k - edge if k >= 0 else -1 for k in self.back[edge + 1 :])]
         return ids
 
     def _ids(self, end: int) -> list[int]:
@@ -212,14 +246,9 @@ def _stretch(pieces: Pieces, cache: dict[str, bytes], key: str) -> bytes:
 
 
 def _kept(pieces: Pieces, cache: dict[str, bytes], key: str, marked: str) -> bytes:
-    size = len(marked)
-    if size > KEEP:
-        run = Viterbi(pieces)
-        return array("i", run.push(marked) + run.finish()).tobytes()
-    best, back = [0.0] + [float("-inf")] * size, [0] * (size + 1)
-    relax(pieces, marked, best, back, 0, size)
-    packed = array("i", follow(pieces, marked, back, size)).tobytes()
-    if key not in cache:
+    run = Viterbi(pieces)
+    packed = array("i", run.push(marked) + run.finish()).tobytes()
+    if len(marked) <= KEEP and key not in cache:
         if len(cache) >= CACHE_WORDS:
             cache.clear()
         cache[key] = packed
