@@ -31,6 +31,24 @@ def brute(rows, bound=0.9):
     return [(rows[k][0], links[k], min(groups[root(k)])) for k in range(len(rows))]
 
 
+def recall(found, vectors, bound=0.9):
+    """Links found, of all pairs of a table at the bound, told by the counts of both sides."""
+    ids = [r.vec_id for r in vectors]
+    width = max(len(r.embedding) for r in vectors if r.embedding)
+    unit = np.array([np.pad(np.array(r.embedding, np.float64), (0, width - len(r.embedding))) if r.embedding and None not in r.embedding else np.zeros(width) for r in vectors])
+    unit[~np.isfinite(unit).all(axis=1)] = 0
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    there = {}
+    for k in range(0, len(unit), 512):
+        for i, n in zip(ids[k : k + 512], (unit[k : k + 512] @ unit.T >= bound).sum(axis=1) - (np.abs(unit[k : k + 512]).sum(axis=1) > 0)):
+            there[i] = there.get(i, 0) + int(n)
+    got = {}
+    for r in found:
+        got[r.vec_id] = got.get(r.vec_id, 0) + r.n_links
+    assert all(got[i] <= n for i, n in there.items())
+    return sum(got.values()) / sum(there.values()) if any(there.values()) else 1.0
+
+
 def table(spark, rows):
     return spark.createDataFrame([(k, v, 1) for k, v in rows], KIND)
 
@@ -61,6 +79,16 @@ def test_edges(spark):
     assert sorted((g.vec_id, g.n_links, g.component_id) for g in got) == sorted(brute(rows))
     assert forest.vector_groups(table(spark, [])).count() == 0
     assert [tuple(g) for g in forest.vector_groups(table(spark, rows[:1])).collect()] == [(5, 0, 5, True)]
+    # null ids linked to real ids with other vectors
+    for seed in range(3):
+        r = np.random.default_rng(seed)
+        base = r.normal(size=(6, 8))
+        rows = [(None if k >= 6 else 10 + k, (base[k % 6] + r.normal(size=8) * 0.02).tolist()) for k in range(18)] + [(None, (-base[0]).tolist())]
+        got = forest.vector_groups(table(spark, rows)).collect()
+        real = sorted((g.vec_id, g.n_links, g.component_id, g.kept) for g in got if g.vec_id is not None)
+        assert real == [(10 + k, 2, 10 + k, True) for k in range(6)]
+        rest = [(g.component_id, g.kept) for g in got if g.vec_id is None]
+        assert sorted(x for x, _ in rest if x is not None) == sorted([10 + k for k in range(6)] * 2) and (None, True) in rest and not any(kept for x, kept in rest if x is not None)
     lost = forest.vector_groups(table(spark, [(None, [1.0, 0.0]), (7, [1.0, 0.0])])).collect()
     assert sorted((g.n_links, g.component_id) for g in lost) == [(1, 7), (1, 7)]
 
@@ -85,3 +113,35 @@ def test_components(spark, pairs):
                 label[a] = label[b] = min(label[a], label[b])
     edges = spark.createDataFrame(pairs, "a long, b long")
     assert dict(map(tuple, connected_components(edges).collect())) == label
+
+
+def test_recall_on_the_whole_table(spark):
+    """The table as it is (it may hold no link at all), then with near copies of its vectors and one loose group."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label")
+    assert recall(forest.vector_groups(vectors).collect(), vectors.collect()) >= 0.97
+    own = [r for r in vectors.collect() if r.embedding]
+    r, width = np.random.default_rng(1), len(own[0].embedding)
+    unit = lambda x: x / np.linalg.norm(x)
+    near = [unit(unit(np.array(x.embedding)) + r.normal(size=width) * 0.4 / np.sqrt(width)) for x in own[:1500] for _ in range(2)]
+    middle = unit(r.normal(size=width))
+    loose = [unit(middle + r.normal(size=width) * 0.37 / np.sqrt(width)) for _ in range(4000)]
+    more = spark.createDataFrame([(10**6 + k, x.tolist(), 0) for k, x in enumerate(near + loose)], "vec_id long, embedding array<double>, label int")
+    both = vectors.withColumn("embedding", forest.F.col("embedding").cast("array<double>")).unionByName(more)
+    assert recall(forest.vector_groups(both).collect(), both.collect()) >= 0.95
+
+
+def test_leaves_are_split_by_the_tasks(spark):
+    """With a small fit the leaves of the upper trees hold many rows; trees of their own bound them and keep the links."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(700, 24))
+    rows = [(k, (base[k % 700] + r.normal(size=24) * 0.15).tolist()) for k in range(4200)]
+    s = forest.ForestSettings(leaf_rows=40, fit_rows=100, split_rows=160, sub_rows=400, least_fit=16, part_rows=300)
+    table_ = table(spark, rows)
+    vectors = forest.usable(table_).selectExpr("vec_id as rep", "1L as n", "vec")
+    trees, width = forest.fit_forest(vectors, s)
+    filed = forest.split_leaves(forest.stored(forest.file_vectors(vectors, trees, width), "leaves"), vectors, width, s)
+    sizes = [x["count"] for x in filed.groupBy("leaf").count().collect()]
+    assert max(sizes) <= s.split_rows and filed.select("rep").distinct().count() == 4200
+    assert len(trees) == 8 + 6
+    got = forest.vector_groups(table_, s).collect()
+    assert recall(got, table_.collect()) >= 0.95

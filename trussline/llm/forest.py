@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussline.llm.common import stored
+from trussline.llm.common import drop_stored, stored
 from trussline.llm.components import connected_components, local_components
 
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """The trees are laid out on at most ``fit_rows`` vectors, chosen by hash; every vector is then filed in all trees."""
+    """The upper part of each tree is laid out on at most ``fit_rows`` vectors, chosen by hash; every vector is then filed
+    in all trees. Leaves above ``split_rows`` get trees of their own, laid out by the tasks on ``sub_rows`` of their
+    vectors, about, until none is left that can be split. There are ``trees`` trees, and one more for each doubling of
+    the vectors beyond ``fit_rows``."""
 
     trees: int = 8
     leaf_rows: int = 512
     fit_rows: int = 65536
+    split_rows: int = 4096
+    sub_rows: int = 4096
+    part_rows: int = 65536
     least_fit: int = 16
     spill: float = 0.02
     most_spill: float = 0.1
@@ -118,10 +127,14 @@ def usable(vectors: DataFrame, settings: ForestSettings = ForestSettings()) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                v = np.array([np.nan if c is None else c for c in x.as_py()], np.float64) + 0.0 if x.is_valid else np.zeros(0)
-                out.append(v.tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
+            column = batch.column(1)
+            values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64) + 0.0  # nulls become NaN
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.append(0, ends[:-1])[: len(ends)]
+            bad, some = (np.append(0, np.cumsum(x)) for x in (~np.isfinite(values), values != 0))
+            good = (bad[ends] == bad[starts]) & (some[ends] > some[starts])
+            data = values.tobytes()
+            out = [data[8 * i : 8 * j] if ok else None for i, j, ok in zip(starts.tolist(), ends.tolist(), good.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -148,7 +161,8 @@ def fit_forest(distinct: DataFrame, settings: ForestSettings) -> tuple[list[Tree
     vecs = sample.select("rep", "vec").toArrow().sort_by("rep").slice(0, settings.fit_rows)
     unit = _matrix(vecs.column("vec").combine_chunks(), width // 8)
     stop = max(settings.least_fit, settings.leaf_rows * len(unit) // rows)
-    return [grow(unit, stop, settings, settings.seed + t) for t in range(settings.trees)], width // 8
+    trees = settings.trees + max(0, math.ceil(math.log2(rows / settings.fit_rows)))
+    return [grow(unit, stop, settings, settings.seed + t) for t in range(trees)], width // 8
 
 
 def _filed(trees: list[Tree], width: int, batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -157,50 +171,81 @@ def _filed(trees: list[Tree], width: int, batch: pa.RecordBatch) -> tuple[np.nda
     return unit, [(rows, leaves + start) for tree, start in zip(trees, starts) for rows, leaves in [file_rows(tree, unit)]]
 
 
-def leaf_sizes(distinct: DataFrame, trees: list[Tree], width: int) -> np.ndarray:
-    """Vectors in each leaf of the forest. The number of leaves is bounded by the fit's."""
-    total = sum(t.leaves for t in trees)
+def file_vectors(distinct: DataFrame, trees: list[Tree], width: int) -> DataFrame:
+    """(rep, leaf, done) for every leaf of the upper trees that a vector is filed in; none is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(total, np.int64)
         for batch in batches:
             if batch.num_rows:
-                for _, leaves in _filed(trees, width, batch)[1]:
-                    count += np.bincount(leaves, minlength=total)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["leaf", "n"])
+                rows, leaves = map(np.concatenate, zip(*_filed(trees, width, batch)[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows)), pa.array(leaves), pa.array(np.zeros(len(rows), bool))], ["rep", "leaf", "done"])
 
-    sizes = np.zeros(total, np.int64)
-    for row in distinct.mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
-        sizes[row.leaf] = row.n
-    return sizes
+    return distinct.select("rep", "vec").mapInArrow(run, "rep long, leaf long, done boolean")
 
 
-def _deal(distinct: DataFrame, trees: list[Tree], width: int, blocks: np.ndarray) -> DataFrame:
-    """Each vector to all its leaves; a leaf of several blocks is a triangle of block pairs, each a group of its own.
+def split_leaves(filed: DataFrame, distinct: DataFrame, width: int, settings: ForestSettings) -> DataFrame:
+    """(rep, leaf) with the leaves above ``split_rows`` split by trees of their own, round by round.
 
-    ``home`` tells the block, ``seen`` lists all leaves of the vector, by which a pair is counted where it first meets.
+    The rows of a leaf come to tasks in parts, each behind a copy of the leaf's tree, so no task holds a leaf. Leaves of
+    mutually similar vectors aren't split (see :func:`grow`).
     """
 
+    def lay_out(group: pa.Table) -> pa.Table:
+        leaf, rows = group.column("leaf")[0].as_py(), group.column("size")[0].as_py()
+        unit = _matrix(group.sort_by("rep").column("vec").combine_chunks(), width)
+        tree = grow(unit, max(settings.least_fit, settings.leaf_rows * len(unit) // rows), settings, settings.seed + leaf % (1 << 31))
+        return pa.table([pa.array([leaf]), pa.array([rows]), pa.array([pickle.dumps(tree)], pa.binary())], ["leaf", "size", "tree"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep = batch.column("rep").to_numpy(zero_copy_only=False)
-            rows, leaves = map(np.concatenate, zip(*_filed(trees, width, batch)[1]))
-            order = np.lexsort((leaves, rows))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(leaves[order], pa.int64()))
-            home = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[rows] % blocks[leaves]
-            for other in range(int(blocks[leaves].max(initial=1))):
-                some = np.flatnonzero(other < blocks[leaves])
-                at = pa.array(rows[some])
-                pair = np.minimum(home[some], other) * (1 << 31) + np.maximum(home[some], other)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves[some]), pa.array(pair), pa.array(home[some]), batch.column("rep").take(at), batch.column("n").take(at), batch.column("vec").take(at), lists.take(at)],
-                    ["leaf", "pair", "home", "rep", "n", "vec", "seen"],
-                )
-
-    return distinct.mapInArrow(run, "leaf long, pair long, home long, rep long, n long, vec binary, seen array<long>")
+            own = batch.column("leaf").to_numpy()
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]) | batch.column("tree").is_valid().to_numpy(zero_copy_only=False)) if len(own) else []
+            for at, end in zip(starts, np.append(starts[1:], len(own))):
+                part = batch.slice(at, end - at)
+                if part.column("tree")[0].is_valid:
+                    tree = pickle.loads(part.column("tree")[0].as_py())
+                    part = part.slice(1)
+                if part.num_rows:
+                    rows, leaves = file_rows(tree, _matrix(part.column("vec"), width))
+                    # the leaf and its part make a name of 64 bits
+                    names = (own[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + leaves.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                    names = np.full(len(rows), own[at]) if tree.leaves == 1 else names.view(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows)), pa.array(names), pa.array(np.full(len(rows), tree.leaves == 1))], ["rep", "leaf", "done"])
+
+    while True:
+        large = stored(filed.filter("not done").groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > settings.split_rows), "leaves-large")
+        if large.isEmpty():
+            return filed.select("rep", "leaf")
+        members = filed.filter("not done").join(large, "leaf").join(distinct.select("rep", "vec"), "rep")
+        parts = 1 << 24
+        sample = members.filter(F.pmod(F.xxhash64("rep", "leaf"), F.lit(parts)) < F.lit(settings.sub_rows * parts) / F.col("size"))
+        trees = stored(sample.groupBy("leaf").applyInArrow(lay_out, "leaf long, size long, tree binary"), "leaves-trees")
+        last = F.floor(F.col("size") / settings.part_rows).cast("long")
+        heads = trees.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), "tree")
+        rows = members.join(trees.select("leaf"), "leaf", "left_semi").select("leaf", F.pmod(F.xxhash64("rep"), last + 1).alias("part"), "rep", "vec")
+        both = heads.unionByName(rows, allowMissingColumns=True)
+        dealt = both.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("tree").isNull())
+        after = dealt.mapInArrow(run, "rep long, leaf long, done boolean")
+        rest = filed.join(trees.select("leaf"), "leaf", "left_anti").select("rep", "leaf", "done")
+        before, filed = filed, stored(rest.unionByName(after), "leaves")
+        for table in (before, large, trees):
+            drop_stored(table)
+
+
+def _deal(distinct: DataFrame, filed: DataFrame, settings: ForestSettings) -> DataFrame:
+    """Each vector to all its leaves; a leaf of several blocks is a triangle of block pairs, each a group of its own.
+
+    ``home`` tells the block, ``seen`` lists all leaves of the vector, by which a pair is counted where it first meets.
+    """
+    sizes = filed.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
+    seen = filed.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("seen"))
+    vectors = distinct.select("rep", "n", "vec").join(seen, "rep")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / (2 * settings.leaf_rows))).cast("long")
+    home = filed.join(sizes, "leaf").select("rep", "leaf", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("home"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    pairs = home.withColumn("other", other).select("rep", "leaf", "home", (F.least("home", "other") * (1 << 31) + F.greatest("home", "other")).alias("pair"))
+    return pairs.join(vectors, "rep").select("leaf", "pair", "home", "rep", "n", "vec", "seen")
 
 
 def _first_meeting(leaf: int, seen: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,8 +257,10 @@ def _first_meeting(leaf: int, seen: pa.ListArray, a: np.ndarray, b: np.ndarray)
     early = flat < leaf
     if not early.any():
         return np.ones(len(a), bool)
+    # leaves by number, so that the table is narrow
+    names, numbers = np.unique(flat[early], return_inverse=True)
     table = np.full((len(seen), column[early].max() + 1), -1, np.int32)
-    table[row[early], column[early]] = flat[early]
+    table[row[early], column[early]] = numbers
     new = np.ones(len(a), bool)
     for k in range(0, len(a), 16384):
         one, two = table[a[k : k + 16384]], table[b[k : k + 16384]]
@@ -260,21 +307,27 @@ def vector_groups(vectors: DataFrame, settings: ForestSettings = ForestSettings(
     below the bound, and a pair is counted in the first leaf that both share. Leaves above ``leaf_rows`` are compared in
     block pairs, so none is cut. Unusable vectors (see :func:`usable`) have no link and are kept. Vectors of different
     lengths compare as if the shorter had zeros behind. Repeated rows of an id count as vectors of their own; rows with
-    a null id are counted but name no component unless all its ids are null. Other columns are ignored.
+    a null id are counted but name no component; one whose ids are all null has a null ``component_id``, and rows with a
+    null id are kept only there. Other columns are ignored.
     """
     rows = stored(usable(vectors, settings).withColumn("mark", F.sha2("vec", 256)), "vectors")
-    distinct = stored(rows.filter("vec is not null").groupBy("mark").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vectors-distinct")
-    distinct = stored(distinct.withColumn("rep", F.coalesce("first", F.xxhash64("mark"))), "vectors-named")
+    distinct = stored(
+        rows.filter("vec is not null").groupBy("mark").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec")).withColumn("rep", F.xxhash64("mark")),
+        "vectors-distinct",
+    )
     trees, width = fit_forest(distinct, settings)
     if not trees:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    slim = distinct.select("rep", "n", "vec")
-    blocks = np.maximum(1, -(-leaf_sizes(slim, trees, width) // (2 * settings.leaf_rows)))
-    found = stored(compare_leaves(_deal(slim, trees, width, blocks), settings, width), "vectors-links")
+    filed = split_leaves(stored(file_vectors(distinct, trees, width), "leaves"), distinct, width, settings)
+    found = stored(compare_leaves(_deal(distinct, filed, settings), settings, width), "vectors-links")
+    drop_stored(filed)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    named = distinct.select("mark", "rep", "n").join(links, "rep", "left").join(comp, "rep", "left")
-    per_vec = named.select("mark", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # groups are found over the vectors' names; a group is then called by the smallest id that it has
+    named = distinct.select("mark", "rep", "first", "n").join(links, "rep", "left").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    per_vec = named.join(least, "component").select("mark", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "mark").join(per_vec, "mark", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    # a vector that links with nothing has its own id; one of a group whose ids are all null has null
+    component = F.when(F.col("mark").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), component.isNull()).alias("kept"))
