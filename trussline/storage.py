@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="trussline-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
+    """Folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a local folder
-    is set for this session.
+    Where that is unset, a session that runs in one process (tests, one machine) gets a folder of its own; a cluster gets
+    an error, as its executors would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="trussline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if re.fullmatch(r"local(\[.*\])?", context.master):
+        return _own_dir(context.applicationId)
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share; intermediate tables are written there")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
