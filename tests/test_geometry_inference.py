@@ -82,4 +82,53 @@ def test_raster_rules(spark):
     a[55, 0:4] = 0  # too small
     rasters = spark.createDataFrame([("r", 80, 60, bytearray(a.tobytes())), ("bad", 9, 9, bytearray(b"x"))], "raster_id string, width int, height int, pixels binary")
     got = sorted((x.kind, x.left, x.top, x.width, x.height) for x in inference.raster_candidates(rasters).collect())
+    assert ("error.raster_invalid", None, None, None, None) in got  # the raster whose pixels are too few
+    got = [g for g in got if not g[0].startswith("error.")]
     assert got == [("dimension.linear", 60, 24, 10, 3), ("region.rectangle", 3, 2, 20, 18), ("symbol.cross", 10, 30, 7, 7), ("table.grid", 40, 40, 13, 13)]
+
+
+def test_similarity_keeps_map_coordinates(spark):
+    import numpy as np
+
+    from trussline.operators import geometry
+
+    r = np.random.default_rng(2)
+    p = r.uniform(-50, 50, (20, 3))
+    c, s = np.cos(0.3), np.sin(0.3)
+    moved = 1.5 * p @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]).T + [5e5, 5e6, 120]
+    off = moved.copy()
+    off[7, 0] += 0.5
+    rows = [("good", *a.tolist(), *b.tolist()) for a, b in zip(p, moved)] + [("off", *a.tolist(), *b.tolist()) for a, b in zip(p, off)] + [(None, *a.tolist(), *b.tolist()) for a, b in zip(p, moved)] + [("two", 0.0, 0.0, 0.0, 1.0, 1.0, None)]
+    table = spark.createDataFrame(rows, "k string, x double, y double, z double, tx double, ty double, tz double")
+    got = {g.k: g for g in geometry.similarity(table, "k", 1e-6).collect()}
+    assert got["good"].status == "known" and got["good"].max_misfit < 1e-6 and abs(got["good"].scale - 1.5) < 1e-9
+    back = np.array(got["good"].matrix).reshape(4, 4)
+    assert np.allclose((back @ np.c_[p, np.ones(20)].T).T[:, :3], moved, atol=1e-6)
+    assert got[None].status == "known" and "two" not in got
+    assert got["off"].status == "tolerance_exceeded"
+    m = np.array(got["off"].matrix).reshape(4, 4)
+    assert abs(got["off"].max_misfit - np.linalg.norm((m @ np.c_[p, np.ones(20)].T).T[:, :3] - off, axis=1).max()) < 1e-6
+
+
+def test_large_boxes_are_filed_under_few_cells(spark):
+    import random
+
+    from trussline.operators import graph
+
+    r = random.Random(1)
+    boxes = [(k, *(x := (r.uniform(0, 1000), r.uniform(0, 1000))), x[0] + r.choice([1, 5, 90, 3000]), x[1] + r.choice([1, 8, 400])) for k in range(250)]
+    boxes += [(900, -1e6, -1e6, 1e6, 1e6), (901, None, 0.0, 1.0, 1.0), (902, 0.0, 0.0, float("inf"), 5.0), (903, 5.0, 5.0, 5.0, 5.0), (904, 1.0, 2.0, 7.0, 8.0), (905, 1.0, 2.0, 7.0, 8.0)]
+    table = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double")
+    fine = [b for b in boxes if None not in b and float("inf") not in b]
+    want = {(o[0], i[0]) for o in fine for i in fine if o[0] != i[0] and o[1] <= i[1] and o[2] <= i[2] and i[3] <= o[3] and i[4] <= o[4]}
+    out = graph.contained_boxes(table, 4.0)
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rasters_that_cannot_be_read_give_an_error(spark):
+    from trussline.operators import inference
+
+    rows = [(1, 2, 2, bytes(3)), (2, 5000, 1, bytes(5000)), (3, 1, 1, None), (4, 2, 2, b"\xff" * 4)]
+    got = inference.raster_candidates(spark.createDataFrame(rows, "raster_id int, width int, height int, pixels binary")).collect()
+    assert sorted((g.raster_id, g.kind, g.place) for g in got) == [(1, "error.raster_invalid", None), (2, "error.raster_too_large", None), (3, "error.raster_invalid", None)]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -86,9 +89,31 @@ def stable_id(prefix: str, source: Column, key: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat(source, F.lit("\0"), key), 256), 1, 24))
 
 
-def ordered_digest(lines: Column) -> Column:
-    """Aggregate: SHA-256 over all lines, sorted. The lines of one package's inventory are a small group by nature."""
-    return F.sha2(F.array_join(F.sort_array(F.collect_list(lines)), ""), 256)
+def ordered_digests(rows: DataFrame, key: str, line: Column, name: str) -> DataFrame:
+    """(key, name): SHA-256 over all lines of each key, sorted. Null lines don't count; a key of null lines has the empty digest.
+
+    Lines come to the hash in sorted runs and pass one by one, so a key of any size is a stream.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list = []
+        digest = hashlib.sha256()
+        for batch in batches:
+            keys, hexes = [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now != [k]:
+                    if now:
+                        keys.append(now[0])
+                        hexes.append(digest.hexdigest())
+                    now, digest = [k], hashlib.sha256()
+                if text is not None:
+                    digest.update(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(hexes, pa.string())], [key, name])
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array(now, batch.column(0).type), pa.array([digest.hexdigest()])], [key, name])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, line.alias("line")).repartition(key).sortWithinPartitions(key, "line").mapInArrow(run, f"{key} {kind}, {name} string")
 
 
 def inventory_line(path: Column, sha256: Column, size: Column) -> Column:
@@ -120,4 +145,11 @@ def fingerprint(check_id: Column, code: Column, subject: Column, state: Column,
     """SHA-256 of the canonical identity of a finding. ``refs`` is an array of strings; order and repeats don't count."""
     refs = F.array_sort(F.array_distinct(F.transform(refs, lambda x: x)))
     identity = F.to_json(F.struct(check_id.alias("check_id"), code.alias("code"), refs.alias("evidence_refs"), state.alias("observed_state"), subject.alias("subject_id")))
-    return F.sha2(F.concat(canonical_json(identity), F.lit("\n")), 256)
+    # the fields are in canonical order; only characters that JSON or NFC may write in another way need the general form
+    odd = identity.rlike(r"[^ -~]|\\\\u")
+    return F.sha2(F.concat(F.coalesce(canonical_json(F.when(odd, identity)), F.when(~odd, identity)), F.lit("\n")), 256)
+
+
+def sorted_distinct(items: Column) -> Column:
+    """An array's elements in order, each once; nulls don't count."""
+    return F.array_sort(F.array_distinct(F.array_compact(items)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +47,26 @@ def attestation_error(deterministic: Column, request: Column, response: Column,
     )
 
 
+# Fixed values of the record format.
+REPRODUCIBILITY = ("deterministic", "seeded", "non_deterministic")
+VERIFICATION = ("unverified", "verified", "rejected")
+
+
+def inference_error(digests: list[Column], confidences: list[Column], reproducibility: Column, provider: Column, version: Column, execution: Column, verification: Column) -> Column:
+    """Code of the first rule that the metadata of an inference breaks, or null."""
+    among = lambda c, names: F.coalesce(c.isin(*names), F.lit(False))
+    said = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
+    every = lambda tests: reduce(and_, tests)
+    return (
+        F.when(~every([F.coalesce(d.rlike(HEX64), F.lit(False)) for d in digests]), "INFERENCE_DIGEST_INVALID")
+        .when(~every([F.coalesce(c.between(0, 1), F.lit(False)) for c in confidences]), "INFERENCE_CONFIDENCE_INVALID")
+        .when(~among(reproducibility, REPRODUCIBILITY), "INFERENCE_REPRODUCIBILITY_INVALID")
+        .when(~said(provider) | ~said(version), "INFERENCE_PROVIDER_INVALID")
+        .when(~among(execution, ("local", "network")), "INFERENCE_EXECUTION_MODE_INVALID")
+        .when(~among(verification, VERIFICATION), "INFERENCE_VERIFICATION_INVALID")
+    )
+
+
 def instant(text: Column) -> Column:
     """A UTC instant written with Z; null for any other text."""
     return F.when(text.rlike(INSTANT), F.try_to_timestamp(text))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.canon import fingerprint
@@ -151,7 +151,14 @@ def annotations(verdicts: DataFrame, statuses: DataFrame, findings: DataFrame) -
 
 
 def markdown(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
-    """(package_id, place, line): the projection of a verdict, to be read in order of place; findings are inert code."""
+    """(package_id, place, line): the projection of a verdict, to be read in order of place; findings are inert code, sorted by their fields."""
     head = verdicts.select("package_id", F.lit(0).cast("long").alias("place"), F.format_string("# Delivery gate\n\nOutcome: `%s` (exit `%d`)\n", "outcome", "exit_code").alias("line"))
-    body = findings.select("package_id", F.xxhash64(*FINDING[1:]).alias("place"), F.concat(F.lit("    "), F.to_json(F.struct(*FINDING[1:]))).alias("line"))
-    return head.union(body.withColumn("place", F.abs(F.col("place") % (1 << 62)) + 1))
+    place = F.row_number().over(Window.partitionBy("package_id").orderBy(*FINDING[1:])).cast("long")
+    body = findings.select("package_id", place.alias("place"), F.concat(F.lit("    "), F.to_json(F.struct(*FINDING[1:]))).alias("line"))
+    return head.union(body)
+
+
+def finding_ids(findings: DataFrame, keys: list[str], order: list[str], prefix: str = "check", name: str = "finding_id") -> DataFrame:
+    """``findings`` with a zero-padded running number behind ``prefix``, in order of ``order`` within ``keys``."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return findings.withColumn(name, F.format_string(f"{prefix}-%04d", place))

@@ -40,12 +40,21 @@ def lineage(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFram
 def contained_boxes(boxes: DataFrame, cell: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, outer, inner) for boxes (id, x0, y0, x1, y1) inside others of the same keys, no box in itself.
 
-    A box is filed under the grid cell of its lower corner; a possible outer box under every cell that it covers. So the
-    four inequalities are tested within cells, not over all pairs. ``cell`` should be about the size of a common box.
+    Boxes have a level by their longer side: grids double from ``cell`` on, and a box is filed as an outer one in the first grid
+    that it is no larger than, so under four cells at most. An inner box is filed under the cell of its lower corner in
+    the grids from its own level to the largest there is. The inequalities are tested within cells, not over all pairs.
+    Boxes with a null or non-finite side are in none and hold none. ``cell`` should be about the size of a common box.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    inner = boxes.select(*keys, F.col("id").alias("inner"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")], at("x0").alias("cx"), at("y0").alias("cy"))
-    outer = boxes.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    corners = ("x0", "y0", "x1", "y1")
+    whole = boxes.filter(" and ".join(f"abs({c}) < double('infinity')" for c in corners))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell))).cast("int")
+    levelled = whole.withColumn("level", level)
+    top = levelled.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    at = lambda c: F.floor(F.col(c) / (cell * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    inner = levelled.select(*keys, F.col("id").alias("inner"), *[F.col(c).alias(f"i_{c}") for c in corners], "x0", "y0", F.explode(F.sequence("level", F.lit(top))).alias("level"))
+    inner = inner.select(*keys, "inner", *[f"i_{c}" for c in corners], "level", at("x0").alias("cx"), at("y0").alias("cy"))
+    outer = levelled.filter("x0 <= x1 and y0 <= y1").withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
     outer = outer.withColumnRenamed("id", "outer")
     inside = "x0 <= i_x0 and y0 <= i_y0 and i_x1 <= x1 and i_y1 <= y1 and outer <> inner"
-    return outer.join(inner, [*keys, "cx", "cy"]).filter(inside).select(*keys, "outer", "inner")
+    return outer.join(inner, [*keys, "level", "cx", "cy"]).filter(inside).select(*keys, "outer", "inner")

@@ -98,13 +98,16 @@ _SHAPE = StructType([StructField("kind", StringType()), *[StructField(c, LongTyp
 def raster_candidates(rasters: DataFrame) -> DataFrame:
     """(raster_id, place, kind, left, top, width, height, pixels) of the shapes in rasters (raster_id, width, height, pixels).
 
-    Pixels are one byte each, row by row; rasters are at most 4096 on a side, others give no row.
+    Pixels are one byte each, row by row. A raster without them, above 4096 on a side, or with another number of pixels
+    than its sides say gives one row of kind ``error.raster_invalid`` or ``error.raster_too_large`` and no place.
     """
 
     @F.udf(ArrayType(_SHAPE), useArrow=True)
     def shapes(pixels: bytes, width: int, height: int):
-        if pixels is None or not width or not height or max(width, height) > 4096 or len(pixels) != width * height:
-            return []
+        if pixels is None or not width or not height or len(pixels) != width * height:
+            return [{"kind": "error.raster_invalid"}]
+        if max(width, height) > 4096:
+            return [{"kind": "error.raster_too_large"}]
         return _regions(np.frombuffer(pixels, np.uint8).reshape(height, width))
 
-    return rasters.select("raster_id", F.posexplode(shapes("pixels", "width", "height")).alias("place", "s")).select("raster_id", "place", "s.*")
+    return rasters.select("raster_id", F.posexplode(shapes("pixels", "width", "height")).alias("place", "s")).select("raster_id", F.when(~F.startswith("s.kind", F.lit("error.")), F.col("place")).alias("place"), "s.*")

@@ -50,3 +50,18 @@ def revocation_status(certificates: DataFrame, lists: DataFrame, revoked: DataFr
     stale = F.col("next_update").isNull() | (moment < F.col("last_update")) | (moment >= F.col("next_update"))
     status = F.when(F.col("list_id").isNull(), "unknown").when(stale, "stale").when(F.coalesce(F.col("revoked_at") <= moment, F.lit(False)), "revoked").otherwise("good")
     return joined.select("issuer", "serial", status.alias("status"))
+
+
+def advanced_verdicts(signatures: DataFrame, minimum: int, require_archival: bool) -> DataFrame:
+    """(package_id, n_authorized, n_archived, policy_satisfied) over signatures with the verdicts on each.
+
+    A signature (package_id, kid, cryptographic_status, lifecycle_status, trust_status, subject_allowed, scopes_allowed,
+    archival_time_status) is authorised if it is valid, in its lifetime, trusted and allowed; the verdicts come from
+    outside, null ones are no. Enough of them satisfy the policy, with a valid archival time on one of these if that is asked for.
+    """
+    is_so = lambda c, value: F.coalesce(F.col(c) == value, F.lit(False))
+    authorised = is_so("cryptographic_status", "valid") & is_so("lifecycle_status", "valid") & is_so("trust_status", "trusted") & is_so("subject_allowed", True) & is_so("scopes_allowed", True)
+    archived = authorised & is_so("archival_time_status", "valid")
+    counted = signatures.groupBy("package_id").agg(F.count_if(authorised).alias("n_authorized"), F.count_if(archived).alias("n_archived"))
+    enough = (F.col("n_authorized") >= minimum) & (F.lit(not require_archival) | (F.col("n_archived") > 0))
+    return counted.withColumn("policy_satisfied", enough)

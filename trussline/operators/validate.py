@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trussline.functions.canon import inventory_line, ordered_digest
-from trussline.functions.values import HEX64, attestation_error, fidelity_error, inverse_matches, safe_path
+from trussline.functions.canon import inventory_line, ordered_digests
+from trussline.functions.values import HEX64, attestation_error, fidelity_error, inference_error, inverse_matches, safe_path
 from trussline.model import RECORD_FILES, RECORD_TYPES, REQUIRED_ARTIFACTS
 
 
@@ -45,7 +45,7 @@ def check_inventory(inventory: DataFrame, files: DataFrame, packages: DataFrame)
 def logical_digests(inventory: DataFrame, files: DataFrame) -> DataFrame:
     """(package_id, logical_digest) over the inventoried files that are there; a repeated path counts once."""
     named = inventory.select("package_id", "path").distinct().join(files, ["package_id", "path"])
-    return named.groupBy("package_id").agg(ordered_digest(inventory_line(F.col("path"), F.col("sha256"), F.col("bytes"))).alias("logical_digest"))
+    return ordered_digests(named, "package_id", inventory_line(F.col("path"), F.col("sha256"), F.col("bytes")), "logical_digest")
 
 
 def check_digests(packages: DataFrame, digests: DataFrame) -> DataFrame:
@@ -93,13 +93,23 @@ def check_records(records: DataFrame) -> DataFrame:
 
 
 def check_evidence(records: DataFrame) -> DataFrame:
-    """Rules of the second version: fidelity, attestation and coordinates of records (package_id, path, line, json)."""
+    """Rules of the second version: fidelity, attestation, inference and coordinates of records (package_id, path, line, json)."""
     doc = F.parse_json(F.col("json"))
     get = lambda path, kind: F.try_variant_get(doc, path, kind)
     there = lambda path: F.coalesce(F.schema_of_variant(F.variant_get(doc, path, "variant")).startswith("OBJECT"), F.lit(False))
     fidelity = F.when(there("$.representation_fidelity"), fidelity_error(get("$.representation_fidelity.class", "string"), get("$.representation_fidelity.derived", "boolean"), get("$.representation_fidelity.source_representation_ids", "array<string>")))
     a = "$.provider_attestation"
     attested = F.when(there(a), attestation_error(get(f"{a}.deterministic", "boolean"), get(f"{a}.request_digest", "string"), get(f"{a}.response_digest", "string"), get(f"{a}.execution_mode", "string"), get(f"{a}.network_mode", "string"), get(f"{a}.provider_id", "string")))
+    i = "$.inference"
+    numeric = lambda path: F.when(F.schema_of_variant(F.variant_get(doc, path, "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)"), get(path, "double"))
+    inferred = F.when(
+        there(i),
+        inference_error(
+            [get(f"{i}.{x}", "string") for x in ("input_artifact_sha256", "input_region_sha256", "request_digest", "response_digest")],
+            [numeric(f"{i}.{x}") for x in ("extraction_confidence", "interpretation_confidence")],
+            *[get(f"{i}.{x}", "string") for x in ("reproducibility", "provider_id", "provider_version", "execution_mode", "verification_state")],
+        ),
+    )
     c = "$.coordinate_qualification"
     links = get(f"{c}.transform_chain", "array<struct<state:string,matrix:array<double>,inverse_matrix:array<double>>>")
     state = get(f"{c}.global_location.state", "string")
@@ -111,7 +121,7 @@ def check_evidence(records: DataFrame) -> DataFrame:
         .when((state == "known") & F.exists(links, lambda x: ~F.coalesce(x["state"] == "known", F.lit(False))), "COORDINATE_GLOBAL_STATE_INVALID")
         .when(F.exists(links, lambda x: (x["state"] == "known") & ~inverse_matches(x["matrix"], x["inverse_matrix"], tolerance)), "COORDINATE_INVERSE_INVALID"),
     )
-    codes = records.withColumn("code", F.explode(F.array_compact(F.array(coordinate, fidelity, attested))))
+    codes = records.withColumn("code", F.explode(F.array_compact(F.array(coordinate, fidelity, attested, inferred))))
     return _rows(codes, F.col("code"), F.format_string("%s:%d", F.col("path"), F.col("line")))
 
 

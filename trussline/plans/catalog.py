@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
-from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, providers, query, trust
+from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, providers, query, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
+from trussline.sources import scanners
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,12 +82,13 @@ def vocab_resolve(spark, d):
 # ---- value states and validation
 
 
-@register("""SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'known' ELSE 'unknown' END AS state, count(*) AS n, sum(d.n_chars)::BIGINT AS chars
-FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1""")
+@register("""SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'known' ELSE 'unknown' END AS state, CASE WHEN l.doc_id IS NULL AND d.lang IS NULL THEN 'VALUE_STATE_REASON_REQUIRED' END AS code, count(*) AS n, sum(d.n_chars)::BIGINT AS chars
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1, 2""")
 def value_state_scan(spark, d):
     labelled = table(spark, d, "labels").select("doc_id", F.lit("known").alias("state")).distinct()
-    docs = table(spark, d, "documents").select("doc_id", "n_chars").join(labelled, "doc_id", "left")
-    return docs.groupBy(F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(labelled, "doc_id", "left").withColumn("state", F.coalesce("state", F.lit("unknown")))
+    code = values.value_state_error(F.col("state"), F.col("state") == "known", F.col("lang"))
+    return docs.groupBy("state", code.alias("code")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @register("""SELECT code, count(*) AS n FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'VALUE_STATE_INVALID' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'VALUE_STATE_VALUE_REQUIRED'
@@ -107,26 +109,80 @@ def safe_paths(spark, d):
     return c.groupBy(form.alias("form")).agg(F.count_if(values.safe_path(path)).alias("safe"), F.count("*").alias("n"))
 
 
-@register("""WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM lineitem)
+def _lines(li, record_id, line):
+    """Order lines as record lines of the package of their order, in one file."""
+    return li.select(F.col("l_orderkey").alias("package_id"), F.lit("records/entities.jsonl").alias("path"), line.alias("line"), record_id.alias("record_id"), F.lit("entity").alias("record_type"), F.lit("{}").alias("json"))
+
+
+@register("""WITH l AS (SELECT l_orderkey, l_suppkey, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM lineitem)
 SELECT l_orderkey, count(*) AS n FROM l WHERE l_suppkey < before GROUP BY 1""")
 def order_violation(spark, d):
-    before = F.lag("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return table(spark, d, "lineitem").withColumn("before", before).filter("l_suppkey < before").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    line = (F.col("l_linenumber").cast("long") * 10**8 + F.col("l_partkey")) * 10**7 + F.col("l_suppkey")
+    found = validate.check_records(_lines(table(spark, d, "lineitem"), F.format_string("entity-%010d", F.col("l_suppkey").cast("long")), line))
+    return found.filter("code = 'RECORD_ORDER_INVALID'").groupBy(F.col("package_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
 
 
-@register("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS nth FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, nth - 1 AS occurrence FROM l WHERE nth > 1""")
+@register("""WITH l AS (SELECT l_orderkey, l_linenumber, (l_partkey * 10000000 + l_suppkey) * 1000 + l_quantity::BIGINT AS line FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY line) AS nth FROM l)
+SELECT l_orderkey, 'records/entities.jsonl:' || line AS path FROM n WHERE nth > 1""")
 def dup_ids(spark, d):
-    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
-    return table(spark, d, "lineitem").withColumn("nth", nth).filter("nth > 1").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("nth") - 1).cast("long").alias("occurrence"))
+    line = (F.col("l_partkey").cast("long") * 10**7 + F.col("l_suppkey")) * 1000 + F.col("l_quantity").cast("long")
+    found = validate.check_records(_lines(table(spark, d, "lineitem"), F.format_string("entity-%d", F.col("l_linenumber").cast("long")), line))
+    return found.filter("code = 'RECORD_ID_DUPLICATE'").select(F.col("package_id").alias("l_orderkey"), "path")
 
 
 @register("""WITH e AS (SELECT user_id, event_id // 100 AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events)
-SELECT user_id, min(place) AS first_gap, count(*) AS n FROM e WHERE sequence <> place GROUP BY 1""")
+SELECT user_id, 'EVENT_SEQUENCE_INVALID' AS code, 'r' || user_id || '#' || min(place) AS path FROM e WHERE sequence <> place GROUP BY 1""")
 def sequence_gap(spark, d):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    e = table(spark, d, "events").withColumns({"sequence": F.floor(F.col("event_id") / 100), "place": place})
-    return e.filter("sequence <> place").groupBy("user_id").agg(F.min("place").cast("long").alias("first_gap"), F.count("*").alias("n"))
+    response = F.concat(F.lit("r"), F.col("user_id").cast("string"))
+    events = table(spark, d, "events").select(F.col("user_id").alias("package_id"), response.alias("response_id"), F.floor(F.col("event_id") / 100).alias("sequence"))
+    return validate.check_provider_events(events).withColumnRenamed("package_id", "user_id")
+
+
+# ---- rules of manifests and records
+
+
+@register("""WITH p AS (SELECT c_custkey AS package_id, c_custkey % 7 = 0 AS old, c_custkey % 5 = 0 AS form, c_custkey % 3 = 0 AS policy, c_custkey % 11 = 0 AS ext, c_custkey % 13 = 0 AS digest FROM customer)
+SELECT package_id, 'VERSION_UNSUPPORTED' AS code, 'manifest.json#/version' AS path FROM p WHERE old UNION ALL SELECT package_id, 'REQUIRED_EXTENSION_UNSUPPORTED', 'manifest.json#/required_extensions' FROM p WHERE ext
+UNION ALL SELECT package_id, 'SCHEMA_INVALID', 'manifest.json#/package_form' FROM p WHERE form AND NOT old UNION ALL SELECT package_id, 'SCHEMA_INVALID', 'manifest.json#/source_embedding_policy' FROM p WHERE policy AND NOT old
+UNION ALL SELECT package_id, 'SCHEMA_INVALID', 'manifest.json#/logical_digest' FROM p WHERE digest AND NOT old""")
+def manifest_rules(spark, d):
+    k = F.col("c_custkey")
+    packages = table(spark, d, "customer").select(
+        k.alias("package_id"),
+        F.when(k % 7 == 0, "9.0.0").otherwise("0.2.0").alias("format_version"),
+        F.when(k % 13 == 0, "x").otherwise(F.sha2("c_name", 256)).alias("logical_digest"),
+        F.when(k % 5 == 0, "tar").otherwise("zip").alias("package_form"),
+        F.when(k % 3 == 0, "copied").otherwise("external").alias("source_embedding_policy"),
+        F.when(k % 11 == 0, F.array(F.lit("x.y"))).otherwise(F.array().cast("array<string>")).alias("required_extensions"),
+    )
+    return validate.check_manifests(packages)
+
+
+@register("""WITH said AS (SELECT o_custkey AS package_id, sha256(string_agg(line, '' ORDER BY line)) AS digest FROM (SELECT o_custkey, 'orders/' || o_orderkey || chr(0) || sha256(o_orderstatus) || chr(0) || o_orderkey || chr(10) AS line FROM orders) GROUP BY 1)
+SELECT package_id, 'LOGICAL_DIGEST_MISMATCH' AS code, 'manifest.json#/logical_digest' AS path FROM said WHERE package_id % 9 = 0""")
+def digest_check(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("package_id"), F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"), F.col("o_orderkey").alias("bytes"))
+    digests = validate.logical_digests(o, o)
+    packages = digests.select("package_id", F.when(F.col("package_id") % 9 == 0, "0").otherwise(F.col("logical_digest")).alias("logical_digest"))
+    return validate.check_digests(packages, digests)
+
+
+@register("""WITH o AS (SELECT *, o_orderkey % 12 AS k FROM orders)
+SELECT o_custkey AS package_id, CASE k WHEN 0 THEN 'INFERENCE_DIGEST_INVALID' WHEN 1 THEN 'INFERENCE_CONFIDENCE_INVALID' WHEN 2 THEN 'INFERENCE_REPRODUCIBILITY_INVALID' WHEN 3 THEN 'INFERENCE_PROVIDER_INVALID' WHEN 4 THEN 'INFERENCE_EXECUTION_MODE_INVALID'
+WHEN 5 THEN 'INFERENCE_VERIFICATION_INVALID' WHEN 6 THEN 'FIDELITY_CLASS_INVALID' WHEN 7 THEN 'FIDELITY_DERIVATION_INVALID' WHEN 8 THEN 'ATTESTATION_DIGEST_INVALID' WHEN 9 THEN 'ATTESTATION_NETWORK_INVALID' ELSE 'COORDINATE_STRUCTURE_INVALID' END AS code,
+'records/primitives.jsonl:' || o_orderkey AS path FROM o WHERE k < 11""")
+def evidence_rules(spark, d):
+    key, sha = F.col("o_orderkey"), F.sha2("o_orderstatus", 256)
+    k = key % 12
+    inference_ = '{"inference":{"input_artifact_sha256":"%s","input_region_sha256":"%s","request_digest":"%s","response_digest":"%s","extraction_confidence":%s,"interpretation_confidence":0.5,"reproducibility":"%s","provider_id":"%s","provider_version":"1","execution_mode":"%s","verification_state":"%s"}}'
+    word = lambda at, bad, good: F.when(k == at, bad).otherwise(good)
+    inferred = F.format_string(inference_, word(0, F.lit("x"), sha), sha, sha, sha, word(1, "1.5", "1"), word(2, "odd", "seeded"), word(3, "", "p"), word(4, "cloud", "local"), word(5, "maybe", "verified"))
+    fidelity = F.format_string('{"representation_fidelity":{"class":"%s","derived":%s,"source_representation_ids":["a"]}}', word(6, "odd", "tessellated"), word(7, "false", "true"))
+    attested = F.format_string('{"provider_attestation":{"deterministic":true,"request_digest":"%s","response_digest":"%s","execution_mode":"network","network_mode":"%s","provider_id":"p"}}', word(8, F.lit("x"), sha), sha, word(9, "disabled", "allowlisted"))
+    doc = F.when(k.isin(6, 7), fidelity).when(k.isin(8, 9), attested).when(k == 10, '{"coordinate_qualification":{"global_location":{"state":"known"}}}').otherwise(inferred)
+    records = table(spark, d, "orders").select(F.col("o_custkey").alias("package_id"), F.lit("records/primitives.jsonl").alias("path"), key.alias("line"), doc.alias("json"))
+    return validate.check_evidence(records)
 
 
 @register("""WITH inv AS (SELECT o_custkey AS package_id, 'o/' || o_orderkey AS path, sha256(o_orderstatus) AS sha256, o_orderkey AS bytes FROM orders WHERE o_orderkey % 11 <> 0),
@@ -247,7 +303,7 @@ def finding_fingerprint(spark, d):
 
 
 _OUTCOMES = f"""{_DIAG}, pr AS (SELECT * FROM (VALUES (0, 'pass'), (1, 'waived'), (2, 'requires_review'), (3, 'fail'), (4, 'error')) t(r, s)),
-votes AS (SELECT package_id, CASE WHEN severity = 'error' AND affected_count >= 90 THEN 'error' WHEN severity = 'error' AND affected_count >= 70 THEN 'fail' WHEN severity = 'warning' AND affected_count >= 95 THEN 'requires_review' WHEN affected_count = 1 THEN 'waived' ELSE 'pass' END AS s FROM diag WHERE line % 7 = 0),
+votes AS (SELECT package_id, CASE WHEN severity = 'error' AND affected_count >= 90 THEN 'error' WHEN severity = 'error' AND affected_count >= 70 THEN 'fail' WHEN severity = 'warning' AND affected_count >= 95 THEN 'requires_review' WHEN affected_count = 1 THEN 'waived' ELSE 'pass' END AS s FROM diag),
 o AS (SELECT package_id, max(r) AS r FROM votes JOIN pr USING (s) GROUP BY 1), f AS (SELECT u.package_id, coalesce(pr.s, 'pass') AS s FROM (SELECT DISTINCT package_id FROM diag) u LEFT JOIN o USING (package_id) LEFT JOIN pr ON pr.r = o.r),
 verdicts AS (SELECT package_id, CASE s WHEN 'waived' THEN 'requires_review' ELSE s END AS outcome, CASE s WHEN 'pass' THEN 0 WHEN 'error' THEN 2 ELSE 1 END AS exit_code FROM f)"""
 
@@ -257,7 +313,7 @@ def gate_outcome(spark, d):
     diag = diagnostics(spark, d)
     n = F.col("affected_count")
     status = F.when((F.col("severity") == "error") & (n >= 90), "error").when((F.col("severity") == "error") & (n >= 70), "fail").when((F.col("severity") == "warning") & (n >= 95), "requires_review").when(n == 1, "waived").otherwise("pass")
-    votes = diag.filter("line % 7 = 0").select("package_id", status.alias("status"))
+    votes = diag.select("package_id", status.alias("status"))
     return gate.outcomes(votes.groupBy("package_id").agg(worst(F.col("status")).alias("status")), diag.select("package_id"))
 
 
@@ -293,12 +349,13 @@ def waivers_applied(spark, d):
     return gate.apply_waivers(findings, waivers, moment).select("package_id", "subject_id", "disposition", "waiver_id")
 
 
-@register(f"""WITH {_OUTCOMES} SELECT package_id, 'summary' AS kind, CASE exit_code WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'notice' END AS level FROM verdicts
-UNION ALL SELECT o_custkey, 'finding', CASE WHEN o_orderkey % 97 = 0 OR o_orderstatus = 'P' THEN 'error' ELSE 'warning' END FROM orders WHERE o_orderkey % 97 = 0 OR o_orderstatus <> 'F'""")
+@register(f"""WITH {_OUTCOMES}, {_STATE_FINDINGS}, checks AS (SELECT package_id, max(CASE disposition WHEN 'fail' THEN 1 ELSE 0 END) AS bad FROM sf GROUP BY 1)
+SELECT package_id, 'summary' AS kind, CASE exit_code WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'notice' END AS level, '{{"exit_code":' || exit_code || ',"outcome":"' || outcome || '"}}' AS body FROM verdicts
+UNION ALL SELECT package_id, 'check', CASE bad WHEN 1 THEN 'error' ELSE 'warning' END, '{{"check_id":"values","status":"' || CASE bad WHEN 1 THEN 'fail' ELSE 'requires_review' END || '"}}' FROM checks
+UNION ALL SELECT package_id, 'finding', CASE disposition WHEN 'fail' THEN 'error' ELSE 'warning' END, '{{"check_id":"values","code":"' || code || '","disposition":"' || disposition || '","observed_state":"' || observed_state || '","subject_id":"' || subject_id || '"}}' FROM sf""")
 def ci_annotations(spark, d):
     verdicts, findings = gate_outcome(spark, d), _state_findings(spark, d)
-    none = findings.select("package_id", "check_id", F.lit("pass").alias("status")).limit(0)
-    return gate.annotations(verdicts, none, findings).select("package_id", "kind", "level")
+    return gate.annotations(verdicts, gate.check_statuses(findings), findings)
 
 
 # ---- hashes, references, sets
@@ -308,7 +365,7 @@ def ci_annotations(spark, d):
 def logical_digest(spark, d):
     o = table(spark, d, "orders")
     line = canon.inventory_line(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")), F.sha2("o_orderstatus", 256), F.col("o_orderkey"))
-    return o.groupBy(F.col("o_custkey").alias("package_id")).agg(canon.ordered_digest(line).alias("logical_digest"))
+    return canon.ordered_digests(o.withColumnRenamed("o_custkey", "package_id"), "package_id", line, "logical_digest")
 
 
 @register("SELECT c_custkey, 'entity_' || substr(sha256(c_mktsegment || chr(0) || c_name), 1, 24) AS record_id FROM customer")
@@ -319,12 +376,12 @@ def stable_ids(spark, d):
 @register("SELECT l_orderkey, string_agg(DISTINCT 'part-' || l_partkey, ',' ORDER BY 'part-' || l_partkey) AS refs FROM lineitem GROUP BY 1")
 def evidence_refs(spark, d):
     part = F.concat(F.lit("part-"), F.col("l_partkey").cast("string"))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(part)), ",").alias("refs"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(canon.sorted_distinct(F.collect_list(part)), ",").alias("refs"))
 
 
-@register("SELECT page_id, replace(replace(url, '~', '~0'), '/', '~1') AS segment, replace(replace(replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '[', '&#91;'), ']', '&#93;') AS safe FROM pages")
+@register("SELECT page_id, replace(replace(url, '~', '~0'), '/', '~1') AS segment, replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '[', '&#91;'), ']', '&#93;') AS safe FROM pages")
 def escapes(spark, d):
-    return table(spark, d, "pages").select("page_id", canon.pointer_segment(F.col("url")).alias("segment"), canon.markdown_safe(F.substring("html", 1, 200)).alias("safe"))
+    return table(spark, d, "pages").select("page_id", canon.pointer_segment(F.col("url")).alias("segment"), canon.markdown_safe(F.col("html")).alias("safe"))
 
 
 @register("""WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_acctbal > 9000), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_acctbal > 5000)
@@ -352,12 +409,20 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", canon.token_estimate(F.col("text")).alias("tokens"))
 
 
-@register(None)
+@register("""WITH RECURSIVE s AS (SELECT coalesce(source, '') AS package_id, doc_id, coalesce(octet_length(encode(text)), 0) AS size, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY coalesce(source, '')) AS total FROM documents),
+w AS (SELECT package_id, 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS admitted, 0::BIGINT AS chunk, 0::BIGINT AS closed, 0::BIGINT AS held, 0::BIGINT AS links, NULL::BIGINT AS put FROM (SELECT DISTINCT package_id FROM s)
+UNION ALL SELECT package_id, k, doc_id, CASE WHEN fits THEN admitted + 1 ELSE admitted END, CASE WHEN fits THEN chunk2 ELSE chunk END, CASE WHEN fits THEN closed2 ELSE closed END, CASE WHEN fits THEN held2 ELSE held END, CASE WHEN fits THEN links2 ELSE links END, CASE WHEN fits THEN chunk2 END FROM (
+  SELECT *, (size + 3) // 4 <= 4000 AND (400 + links2 + length((admitted + 1)::VARCHAR) + length((total - admitted - 1)::VARCHAR) + 3) // 4 + closed2 + (held2 + 3) // 4 <= 40000 AS fits FROM (
+    SELECT *, CASE WHEN opens THEN chunk + 1 ELSE chunk END AS chunk2, CASE WHEN opens THEN closed + (held + 3) // 4 ELSE closed END AS closed2,
+      CASE WHEN opens THEN 18 + length((chunk + 1)::VARCHAR) + size ELSE held + size END AS held2, CASE WHEN opens THEN links + 25 + 2 * greatest(3, length((chunk + 1)::VARCHAR)) ELSE links END AS links2 FROM (
+      SELECT w.package_id, s.k, s.doc_id, w.admitted, w.chunk, w.closed, w.held, w.links, s.size, s.total, w.chunk = 0 OR (w.held + s.size + 3) // 4 > 4000 AS opens
+      FROM w JOIN s ON s.package_id = w.package_id AND s.k = w.k + 1))))
+SELECT package_id, doc_id AS place, doc_id AS record_id, coalesce(put, 0) AS chunk FROM w WHERE k > 0""")
 def context_pack(spark, d):
-    """Each source as a package, its documents as sections. The greedy choice is tested against a plain repacking."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("package_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("record_id"), F.octet_length("text").cast("long").alias("size"))
+    """Each source as a package, its documents as sections. Chunk 0 is for what is left out."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("package_id"), F.col("doc_id").alias("place"), F.col("doc_id").alias("record_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     totals = docs.groupBy("package_id").agg(F.count("*").alias("total"))
-    return context.pack(docs.join(totals, "package_id"))
+    return context.pack(docs.join(totals, "package_id")).withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("long")))
 
 
 # ---- graph
@@ -426,14 +491,15 @@ def residuals(spark, d):
     return geometry.residuals(pairs, ["label"]).select("label", F.round("max_residual", 6).alias("max_residual"), F.round("rms_residual", 6).alias("rms_residual"))
 
 
-@register("SELECT label, 'known' AS status, 2.0::DOUBLE AS scale, '1.2,-1.6,0.0,10.0,1.6,1.2,0.0,20.0,0.0,0.0,2.0,5.0' AS matrix FROM embeddings GROUP BY label HAVING count(*) >= 5")
+@register("""WITH n AS (SELECT label, count(*) FILTER (embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL AND embedding[3] IS NOT NULL) AS n FROM embeddings GROUP BY 1)
+SELECT label, CASE WHEN n < 3 THEN 'insufficient' ELSE 'known' END AS status, CASE WHEN n >= 3 THEN 2.0::DOUBLE END AS scale, CASE WHEN n >= 3 THEN '1.2,-1.6,0.0,500000.0,1.6,1.2,0.0,5000000.0,0.0,0.0,2.0,5.0' END AS matrix FROM n WHERE n > 0""")
 def similarity_solution(spark, d):
-    m = values.map_conversion(F.lit(2.0), F.lit(10.0), F.lit(20.0), F.lit(5.0), F.lit(0.6), F.lit(0.8))
+    """Points moved to map coordinates."""
+    m = values.map_conversion(F.lit(2.0), F.lit(500000.0), F.lit(5000000.0), F.lit(5.0), F.lit(0.6), F.lit(0.8))
     p = values.affine(m, F.col("x"), F.col("y"), F.col("z"))
     points = _points(spark, d).withColumns({f"t{c}": p[k] for k, c in enumerate(("x", "y", "z"))})
-    enough = points.groupBy("label").agg(F.count("*").alias("n")).filter("n >= 5")
-    solved = geometry.similarity(points.join(enough, "label", "left_semi"), "label")
-    cells = F.transform(F.slice("matrix", 1, 12), lambda x: (F.round(x, 6) + F.lit(0.0)).cast("string"))
+    solved = geometry.similarity(points, "label", 1e-5)
+    cells = F.transform(F.slice("matrix", 1, 12), lambda x: (F.round(x, 4) + F.lit(0.0)).cast("string"))
     return solved.select("label", "status", F.round("scale", 6).alias("scale"), F.array_join(cells, ",").alias("matrix"))
 
 
@@ -457,26 +523,28 @@ def hierarchy_rollup(spark, d):
     return inference.union_boxes(words, ["page_id", "line"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@register("""WITH e AS (SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS reading_order, event_id FROM events WHERE value >= 20)
-SELECT page_id, count(*) AS n, max(reading_order) AS last_place, min(event_id) AS first_id FROM e GROUP BY 1""")
+@register("""WITH e AS (SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS reading_order, event_id, event_type FROM events WHERE value >= 20)
+SELECT page_id, count(*) AS n, max(reading_order) AS last_place, min(event_id) AS first_id, string_agg(event_type, ' ' ORDER BY reading_order) AS text FROM e GROUP BY 1""")
 def reading_order(spark, d):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    e = table(spark, d, "events").filter("value >= 20").select(F.col("user_id").alias("page_id"), "event_id", place.cast("long").alias("reading_order"))
-    return e.groupBy("page_id").agg(F.count("*").alias("n"), F.max("reading_order").alias("last_place"), F.min("event_id").alias("first_id"))
+    """Events as the recogniser's lines of the page of their user: the place in ``left``, the value as confidence."""
+    line = F.concat_ws("\t", F.lit("5\t1\t1\t1\t1"), F.lit("1"), F.col("event_id").cast("string"), F.lit("0\t4\t9"), F.col("value").cast("string"), F.col("event_type"))
+    pages = table(spark, d, "events").groupBy(F.col("user_id").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("tsv"))
+    words = inference.words_from_tsv(pages, 20.0)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "text"))), lambda x: x["text"]), " ")
+    return words.groupBy("page_id").agg(F.count("*").alias("n"), F.max("reading_order").cast("long").alias("last_place"), F.min("left").cast("long").alias("first_id"), text.alias("text"))
 
 
-@register("""WITH n AS (SELECT item_id AS k, text FROM benchmark), r AS (SELECT doc_id AS k, text FROM documents WHERE doc_id % 3 <> 0)
-SELECT CASE WHEN n.text IS NOT NULL AND r.text IS NOT NULL AND n.text <> r.text THEN 'conflicted' ELSE 'known' END AS state, count(*) AS n FROM n FULL JOIN r ON n.k = r.k GROUP BY 1""")
+@register("""WITH n AS (SELECT item_id AS k, text FROM benchmark), r AS (SELECT doc_id AS k, CASE WHEN lang = 'en' THEN text END AS text FROM documents)
+SELECT CASE WHEN n.text IS NOT NULL AND r.text IS NOT NULL AND lower(trim(n.text)) <> lower(trim(r.text)) THEN 'conflicted' ELSE 'known' END AS state, count(*) AS n FROM n FULL JOIN r ON n.k = r.k GROUP BY 1""")
 def native_conflict(spark, d):
     native = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), "text")
-    seen = table(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), "text")
-    return inference.text_conflicts(native, seen, "k", lambda c: c).groupBy("state").agg(F.count("*").alias("n"))
+    seen = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.when(F.col("lang") == "en", F.col("text")).alias("text"))
+    return inference.text_conflicts(native, seen, "k", lambda c: F.lower(F.trim(c))).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @register("SELECT user_id, 'check-' || printf('%04d', row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS finding_id, event_id FROM events WHERE event_type = 'error'")
 def finding_index(spark, d):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(spark, d, "events").filter("event_type = 'error'").select("user_id", F.format_string("check-%04d", place).alias("finding_id"), "event_id")
+    return gate.finding_ids(table(spark, d, "events").filter("event_type = 'error'"), ["user_id"], ["event_id"]).select("user_id", "finding_id", "event_id")
 
 
 # ---- trust
@@ -527,14 +595,35 @@ def revocation(spark, d):
     return trust.revocation_status(certs, lists, revoked, moment).select("serial", "issuer", "status")
 
 
+@register("""WITH s AS (SELECT o_custkey AS package_id, o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 AS auth, o_orderkey % 2 = 0 AS arch FROM orders)
+SELECT package_id, count(*) FILTER (auth) AS n_authorized, count(*) FILTER (auth AND arch) AS n_archived, count(*) FILTER (auth) >= 2 AND count(*) FILTER (auth AND arch) > 0 AS policy_satisfied FROM s GROUP BY 1""")
+def advanced_verdict(spark, d):
+    key = F.col("o_orderkey")
+    signatures = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("package_id"),
+        F.concat(F.lit("kid-"), key.cast("string")).alias("kid"),
+        F.when(F.col("o_orderstatus") == "P", "invalid").otherwise("valid").alias("cryptographic_status"),
+        F.lit("valid").alias("lifecycle_status"),
+        F.lit("trusted").alias("trust_status"),
+        F.lit(True).alias("subject_allowed"),
+        F.when(key % 3 != 0, True).alias("scopes_allowed"),
+        F.when(key % 2 == 0, "valid").otherwise("absent").alias("archival_time_status"),
+    )
+    return trust.advanced_verdicts(signatures, 2, True)
+
+
 # ---- sources
 
 
-@register("SELECT page_id, CASE WHEN lower(substr(html, 1, 65536)) LIKE '%<!doctype%' THEN 'doctype' WHEN lower(substr(html, 1, 65536)) LIKE '%<html%' THEN 'html' ELSE 'opaque' END AS kind, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages")
+_KINDS = [("'%PDF-1.7'", "pdf"), ("'glTF'", "geometry"), ("'AC1032'", "dwg"), ("'iso-10303-21; file_schema((''ifc4''));'", "ifc"), ("'ISO-10303-21; FILE_SCHEMA((''AP214''));'", "step-iges"), ("'P5 2 2 255'", "image"), ("'solid x facet normal'", "geometry"), ("''", "opaque")]
+
+
+@register(f"SELECT page_id, CASE page_id % 8 {' '.join(f"WHEN {k} THEN '{kind}'" for k, (_, kind) in enumerate(_KINDS))} END AS kind, octet_length(encode(CASE page_id % 8 {' '.join(f'WHEN {k} THEN {mark}' for k, (mark, _) in enumerate(_KINDS))} END || html)) AS bytes FROM pages")
 def probe_kind(spark, d):
-    head = F.lower(F.substring("html", 1, 65536))
-    kind = F.when(head.contains("<!doctype"), "doctype").when(head.contains("<html"), "html").otherwise("opaque")
-    return table(spark, d, "pages").select("page_id", kind.alias("kind"), F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("sha256"))
+    """Pages behind the marks of file formats; by themselves they are opaque."""
+    mark = F.element_at(F.array(*[F.lit(m[1:-1].replace("''", "'")) for m, _ in _KINDS]), (F.col("page_id") % 8 + 1).cast("int"))
+    files = table(spark, d, "pages").select(F.lit("p").alias("package_id"), "page_id", F.col("url").alias("path"), F.concat(mark, "html").cast("binary").alias("content"))
+    return files.select("page_id", scanners.detect(F.col("content")).alias("kind"), F.octet_length("content").cast("long").alias("bytes"))
 
 
 @register("""SELECT CASE level WHEN 'full' THEN 3 WHEN 'partial' THEN 2 WHEN 'opaque' THEN 1 ELSE 0 END AS ordinal, level, count(*) AS n FROM (SELECT CASE WHEN p_size >= 40 THEN 'full' WHEN p_size >= 25 THEN 'partial' WHEN p_size >= 10 THEN 'opaque' ELSE 'unsupported' END AS level FROM part) GROUP BY 1, 2""")
@@ -553,15 +642,19 @@ def path_grouping(spark, d):
     return drawings.group_paths(ops, ["user_id"], ("purchase",)).groupBy("user_id", F.coalesce("path", F.lit(-1)).alias("path")).agg(F.count("*").alias("n"), F.min("seq").alias("first_id"))
 
 
-@register("""WITH RECURSIVE e AS (SELECT p_partkey AS parent, (p_partkey * 7 + 3) % 400 AS child FROM part WHERE p_partkey < 400 AND p_size > 20),
-w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth, [p_partkey] AS way, 'ok' AS status FROM part WHERE p_partkey < 40
-UNION ALL SELECT w.root, e.child, w.depth + 1, list_append(w.way, e.child), CASE WHEN list_contains(w.way, e.child) THEN 'cycle' WHEN w.depth + 1 > 8 THEN 'too_deep' ELSE 'ok' END FROM w JOIN e ON e.parent = w.node WHERE w.status = 'ok')
-SELECT root, node, depth, status FROM w""")
+@register("""WITH RECURSIVE e AS (SELECT p_partkey AS parent, (p_partkey * 7 + 3) % (SELECT max(p_partkey) + 1 FROM part) AS child, p_size::DOUBLE AS dx FROM part WHERE p_size > 20),
+w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth, [p_partkey] AS way, 'ok' AS status, 0.0::DOUBLE AS x FROM part
+UNION ALL SELECT w.root, e.child, w.depth + 1, list_append(w.way, e.child), CASE WHEN list_contains(w.way, e.child) THEN 'cycle' WHEN w.depth + 1 > 8 THEN 'too_deep' ELSE 'ok' END, w.x + e.dx FROM w JOIN e ON e.parent = w.node WHERE w.status = 'ok')
+SELECT root, node, depth, status, x FROM w""")
 def reference_walk(spark, d):
+    """Every part as a root; a step moves by the part's size along x."""
     p = table(spark, d, "part")
-    unit = F.array(*[F.lit(1.0 if k % 5 == 0 else 0.0) for k in range(16)])
-    edges = p.filter("p_partkey < 400 and p_size > 20").select(F.col("p_partkey").alias("parent"), ((F.col("p_partkey") * 7 + 3) % 400).alias("child"), unit.alias("matrix"))
-    return drawings.walk(edges, p.filter("p_partkey < 40").select(F.col("p_partkey").alias("root")), 8).drop("matrix")
+    size = p.agg(F.max("p_partkey") + 1).first()[0] or 1
+    zero = F.lit(0.0)
+    matrix = drawings.insert_matrix(F.col("p_size").cast("double"), zero, zero, F.lit(1.0), zero)
+    edges = p.filter("p_size > 20").select(F.col("p_partkey").alias("parent"), ((F.col("p_partkey") * 7 + 3) % size).alias("child"), matrix.alias("matrix"))
+    walked = drawings.walk(edges, p.select(F.col("p_partkey").alias("root")), 8)
+    return walked.select("root", "node", "depth", "status", F.col("matrix")[3].alias("x"))
 
 
 @register("SELECT p_partkey, round(p_size + p_size * cos(pi() * k / 4), 6) AS x, round(p_size * sin(pi() * k / 4), 6) AS y FROM part, generate_series(0, 4) g(k)")
