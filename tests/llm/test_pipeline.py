@@ -51,7 +51,7 @@ def test_registered_queries_have_the_contract_columns(spark, sf):
         "op9": ["doc_id", "fingerprint", "component_id"],
         "op10": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
     }
-    found = {name.split("_")[0]: query for name, query in queries.queries().items()}
+    found = {name.split("_")[0]: query for name, query in queries.queries().items() if name.startswith("op")}
     assert set(found) == {f"op{k}" for k in range(1, 11)}
     for op, columns in want.items():
         assert found[op](spark, sf).columns[: len(columns)] == columns

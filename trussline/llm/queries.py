@@ -53,6 +53,43 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_report(_table(spark, sf_dir, "documents"))
 
 
+def plain_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain counts of op6, which SQL can express."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of op10 as read back from the files, which SQL can express."""
+    return op10_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+_PLAIN_PII_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT row_id, 'email' AS kind, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS m FROM d
+  UNION ALL SELECT row_id, 'ip', unnest(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)')) FROM d
+  UNION ALL SELECT row_id, 'card', unnest(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+')) FROM d
+  UNION ALL SELECT row_id, 'phone', unnest(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]')) FROM d),
+told AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM found),
+good AS (
+  SELECT row_id, kind FROM told WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INTEGER), 999) > 255)) = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN digits[length(digits) - k + 1]::INTEGER
+      ELSE (digits[length(digits) - k + 1]::INTEGER * 2) // 10 + (digits[length(digits) - k + 1]::INTEGER * 2) % 10 END)) % 10 = 0 END)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone
+FROM d LEFT JOIN good USING (row_id) GROUP BY d.row_id, d.doc_id
+"""
+
+_PAYLOAD_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT *, octet_length(encode(t)) AS n FROM d)
+SELECT doc_id, n::BIGINT AS n_bytes, (greatest(1, (n + 191) // 192) * 192)::BIGINT AS payload_bytes,
+  sha256(t || repeat(' ', (greatest(1, (n + 191) // 192) * 192 - n)::BIGINT)) AS payload_sha256 FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -65,10 +102,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quotation_linking": op8_quotation_linking,
         "op9_simhash": op9_simhash,
         "op10_matroska": op10_matroska,
+        "plain_pii_counts": plain_pii_counts,
+        "media_payloads": media_payloads,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.MIX_SQL,
+        "plain_pii_counts": _PLAIN_PII_SQL,
+        "media_payloads": _PAYLOAD_SQL,
     }
