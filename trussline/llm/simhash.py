@@ -172,8 +172,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     row, text = free_name(docs, "row"), free_name(docs, "mark")
     marked = docs.filter("doc_id is not null").withColumns({text: F.coalesce(F.sha2("text", 256), F.lit("")), row: F.md5(others)})
     per_row = stored(fingerprints(marked.select("doc_id", F.col(text).alias("mark"), F.col(row).alias("row"), "text")), "dedup-rows")
-    groups = fingerprint_groups(stored(per_row.select("fp").distinct(), "dedup-fps"))
-    chosen = per_row.join(groups, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "mark", "row")).alias("kept"))
+    # the least row of each fingerprint first, so that no group of copies meets in a join
+    least = stored(per_row.groupBy("fp").agg(F.min(F.struct("doc_id", "mark", "row")).alias("kept")), "dedup-fps")
+    chosen = least.join(fingerprint_groups(least.select("fp")), "fp").groupBy("component").agg(F.min("kept").alias("kept"))
     keys = ["doc_id", text, row]
     kept = chosen.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.mark").alias(text), F.col("kept.row").alias(row))
     one = marked.join(kept, keys, "left_semi").dropDuplicates(keys)
