@@ -182,10 +182,10 @@ def dxf_tags(files: DataFrame) -> DataFrame:
 
 
 def dxf_entities(tags: DataFrame) -> DataFrame:
-    """(package_id, path, nth, type, section, handle, layer, block, kind, numbers) of the entities of drawings.
+    """(package_id, path, nth, type, section, handle, layer, block, kind, numbers, series) of the entities of drawings.
 
-    An entity begins at each code 0; the section and the block that it lies in are the last begun before. ``numbers`` maps
-    coordinate codes to their first values.
+    An entity begins at each code 0; the section and the block that it lies in are the last begun before. ``series`` maps
+    numeric codes to all their values in order, ``numbers`` coordinate codes to their first values.
     """
     w = Window.partitionBy("package_id", "path").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     begins = F.col("code") == 0
@@ -193,9 +193,13 @@ def dxf_entities(tags: DataFrame) -> DataFrame:
     marked = tags.withColumns({"nth": F.sum(begins.cast("int")).over(w), "after_section": (F.col("code") == 2) & (before == "SECTION")})
     marked = marked.withColumn("section", F.last(F.when(F.col("after_section"), F.col("value")), ignorenulls=True).over(w))
     first = lambda code: F.min_by(F.when(F.col("code") == code, F.col("value")), F.when(F.col("code") == code, F.col("place")))
-    numbers = F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("code").between(10, 59) & (F.col("rank") == 1), F.struct(F.col("code"), F.col("value").try_cast("double"))))))
-    rank = F.row_number().over(Window.partitionBy("package_id", "path", "nth", "code").orderBy("place"))
-    grouped = marked.filter("nth > 0").withColumn("rank", rank).groupBy("package_id", "path", "nth").agg(first(0).alias("type"), F.first("section").alias("section"), first(5).alias("handle"), first(8).alias("layer"), first(2).alias("block"), numbers.alias("numbers"))
+    code = F.col("code")
+    numeric = code.between(10, 99) | code.between(140, 149) | code.between(210, 239) | code.between(280, 299)
+    held = F.array_sort(F.collect_list(F.when(numeric, F.struct("place", "code", F.col("value").try_cast("double").alias("number")))))
+    series = F.map_from_arrays(F.array_distinct(F.col("held")["code"]), F.transform(F.array_distinct(F.col("held")["code"]), lambda c: F.filter("held", lambda t: t["code"] == c)["number"]))
+    grouped = marked.filter("nth > 0").groupBy("package_id", "path", "nth").agg(first(0).alias("type"), F.first("section").alias("section"), first(5).alias("handle"), first(8).alias("layer"), first(2).alias("block"), held.alias("held"))
+    grouped = grouped.withColumn("series", series).drop("held")
+    grouped = grouped.withColumn("numbers", F.transform_values(F.map_filter("series", lambda c, v: c < 60), lambda c, v: v[0]))
     kind = F.lit("opaque-object")
     for name, types in DXF_KINDS.items():
         kind = F.when(F.col("type").isin(*types), name).otherwise(kind)
