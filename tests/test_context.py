@@ -55,3 +55,29 @@ def test_profiles(spark):
     df = spark.createDataFrame([("entity",), ("source",), ("odd",), (None,)], "t string")
     assert [r[0] for r in df.select(context.priority(F.col("t"), "agent")).collect()] == [1, 0, 9, 9]
     assert [r[0] for r in df.select(context.priority(F.col("t"), "audit")).collect()] == [4, 0, 9, 9]
+
+
+def test_rendered_contexts_keep_their_budget(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    data = [(p, k, f"r{k}", f"{k:03d}" + "é" * r.randrange(400)) for p in ("a", "b") for k in range(40)]
+    sections = spark.createDataFrame(data, "package_id string, place int, record_id string, section string").withColumns({"size": F.octet_length("section").cast("long"), "total": F.lit(40).cast("long")})
+    packages = spark.createDataFrame([("a", "d", "{}", "[]"), ("b", "d", "{}", '["' + "x" * 3000 + '"]'), ("c", None, None, None)], "package_id string, logical_digest string, capabilities string, losses string")
+    b = context.Budget(tokens=2000, chunk_tokens=400)
+    files = {}
+    for row in context.render(sections, packages, "audit", b).collect():
+        assert row.tokens == -(-len(row.content.encode()) // 4)
+        files.setdefault(row.package_id, {})[row.path] = row.content
+    texts = {(p, k): text for p, k, _, text in data}
+    for p, held in files.items():
+        index = held.pop("context/index.md")
+        chunks = [held[f"context/chunk-{k:03d}.md"] for k in range(1, len(held) + 1)]
+        told = int(index.split("Token estimate: ")[1].split("\n")[0])
+        exact = -(-len(index.encode()) // 4) + sum(-(-len(c.encode()) // 4) for c in chunks)
+        assert exact <= told <= min(exact + 2, b.tokens)
+        assert all(-(-len(c.encode()) // 4) <= b.chunk_tokens and c.startswith(b.header.format(k + 1)) for k, c in enumerate(chunks))
+        assert index.count("](chunk-") == len(chunks)
+        taken = [k for k in range(40) if (p, k) in texts and any(texts[p, k] in c for c in chunks)]
+        assert f"Records in the context: {len(taken)}\n" in index
+    assert len(files["a"]) > len(files["b"]) > 0 and files["c"] == {}

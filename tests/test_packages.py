@@ -10,7 +10,8 @@ from trussline.sources import packages
 
 
 def record(name, kind, **more):
-    return json.dumps({"record_id": name, "record_type": kind, **more}, sort_keys=True)
+    origin = {"producer_id": "p", "producer_version": "1", "method": "m", "recorded_at": "2024-01-01T00:00:00Z", "parent_record_ids": []}
+    return json.dumps({"record_id": name, "record_type": kind, "record_version": "0.2", "source_refs": [], "provenance": origin, **more}, sort_keys=True)
 
 
 def package(name, changes=None, manifest=None):
@@ -18,7 +19,7 @@ def package(name, changes=None, manifest=None):
     files["context/index.md"] = b"# index\n"
     inventory = [{"path": p, "sha256": hashlib.sha256(c).hexdigest(), "bytes": len(c), "media_type": "x", "role": "r", "authoritative": True} for p, c in files.items()]
     lines = sorted(f"{a['path']}\0{a['sha256']}\0{a['bytes']}\n".encode() for a in inventory)
-    head = {"format_version": "0.2.0", "package_id": name, "package_form": "directory", "source_embedding_policy": "external", "logical_digest": hashlib.sha256(b"".join(lines)).hexdigest(), "artifacts": inventory, "capabilities": {"mesh": "full"}, "loss_summary": [], "source_ids": ["s"], "required_extensions": []} | (manifest or {})
+    head = {"format_version": "0.2.0", "package_id": name, "created_at": "2024-01-01T00:00:00Z", "producer": {"name": "p", "version": "1"}, "package_form": "directory", "source_embedding_policy": "external", "logical_digest": hashlib.sha256(b"".join(lines)).hexdigest(), "artifacts": inventory, "capabilities": {"mesh": "full"}, "loss_summary": [], "source_ids": ["s"], "required_extensions": []} | (manifest or {})
     files["manifest.json"] = json.dumps(head).encode()
     return files | (changes or {})
 
@@ -118,3 +119,44 @@ def test_stream_equals_batch(spark, store, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.record_type: r.n for r in spark.table("counts").collect()}["entity"] == 3
+
+
+def test_record_schemas(spark):
+    from trussline.operators import validate
+
+    whole = json.loads(record("a", "entity", source_refs=[{"source_id": "s", "locator": "l"}], extensions={}))
+    origin = whole["provenance"]
+    cases = [
+        (whole, []),
+        ({k: v for k, v in whole.items() if k not in ("provenance", "source_refs")}, [""]),
+        (whole | {"record_version": "9", "extensions": 1}, ["#/extensions", "#/record_version"]),
+        (whole | {"record_version": 0.1, "source_refs": {}}, ["#/record_version", "#/source_refs"]),
+        (whole | {"source_refs": [{"source_id": "s", "locator": ""}, 5, {"source_id": "s"}, {"source_id": "s", "locator": "l", "x": 1}]}, ["#/source_refs/0/locator", "#/source_refs/1", "#/source_refs/2", "#/source_refs/3"]),
+        (whole | {"provenance": None}, ["#/provenance"]),
+        (whole | {"provenance": origin | {"method": "", "recorded_at": "today", "parent_record_ids": ["x", "x"]}}, ["#/provenance/method", "#/provenance/parent_record_ids", "#/provenance/recorded_at"]),
+        (whole | {"provenance": {k: v for k, v in origin.items() if k != "method"} | {"parent_record_ids": [1]}}, ["#/provenance", "#/provenance/parent_record_ids"]),
+        (whole | {"provenance": origin | {"more": 1}}, ["#/provenance"]),
+        ([1], [""]),
+    ]
+    rows = [("p", "f", k, json.dumps(doc)) for k, (doc, _) in enumerate(cases)] + [("p", "f", 99, "{"), ("p", "f", 98, None)]
+    got = {}
+    for r in validate.check_schemas(spark.createDataFrame(rows, "package_id string, path string, line long, json string")).collect():
+        got.setdefault(int(r.path.split("#")[0][2:]), []).append(r.path[len("f:0") :])
+    assert {k: sorted(v) for k, v in got.items()} == {k: want for k, (_, want) in enumerate(cases) if want}
+
+
+def test_manifest_fields(spark):
+    from pyspark.sql import functions as F
+
+    from trussline.operators import validate
+
+    kind = "package_id string, place int, path string, sha256 string, bytes long, media_type string, role string, authoritative boolean"
+    entries = spark.createDataFrame([("p", 0, "a/b", "0" * 64, 0, "x", "r", True), ("p", 1, "a/../b", "0", -1, "", None, None)], kind)
+    assert sorted(r.path for r in validate.check_artifacts(entries).collect()) == [f"manifest.json#/artifacts/1/{f}" for f in ("authoritative", "bytes", "media_type", "path", "role", "sha256")]
+    good = {"created_at": F.lit("2024-01-01T00:00:00Z"), "producer": F.create_map(F.lit("name"), F.lit("n"), F.lit("version"), F.lit("1")), "source_ids": F.array(F.lit("s")), "capabilities": F.create_map(F.lit("mesh"), F.lit("full")), "loss_summary": F.array().cast("array<string>")}
+    base = spark.range(1).select(F.lit("p").alias("package_id"), F.lit("0.2.0").alias("format_version"), F.lit("0" * 64).alias("logical_digest"), F.lit("zip").alias("package_form"), F.lit("external").alias("source_embedding_policy"), F.array().cast("array<string>").alias("required_extensions"))
+    assert validate.check_manifests(base.withColumns(good)).count() == 0
+    bad = {"created_at": F.lit("now"), "producer": F.create_map(F.lit("name"), F.lit("n")), "source_ids": F.array(F.lit("s"), F.lit("s")), "capabilities": F.create_map(F.lit("mesh"), F.lit("some")), "loss_summary": F.array(F.lit(""))}
+    assert sorted(r.path for r in validate.check_manifests(base.withColumns(bad)).collect()) == sorted(f"manifest.json#/{f}" for f in bad)
+    empty = {name: F.lit(None).cast(base.withColumns(good).schema[name].dataType) for name in good}
+    assert validate.check_manifests(base.withColumns(empty)).count() == 5

@@ -109,7 +109,7 @@ def test_commands(spark, stores, capsys):
     assert main(["diff", was, now]) == 1 and {(x["package_id"], x["category"]) for x in out()} == {("a", "capability_regressions"), ("a", "loss_changes"), ("b", "changed_records")}
     assert main(["context", now, "--tokens", "400"]) == 0
     rows = out()
-    assert rows and rows[0]["section"].startswith("## `source-1` (source)") and {x["package_id"] for x in rows} == {"a", "b"}
+    assert rows[0]["path"] == "context/chunk-001.md" and "## `source-1` (source)" in rows[0]["content"] and {x["package_id"] for x in rows} == {"a", "b"}
     path = stores / "policy.json"
     path.write_text(json.dumps(document(checks=[MINIMUM])))
     assert main(["gate", now, str(path)]) == 1 and [x["outcome"] for x in out()] == ["fail", "pass"]

@@ -76,8 +76,8 @@ def main(args: list[str]) -> int:
         return 1 if _print(policy.package_changes(files, read_store(spark, a.after)).orderBy("package_id", "category", "subject_id")) else 0
     elif a.command == "context":
         sections = context_sections(files, a.profile)
-        packed = context.pack(sections, context.Budget(a.tokens, a.chunk_tokens))
-        _print(packed.join(sections.select("package_id", "place", "section"), ["package_id", "place"]).filter("chunk is not null").select("package_id", "chunk", "place", "section").orderBy("package_id", "place"))
+        heads = packages.manifests(files).select("package_id", "logical_digest", F.to_json("capabilities").alias("capabilities"), F.to_json("loss_summary").alias("losses"))
+        _print(context.render(sections, heads, a.profile, context.Budget(a.tokens, a.chunk_tokens)).orderBy("package_id", "path"))
     else:
         try:
             with open(a.policy, encoding="utf-8") as f:

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from trussline.functions.canon import inventory_line, ordered_digests
 from trussline.functions.values import HEX64, attestation_error, fidelity_error, inference_error, inverse_matches, safe_path
-from trussline.model import RECORD_FILES, RECORD_TYPES, REQUIRED_ARTIFACTS
+from trussline.model import RECORD_FILES, RECORD_TYPES, REQUIRED_ARTIFACTS, SUPPORT_LEVELS
+
+#: A date and time with its offset.
+DATE_TIME = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+# Fixed values of the record schema.
+RECORD_VERSIONS = ("0.1", "0.2")
+PROVENANCE = ("producer_id", "producer_version", "method", "recorded_at", "parent_record_ids")
+SOURCE_REF = ("source_id", "locator")
 
 
 def _rows(rows: DataFrame, code: str | Column, path: Column) -> DataFrame:
@@ -54,7 +61,10 @@ def check_digests(packages: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def check_manifests(packages: DataFrame, versions: tuple[str, ...] = ("0.1.0", "0.2.0"), extensions: tuple[str, ...] = ()) -> DataFrame:
-    """Versions that aren't known, fields of the wrong form, and required extensions that aren't supported."""
+    """Versions that aren't known, fields of the wrong form, and required extensions that aren't supported.
+
+    created_at, producer, source_ids, capabilities and loss_summary are looked at where the table has them.
+    """
     known = F.coalesce(F.col("format_version").isin(*versions), F.lit(False))
     at = lambda field: F.lit(f"manifest.json#/{field}")
     bad = {
@@ -63,11 +73,76 @@ def check_manifests(packages: DataFrame, versions: tuple[str, ...] = ("0.1.0", "
         "package_form": ~F.coalesce(F.col("package_form").isin("directory", "zip"), F.lit(False)),
         "source_embedding_policy": ~F.coalesce(F.col("source_embedding_policy").isin("external", "embedded", "redacted"), F.lit(False)),
     }
+    no = lambda holds: ~F.coalesce(holds, F.lit(False))
+    filled = lambda name: F.forall(name, lambda x: F.coalesce(F.length(x) > 0, F.lit(False)))
+    more = {
+        "created_at": lambda: no(F.col("created_at").rlike(DATE_TIME)),
+        "producer": lambda: no((F.size("producer") == 2) & (F.length(F.try_element_at("producer", F.lit("name"))) > 0) & (F.length(F.try_element_at("producer", F.lit("version"))) > 0)),
+        "source_ids": lambda: no((F.size("source_ids") > 0) & filled("source_ids") & (F.size(F.array_distinct("source_ids")) == F.size("source_ids"))),
+        "capabilities": lambda: no((F.size("capabilities") > 0) & F.forall(F.map_values("capabilities"), lambda x: F.coalesce(x.isin(*SUPPORT_LEVELS), F.lit(False)))),
+        "loss_summary": lambda: no(filled("loss_summary")),
+    }
+    bad |= {field: wrong() for field, wrong in more.items() if field in packages.columns}
     lacking = F.size(F.array_except("required_extensions", F.array(*map(F.lit, extensions)).cast("array<string>"))) > 0
     rules = [(~known, "VERSION_UNSUPPORTED", at("version")), (F.coalesce(lacking, F.lit(False)), "REQUIRED_EXTENSION_UNSUPPORTED", at("required_extensions"))]
     return _each(packages, rules + [(known & wrong, "SCHEMA_INVALID", at(field)) for field, wrong in bad.items()])
 
 
+def check_artifacts(inventory: DataFrame) -> DataFrame:
+    """Entries (package_id, place, path, sha256, bytes, media_type, role, authoritative) whose fields are missing or of the wrong form."""
+    at = lambda field: F.format_string(f"manifest.json#/artifacts/%d/{field}", F.col("place"))
+    good = {
+        "path": F.col("path").rlike(r"^(?!/)(?!.*(?:^|/)\.\.(?:/|$)).+"),
+        "sha256": F.col("sha256").rlike(HEX64),
+        "bytes": F.col("bytes") >= 0,
+        "media_type": F.length("media_type") > 0,
+        "role": F.length("role") > 0,
+        "authoritative": F.col("authoritative").isNotNull(),
+    }
+    return _each(inventory, [(~F.coalesce(holds, F.lit(False)), "SCHEMA_INVALID", at(field)) for field, holds in good.items()])
+
+
+def check_schemas(records: DataFrame) -> DataFrame:
+    """Lines (package_id, path, line, json) whose common fields haven't the form of the record schema, one row a place.
+
+    A missing or surplus field is told at the object, a wrong value at itself. record_id and record_type are told by
+    :func:`check_records`, as are lines that are no JSON.
+    """
+    get = lambda at, kind: F.try_variant_get("doc", at, kind)
+    kind = lambda at: F.schema_of_variant(F.variant_get("doc", at, "variant"))
+    pointer = lambda at: F.lit(at.removeprefix("$").replace(".", "/"))
+    is_text = lambda value: F.coalesce((F.schema_of_variant(value) == "STRING") & (F.try_variant_get(value, "$", "string") != ""), F.lit(False))
+    surplus = lambda value, names: F.size(F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array(*map(F.lit, names)))) > 0
+
+    def field(at: str, good: Column) -> Column:
+        holder = at.rsplit(".", 1)[0]
+        return F.when(kind(at).isNull(), pointer(holder)).when(~F.coalesce(good, F.lit(False)), pointer(at))
+
+    def ref(value: Column, i: Column) -> Column:
+        here = F.concat(F.lit("/source_refs/"), i.cast("string"))
+        part = lambda name: F.try_variant_get(value, f"$.{name}", "variant")
+        fields = [F.when(part(n).isNull(), here).when(~is_text(part(n)), F.concat(here, F.lit(f"/{n}"))) for n in SOURCE_REF]
+        return F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.array(here)).otherwise(F.array_compact(F.array(F.when(surplus(value, SOURCE_REF), here), *fields)))
+
+    p, parents = "$.provenance", get("$.provenance.parent_record_ids", "array<variant>")
+    texts = F.transform(parents, lambda x: F.try_variant_get(x, "$", "string"))
+    in_object = [field(f"{p}.{n}", is_text(F.variant_get("doc", f"{p}.{n}", "variant"))) for n in PROVENANCE[:3]]
+    in_object.append(field(f"{p}.recorded_at", (kind(f"{p}.recorded_at") == "STRING") & get(f"{p}.recorded_at", "string").rlike(DATE_TIME)))
+    in_object.append(field(f"{p}.parent_record_ids", F.forall(parents, lambda x: F.schema_of_variant(x) == "STRING") & (F.size(F.array_distinct(texts)) == F.size(texts))))
+    in_object.append(F.when(surplus(F.variant_get("doc", p, "variant"), PROVENANCE), pointer(p)))
+    is_object = F.coalesce(kind(p).startswith("OBJECT"), F.lit(False))
+    refs = get("$.source_refs", "array<variant>")
+    none = F.array().cast("array<string>")
+    told = F.concat(
+        F.array_compact(F.array(field("$.record_version", get("$.record_version", "string").isin(*RECORD_VERSIONS) & (kind("$.record_version") == "STRING")), field("$.source_refs", refs.isNotNull()), field(p, is_object), F.when(~kind("$.extensions").startswith("OBJECT"), pointer("$.extensions")))),
+        F.coalesce(F.flatten(F.transform(refs, ref)), none),
+        F.when(is_object, F.array_compact(F.array(*in_object))).otherwise(none),
+    )
+    told = F.when(kind("$").startswith("OBJECT"), F.array_distinct(told)).otherwise(F.array(F.lit("")))
+    rows = records.withColumn("doc", F.try_parse_json("json")).filter("doc is not null").withColumn("pointer", F.explode(told))
+    return _rows(rows, "SCHEMA_INVALID", F.concat(F.format_string("%s:%d", F.col("path"), F.col("line")), F.when(F.col("pointer") != "", F.concat(F.lit("#"), "pointer")).otherwise("")))
+
+
 def check_records(records: DataFrame) -> DataFrame:
     """Lines (package_id, path, line, record_id, record_type, json) that are no JSON, of the wrong form, repeated or out of order.
 

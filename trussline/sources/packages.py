@@ -140,9 +140,11 @@ def validate_packages(files: DataFrame) -> DataFrame:
         row(all_packages.join(packages, "package_id", "left_anti"), "MANIFEST_MISSING", F.lit("manifest.json")),
         row(packages.filter("is_broken"), "MANIFEST_INVALID", F.lit("manifest.json")),
         validate.check_manifests(good),
+        validate.check_artifacts(named),
         validate.check_inventory(named, files, good),
         validate.check_digests(good, validate.logical_digests(named, files)),
         validate.check_records(lines),
+        validate.check_schemas(lines),
         validate.check_evidence(lines.filter(F.try_parse_json("json").isNotNull())),
     ]
     return reduce(DataFrame.union, parts).distinct()
