@@ -164,17 +164,26 @@ def derive_capabilities(observed: DataFrame) -> DataFrame:
 def requirement_findings(instances: DataFrame, properties: DataFrame, requirements: list[dict]) -> DataFrame:
     """Findings (package_id, requirement, id, code) of model requirements over instances (package_id, id, original_class).
 
-    A requirement has a name, an entity class, a property, and optionally a value or pattern; it applies to the class's
-    instances, each of which needs the property (package_id, id, name, value). ``cardinality`` prohibited turns it round.
+    A requirement has a name, an entity class, a property, and optionally a value, values, a pattern or bounds of a number;
+    it applies to the class's instances, each of which needs the property (package_id, id, name, value). ``cardinality``
+    prohibited turns it round; with optional only those that have the property must meet it.
     """
-    parts = []
+    bounds = {"minInclusive": lambda x, y: x >= y, "maxInclusive": lambda x, y: x <= y, "minExclusive": lambda x, y: x > y, "maxExclusive": lambda x, y: x < y}
+    parts = [instances.limit(0).select("package_id", F.lit("").alias("requirement"), "id", F.lit("").alias("code"))]
     for r in requirements:
         chosen = instances.filter(F.col("original_class") == r["entity"]).select("package_id", "id").distinct()
-        met = properties.filter(F.col("name") == r["property"])
+        held = properties.filter(F.col("name") == r["property"])
+        met = held
         if "value" in r:
             met = met.filter(F.col("value") == r["value"])
+        if "values" in r:
+            met = met.filter(F.col("value").isin(*r["values"]))
         if "pattern" in r:
             met = met.filter(F.col("value").rlike(f"^(?:{r['pattern']})$"))
+        for name in bounds.keys() & r.keys():
+            met = met.filter(bounds[name](F.col("value").try_cast("double"), F.lit(r[name])))
+        if r.get("cardinality") == "optional":
+            chosen = chosen.join(held.select("package_id", "id").distinct(), ["package_id", "id"], "left_semi")
         banned = r.get("cardinality") == "prohibited"
         bad = chosen.join(met.select("package_id", "id").distinct(), ["package_id", "id"], "left_semi" if banned else "left_anti")
         parts.append(bad.select("package_id", F.lit(r["name"]).alias("requirement"), "id", F.lit("REQUIREMENT_PROHIBITED" if banned else "REQUIREMENT_UNMET").alias("code")))
