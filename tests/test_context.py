@@ -81,3 +81,13 @@ def test_rendered_contexts_keep_their_budget(spark):
         taken = [k for k in range(40) if (p, k) in texts and any(texts[p, k] in c for c in chunks)]
         assert f"Records in the context: {len(taken)}\n" in index
     assert len(files["a"]) > len(files["b"]) > 0 and files["c"] == {}
+
+
+def test_repeated_places_are_rendered_once_each(spark):
+    from pyspark.sql import functions as F
+
+    sections = spark.createDataFrame([("a", 1, "r", "x\n")] * 3 + [("a", 1, "q", "y\n")], "package_id string, place int, record_id string, section string").withColumns({"size": F.lit(2).cast("long"), "total": F.lit(4).cast("long")})
+    packages = spark.createDataFrame([("a", "d", "{}", "[]")], "package_id string, logical_digest string, capabilities string, losses string")
+    got = {r.path: r.content for r in context.render(sections, packages).collect()}
+    assert got["context/chunk-001.md"] == "# Context chunk 1\n\ny\nx\nx\nx\n"
+    assert "Records in the context: 4\n" in got["context/index.md"]

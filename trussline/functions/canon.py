@@ -138,7 +138,8 @@ def token_estimate(text: Column) -> Column:
 
 
 def base64url(data: Column) -> Column:
-    return F.translate(F.base64(data), "+/=", "-_")
+    # the lines that base64 may be cut into are joined again
+    return F.translate(F.base64(data), "+/=\r\n", "-_")
 
 
 def fingerprint(check_id: Column, code: Column, subject: Column, state: Column, refs: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.canon import token_estimate
@@ -127,8 +127,11 @@ def render(sections: DataFrame, packages: DataFrame, profile: str = "agent", bud
 
     ``sections`` is as for :func:`pack`, with the text as ``section``. Sections are admitted against the size of the
     package's own index with six digits for the estimate; the estimate itself then stands in it. What meets in one row is bounded
-    by the budgets of a chunk and of the context. A package without sections has an index only.
+    by the budgets of a chunk and of the context. A package without sections has an index only. Sections of one place come
+    by record id and text.
     """
+    each = Window.partitionBy("package_id").orderBy("place", "record_id", "section")
+    sections = sections.withColumn("place", F.row_number().over(each))
     blank = F.lit("")
     sized = packages.withColumn("index_bytes", F.octet_length(index_text(packages, profile, budget, F.lit("9" * 6), blank, blank, blank)).cast("long"))
     measured = sections.join(sized.select("package_id", "index_bytes"), "package_id")

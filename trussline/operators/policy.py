@@ -104,14 +104,21 @@ def package_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     levels = lambda m: m.join(both, "package_id", "left_semi").select("package_id", F.explode("capabilities").alias("capability", "level"))
     worse = diff.capability_regressions(diff.diff_maps(levels(old), levels(new), ["package_id"], "capability", "level"))
     parts.append(worse.select("package_id", F.lit("capability_regressions"), "capability", F.concat("before", F.lit("->"), F.coalesce("after", F.lit("missing")))))
-    fields = {"loss_summary": "loss_changes", "source_ids": "identity_changes", "source_embedding_policy": "identity_changes", "named": "identity_changes", "format_version": "version_changes"}
-    pair = old.select("package_id", *[F.to_json(F.struct(F.col(c))).alias(f"b_{c}") for c in (*fields, "producer")]).join(new.select("package_id", *[F.to_json(F.struct(F.col(c))).alias(f"a_{c}") for c in (*fields, "producer")]), "package_id")
-    for column, category in {**fields, "producer": "producer_changes"}.items():
-        differs = pair.filter(~F.col(f"b_{column}").eqNullSafe(F.col(f"a_{column}")))
-        parts.append(differs.select("package_id", F.lit(category), F.lit(f"manifest.{column}"), F.lit("changed")))
+    parts.append(manifest_changes(old, new))
     return reduce(DataFrame.union, parts)
 
 
+def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changes of losses (their order counts), identity, producer and version between manifests of the same packages."""
+    fields = {"loss_summary": "loss_changes", "source_ids": "identity_changes", "source_embedding_policy": "identity_changes", "named": "identity_changes", "producer": "producer_changes", "format_version": "version_changes"}
+    # the entries of a map have no order of their own
+    plain = lambda m, c: F.array_sort(F.map_entries(c)) if m.schema[c].dataType.typeName() == "map" else F.col(c)
+    side = lambda m, prefix: m.select("package_id", *[F.to_json(F.struct(plain(m, c).alias(c))).alias(f"{prefix}{c}") for c in fields])
+    pair = side(before, "b_").join(side(after, "a_"), "package_id")
+    told = [F.when(~F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}")), F.struct(F.lit(category).alias("category"), F.lit(f"manifest.{c}").alias("subject_id"), F.lit("changed").alias("observed_state"))) for c, category in fields.items()]
+    return pair.select("package_id", F.inline(F.array_compact(F.array(*told))))
+
+
 def within_limit(findings: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
     """``findings`` with those of a package that has more than ``most`` replaced by one error; other packages keep theirs."""
     counts = findings.groupBy("package_id").agg(F.count("*").alias("n")).filter(F.col("n") > most)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
-from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, providers, query, trust, validate
+from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
-from trussline.sources import scanners
+from trussline.sources import dxf_geometry, packages, scanners
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -725,3 +725,179 @@ def response_validation(spark, d):
 def request_ids(spark, d):
     text = F.format_string('{"b": %d, "a": "%s"}', "c_nationkey", "c_mktsegment")
     return table(spark, d, "customer").select("c_custkey", providers.request_id(text, F.sha2("c_name", 256)).alias("request_id"))
+
+
+# ---- scans of files made of rows
+
+
+def _file(rows, key, content):
+    """Texts as files of packages named by a key."""
+    return rows.select(F.col(key).cast("string").alias("package_id"), F.lit("file").alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+def _number(column):
+    return F.col(column).cast("long").cast("string")
+
+
+@register("""SELECT l_orderkey AS package_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY printf('entity-%010d', l_suppkey)) AS line, printf('entity-%010d', l_suppkey) AS record_id, 'entity' AS record_type FROM lineitem""")
+def record_scan(spark, d):
+    """Record lines written as sorted files and read again."""
+    name = F.format_string("entity-%010d", F.col("l_suppkey").cast("long"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("package_id"), F.lit("model/entities.jsonl").alias("path"), name.alias("record_id"))
+    lines = lines.withColumn("json", F.format_string('{"record_id":"%s","record_type":"entity"}', "record_id"))
+    return packages.records(packages.jsonl_files(lines)).select("package_id", F.col("line").cast("long").alias("line"), "record_id", "record_type")
+
+
+@register("""SELECT c_custkey AS package_id, 'SCHEMA_INVALID' AS code, 'model/entities.jsonl:1' || pointer AS path FROM customer, (VALUES (7, ''), (5, '#/record_version'), (3, '#/source_refs/0/locator'), (4, '#/provenance/recorded_at'), (6, '#/provenance')) v(k, pointer)
+WHERE c_custkey % k = 0 AND NOT (pointer LIKE '#/prov%' AND c_custkey % 7 = 0)""")
+def record_schemas(spark, d):
+    k = F.col("c_custkey")
+    version = F.when(k % 5 == 0, "3").otherwise("0.2")
+    locator = F.when(k % 3 == 0, "").otherwise("row")
+    moment = F.when(k % 4 == 0, "soon").otherwise("2024-01-01T00:00:00Z")
+    method = F.when(k % 6 == 0, "").otherwise('"method":"m",')
+    origin = F.concat(F.lit(',"provenance":{"producer_id":"p","producer_version":"1",'), method, F.lit('"recorded_at":"'), moment, F.lit('","parent_record_ids":["a"]}'))
+    body = F.concat(F.lit('{"record_version":"'), version, F.lit('","source_refs":[{"source_id":"s","locator":"'), locator, F.lit('"}]'), F.when(k % 7 == 0, "").otherwise(origin), F.lit("}"))
+    return validate.check_schemas(table(spark, d, "customer").select(k.alias("package_id"), F.lit("model/entities.jsonl").alias("path"), F.lit(1).alias("line"), body.alias("json")))
+
+
+_CHANGES = """changes AS (SELECT s_suppkey AS package_id, category, field AS subject_id FROM supplier, (VALUES (2, 'loss_changes', 'manifest.loss_summary'), (3, 'identity_changes', 'manifest.source_ids'), (5, 'identity_changes', 'manifest.source_embedding_policy'),
+(7, 'identity_changes', 'manifest.named'), (4, 'producer_changes', 'manifest.producer'), (11, 'version_changes', 'manifest.format_version')) v(k, category, field) WHERE s_suppkey % k = 0)"""
+
+
+def _manifest_changes(spark, d):
+    k = F.col("s_suppkey")
+    name = F.col("s_name")
+    keys = lambda *parts: F.create_map(*[x for p in parts for x in p])
+    producer = ((F.lit("name"), name), (F.lit("version"), F.lit("1")))
+    s = table(spark, d, "supplier").withColumn("package_id", k)
+    fixed = {"loss_summary": F.array(name, F.lit("x")), "source_ids": F.array(name), "source_embedding_policy": F.lit("external"), "named": name, "producer": keys(*producer), "format_version": F.lit("0.1.0")}
+    other = {"loss_summary": (2, F.array(F.lit("x"), name)), "source_ids": (3, F.array(name, name)), "source_embedding_policy": (5, F.lit("redacted")), "named": (7, F.lit(None).cast("string")), "producer": (4, keys(producer[0], (F.lit("version"), F.lit("2")))), "format_version": (11, F.lit("0.2.0"))}
+    after = {c: F.when(k % n == 0, value).otherwise(fixed[c]) for c, (n, value) in other.items()}
+    after["producer"] = F.when(k % 4 == 0, other["producer"][1]).otherwise(keys(*producer[::-1]))
+    return policy.manifest_changes(s.select("package_id", *[v.alias(c) for c, v in fixed.items()]), s.select("package_id", *[v.alias(c) for c, v in after.items()]))
+
+
+@register(f"WITH {_CHANGES} SELECT *, 'changed' AS observed_state FROM changes")
+def manifest_changes(spark, d):
+    return _manifest_changes(spark, d)
+
+
+@register(f"""WITH {_CHANGES} SELECT package_id, 'regression' AS check_id, 'DIFF_' || upper(category) AS code, subject_id, 'changed' AS observed_state, CASE category WHEN 'loss_changes' THEN 'fail' WHEN 'identity_changes' THEN 'requires_review' ELSE 'error' END AS disposition FROM changes WHERE category <> 'version_changes'""")
+def diff_regression(spark, d):
+    """Version changes are allowed, and changes of the producer have no action."""
+    return gate.diff_regression(_manifest_changes(spark, d), {"loss_changes": "fail", "identity_changes": "requires_review", "version_changes": "allow"})
+
+
+@register("""WITH p AS (SELECT p_partkey AS part, p_size::DOUBLE AS s FROM part)
+SELECT part, 'CIRCLE' AS type, s AS x, 2.0::DOUBLE AS y, 0.0::DOUBLE AS z, 'linear-element' AS kind, 'a' AS layer FROM p UNION ALL SELECT part, 'ARC', -s, 2.0, -3.0, 'linear-element', 'b' FROM p UNION ALL SELECT part, 'CIRCLE', 3.0, s, 2.0, 'linear-element', 'c' FROM p""")
+def drawing_planes(spark, d):
+    """Parts as drawings: two circles and an arc, their centres in world coordinates."""
+    size = _number("p_size")
+    marks = ["0 SECTION 2 ENTITIES 0 CIRCLE 8 a 10 ", size, " 20 2 0 ARC 8 b 10 ", size, " 20 2 30 3 210 0 220 0 230 -1 0 CIRCLE 8 c 10 ", size, " 20 2 30 3 210 1 220 0 230 0 0 ENDSEC 0 EOF"]
+    text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
+    entities = scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))
+    rows = dxf_geometry.plane_entities(entities).join(entities.select(*dxf_geometry.KEYS, "kind", "layer"), dxf_geometry.KEYS)
+    return rows.select(F.col("package_id").cast("long").alias("part"), "type", *[F.round(F.col("center_world")[k], 9).alias(c) for k, c in enumerate("xyz")], "kind", "layer")
+
+
+@register("""WITH p AS (SELECT p_partkey AS part, p_size::DOUBLE AS s, greatest(8, ceil(2 * pi() / (2 * acos(1 - least(0.001 / p_size, 1)))))::BIGINT AS n FROM part)
+SELECT part, k, round(s + s * cos(2 * pi() * k / n), 6) + 0.0 AS x, round(s / 2 * sin(2 * pi() * k / n), 6) + 0.0 AS y FROM p, range(0, 1000) r(k) WHERE k <= n""")
+def drawing_ellipses(spark, d):
+    """Parts as whole ellipses; all points of their samples."""
+    size = _number("p_size")
+    text = F.replace(F.concat(F.lit("0 SECTION 2 ENTITIES 0 ELLIPSE 10 "), size, F.lit(" 20 0 11 "), size, F.lit(" 21 0 40 0.5 0 ENDSEC 0 EOF")), F.lit(" "), F.lit("\n"))
+    found = dxf_geometry.sampled_ellipses(dxf_geometry.curves(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))))
+    points = found.select(F.col("package_id").cast("long").alias("part"), F.posexplode("points").alias("k", "p"))
+    return points.select("part", F.col("k").cast("long").alias("k"), (F.round(F.col("p")[0], 6) + 0.0).alias("x"), (F.round(F.col("p")[1], 6) + 0.0).alias("y"))
+
+
+def _step(spark, d):
+    o = table(spark, d, "orders")
+    marks = ["ISO-10303-21;HEADER;ENDSEC;DATA;#1=IFCWALL('", F.col("o_orderpriority"), "',#2);#2=IFCPROPERTYSINGLEVALUE('Status',$,IFCLABEL('", F.col("o_orderstatus"), "'),$);#3=IFCRELAGGREGATES(#1,#", (F.col("o_orderkey") % 5 + 1).cast("string"), ");ENDSEC;END-ISO-10303-21;"]
+    return scanners.step_instances(_file(o, "o_orderkey", F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks])))
+
+
+@register("""SELECT o_orderkey AS package_id, id, class AS original_class, CASE id WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 2 END END AS n_refs FROM orders, (VALUES (1, 'IFCWALL'), (2, 'IFCPROPERTYSINGLEVALUE'), (3, 'IFCRELAGGREGATES')) v(id, class)""")
+def step_scan(spark, d):
+    return _step(spark, d).select(F.col("package_id").cast("long").alias("package_id"), F.col("id").cast("int").alias("id"), "original_class", F.size("refs").alias("n_refs"))
+
+
+@register("""SELECT o_orderkey AS package_id, 'property' AS kind, 'Status' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'aggregation', '3', '1' FROM orders UNION ALL SELECT o_orderkey, 'aggregation', '3', (o_orderkey % 5 + 1)::VARCHAR FROM orders WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, 'dangling', '3', (o_orderkey % 5 + 1)::VARCHAR FROM orders WHERE o_orderkey % 5 > 2""")
+def model_scan(spark, d):
+    """Properties, relations and dangling references of the models of all orders."""
+    found = _step(spark, d)
+    row = lambda rows, kind, name, value: rows.select(F.col("package_id").cast("long").alias("package_id"), F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
+    relations = scanners.ifc_relations(found)
+    return row(scanners.ifc_properties(found), "property", "name", "value").union(row(relations, "aggregation", "id", "ref")).union(row(scanners.dangling_instances(found), "dangling", "id", "ref"))
+
+
+@register("""SELECT s_suppkey AS package_id, s_nationkey AS x, t AS triangle, b, c FROM supplier, (VALUES (1, 1, 2), (2, 2, 3)) v(t, b, c)""")
+def mesh_scan(spark, d):
+    """Suppliers as one quad, counted back from its last vertex; the triangles with the place of their first corner."""
+    n = _number("s_nationkey")
+    text = F.concat(F.lit("v "), n, F.lit(" 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf -4 -3/1 -2//2 4\n"))
+    vertices, faces = scanners.obj_mesh(_file(table(spark, d, "supplier"), "s_suppkey", text))
+    corner = vertices.select("package_id", "path", F.col("vertex").alias("a"), F.col("x").cast("int").alias("x"))
+    return faces.join(corner, ["package_id", "path", "a"]).select(F.col("package_id").cast("long").alias("package_id"), "x", (F.col("c") - 1).cast("int").alias("triangle"), F.col("b").cast("int").alias("b"), F.col("c").cast("int").alias("c"))
+
+
+@register("""SELECT s_suppkey AS package_id, 110 AS entity_type, s_nationkey AS level, 2 AS form, 'LINE' AS label, false AS is_external, true AS is_paired FROM supplier UNION ALL SELECT s_suppkey, 416, 0, 0, '', true, s_suppkey % 2 = 0 FROM supplier""")
+def directory_scan(spark, d):
+    card = lambda text, n: F.concat(F.rpad(text, 72, " "), F.lit("D" + str(n).rjust(7)))
+    plain = lambda *v: F.lit("".join(str(x).rjust(8) for x in v))
+    level = F.lpad(_number("s_nationkey"), 8, " ")
+    last = F.when(F.col("s_suppkey") % 2 == 0, 416).otherwise(417).cast("string")
+    cards = [card(F.concat(plain(110, 1, 0, 0), level), 1), card(F.lit("".join(str(x).rjust(8) for x in (110, 0, 0, 1, 2)) + " " * 16 + "LINE"), 2), card(plain(416, 2), 3), card(F.lpad(last, 8, " "), 4)]
+    found = scanners.iges_directory(_file(table(spark, d, "supplier"), "s_suppkey", F.concat_ws("\n", *cards)))
+    return found.select(F.col("package_id").cast("long").alias("package_id"), "entity_type", "level", "form", "label", "is_external", "is_paired")
+
+
+@register("""SELECT s_suppkey AS package_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'PGM' END AS format, CASE WHEN s_suppkey % 3 <> 0 THEN (s_nationkey + 1) * 1000 ELSE 0 END AS width, CASE WHEN s_suppkey % 3 <> 0 THEN 7000 ELSE 0 END AS height, CASE WHEN s_suppkey % 3 = 0 THEN 'IMAGE_FORMAT_UNSUPPORTED' WHEN s_nationkey >= 14 THEN 'IMAGE_TOO_LARGE' END AS error FROM supplier""")
+def raster_scan(spark, d):
+    head = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "P9").otherwise("P5"), F.lit("\n# scan\n"), ((F.col("s_nationkey") + 1) * 1000).cast("string"), F.lit(" 7000 255\n"))
+    found = scanners.raster_headers(_file(table(spark, d, "supplier"), "s_suppkey", head))
+    return found.select(F.col("package_id").cast("long").alias("package_id"), "format", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"), "error")
+
+
+@register("SELECT page_id, sha256(encode(html)) AS sha256, octet_length(encode(html))::BIGINT AS bytes, 'embedded' AS embedding_policy, 'sources/' || sha256(encode(html)) AS storage_ref FROM pages")
+def opaque_register(spark, d):
+    pages = table(spark, d, "pages").select(F.lit("p").alias("package_id"), F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return scanners.register_opaque(pages, "embedded").select(F.col("path").cast("long").alias("page_id"), "sha256", "bytes", "embedding_policy", "storage_ref")
+
+
+@register("""WITH e AS (SELECT o_custkey AS package_id, o_orderkey::VARCHAR AS path, o_orderkey % 4 = 0 AS gone, o_orderkey % 9 = 0 AS other, o_orderstatus = 'F' AS root FROM orders)
+SELECT package_id, 'BUNDLE_ROOT_INVALID' AS code, '' AS path FROM e GROUP BY 1 HAVING count(*) FILTER (root) <> 1 UNION ALL SELECT package_id, 'BUNDLE_TOO_MANY_ENTRIES', '' FROM e GROUP BY 1 HAVING count(*) > 32
+UNION ALL SELECT package_id, 'BUNDLE_ENTRY_MISSING', path FROM e WHERE gone UNION ALL SELECT package_id, 'BUNDLE_ENTRY_MISMATCH', path FROM e WHERE other AND NOT gone UNION ALL SELECT o_custkey, 'BUNDLE_FILE_UNLISTED', 'x' || o_orderkey FROM orders WHERE o_orderkey % 25 = 0""")
+def bundle_check(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("package_id"), k.cast("string").alias("path"), k, "o_orderstatus", k.alias("bytes"), F.sha2("o_orderstatus", 256).alias("sha256"))
+    entries = o.withColumn("role", F.when(F.col("o_orderstatus") == "F", "root").otherwise("part"))
+    found = o.filter("o_orderkey % 4 <> 0").withColumn("bytes", F.when(k % 9 == 0, -1).otherwise(k)).select("package_id", "path", "bytes", "sha256")
+    beside = o.filter("o_orderkey % 25 = 0").select("package_id", F.concat(F.lit("x"), "path"), "bytes", "sha256")
+    return scanners.check_bundles(entries, found.union(beside))
+
+
+@register("SELECT page_id, sha256(encode(nfc_normalize(html))) AS nfc, sha256(encode(translate(to_base64(encode(html)), '+/=', '-_'))) AS code FROM pages")
+def text_forms(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(canon.nfc("html"), 256).alias("nfc"), F.sha2(canon.base64url(F.encode("html", "UTF-8")), 256).alias("code"))
+
+
+@register("""WITH s AS (SELECT o_orderkey, o_orderstatus, l_linenumber * 100000000 + l_suppkey * 100 + l_quantity::BIGINT AS place, '## `r' || l_linenumber || '` (entity)' || chr(10) || chr(10) || 'Authority: `lines:' || l_suppkey || '`' || chr(10) || chr(10) || '```json' || chr(10) || '{"q":' || l_quantity::BIGINT || '}' || chr(10) || '```' || chr(10) AS section FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+c AS (SELECT o_orderkey AS package_id, any_value(o_orderstatus) AS status, count(*) AS n, '# Context chunk 1' || chr(10) || chr(10) || string_agg(section, '' ORDER BY place, section) AS content FROM s GROUP BY 1),
+i AS (SELECT package_id, (octet_length(encode(content)) + 3) // 4 AS held,
+  '# Context index' || chr(10) || chr(10) || '- Package: `' || package_id || '`' || chr(10) || '- Digest: `' || status || '`' || chr(10) || '- Profile: agent' || chr(10) || '- Token budget: 40000' || chr(10) || '- Token estimate: ' AS head,
+  chr(10) || '- Records in the context: ' || n || chr(10) || '- Records left out: 0' || chr(10) || '- Capabilities: `{}`' || chr(10) || '- Losses: `[]`' || chr(10) || chr(10) || '## Chunks' || chr(10) || chr(10) || '- [chunk-001.md](chunk-001.md)' || chr(10) || chr(10) || 'This is a selection; exact questions go to the records themselves.' || chr(10) AS foot FROM c),
+x AS (SELECT package_id, head || (held + (octet_length(encode(head)) + 6 + octet_length(encode(foot)) + 3) // 4) || foot AS content FROM i)
+SELECT package_id, 'context/chunk-001.md' AS path, content, ((octet_length(encode(content)) + 3) // 4)::BIGINT AS tokens FROM c UNION ALL SELECT package_id, 'context/index.md', content, ((octet_length(encode(content)) + 3) // 4)::BIGINT FROM x""")
+def context_render(spark, d):
+    """Orders as packages and their lines as sections; each order has one chunk."""
+    li = table(spark, d, "lineitem").withColumn("package_id", F.col("l_orderkey"))
+    place = F.col("l_linenumber").cast("long") * 10**8 + F.col("l_suppkey").cast("long") * 100 + F.col("l_quantity").cast("long")
+    body = F.format_string('{"q":%d}', F.col("l_quantity").cast("long"))
+    text = context.section(F.concat(F.lit("r"), _number("l_linenumber")), F.lit("entity"), F.lit("lines"), F.col("l_suppkey").cast("long"), body)
+    sections = li.select("package_id", place.alias("place"), _number("l_linenumber").alias("record_id"), text.alias("section"), F.count("*").over(Window.partitionBy("package_id")).alias("total")).withColumn("size", F.octet_length("section").cast("long"))
+    heads = li.select("package_id").distinct().join(table(spark, d, "orders").select(F.col("o_orderkey").alias("package_id"), F.col("o_orderstatus").alias("logical_digest")), "package_id")
+    heads = heads.withColumns({"capabilities": F.lit("{}"), "losses": F.lit("[]")})
+    return context.render(sections, heads)
