@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, quotes, simhash, token_counts
+from trussline.llm import forest, language_id, lm_scoring, matroska, mixing, pieces, pii, quotes, repair, simhash, token_counts, token_files, tokenizer_alignment
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.alignment_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(_table(spark, sf_dir, "documents"))
+
+
 def plain_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain counts of op6, which SQL can express."""
     return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -102,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quotation_linking": op8_quotation_linking,
         "op9_simhash": op9_simhash,
         "op10_matroska": op10_matroska,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_token_files": op13_token_files,
         "plain_pii_counts": plain_pii_counts,
         "media_payloads": media_payloads,
     }
@@ -110,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": mixing.MIX_SQL,
+        "op11_conversation_repair": repair.REPAIR_SQL,
         "plain_pii_counts": _PLAIN_PII_SQL,
         "media_payloads": _PAYLOAD_SQL,
     }
