@@ -200,7 +200,9 @@ class TokenReader(DataSourceReader):
         with system.open_input_stream(f"{root}/{MANIFEST}") as source:
             return [Shard(f["file"], f["start"]) for f in json.loads(source.read())["files"]]
 
-    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Shard | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files
+            return
         system, root = place_of(self.path)
         path = f"{root}/{partition.file}"
         with system.open_input_file(path) as source:
