@@ -6,7 +6,7 @@ import struct
 import pytest
 
 from tests.test_scanners import files
-from trussline.sources import binary_meshes, dxf_geometry, scanners
+from trussline.sources import binary_meshes, curve_samples, dxf_geometry, scanners
 
 
 def drawing(spark, *entities):
@@ -34,7 +34,7 @@ def test_curves(spark):
 
 def test_ellipses_are_sampled_within_the_error(spark):
     e = drawing(spark, "0 ELLIPSE 5 A 10 0 20 0 30 0 11 2 21 0 31 0 40 0.5 41 0 42 6.283185307179586", "0 ELLIPSE 5 B 10 0 20 0 11 1e9 21 0 40 0.5 41 0 42 6", "0 ELLIPSE 5 C 10 0 20 0")
-    got = {r.handle: r for r in dxf_geometry.sampled_ellipses(dxf_geometry.curves(e)).collect()}
+    got = {r.handle: r for r in curve_samples.sampled_curves(dxf_geometry.curves(e)).collect()}
     points = got["A"].points
     assert all(abs((x / 2) ** 2 + y**2 - 1) < 1e-12 and z == 0 for x, y, z in points)
     for (ax, ay, _), (bx, by, _) in zip(points, points[1:]):

@@ -11,7 +11,7 @@ from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
 from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
-from trussline.sources import dxf_geometry, packages, scanners
+from trussline.sources import curve_samples, dxf_geometry, packages, scanners
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -807,7 +807,25 @@ def drawing_ellipses(spark, d):
     """Parts as whole ellipses; all points of their samples."""
     size = _number("p_size")
     text = F.replace(F.concat(F.lit("0 SECTION 2 ENTITIES 0 ELLIPSE 10 "), size, F.lit(" 20 0 11 "), size, F.lit(" 21 0 40 0.5 0 ENDSEC 0 EOF")), F.lit(" "), F.lit("\n"))
-    found = dxf_geometry.sampled_ellipses(dxf_geometry.curves(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))))
+    found = curve_samples.sampled_curves(dxf_geometry.curves(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))))
+    points = found.select(F.col("package_id").cast("long").alias("part"), F.posexplode("points").alias("k", "p"))
+    return points.select("part", F.col("k").cast("long").alias("k"), (F.round(F.col("p")[0], 6) + 0.0).alias("x"), (F.round(F.col("p")[1], 6) + 0.0).alias("y"))
+
+
+@register("""WITH RECURSIVE p AS (SELECT DISTINCT p_size::DOUBLE AS s FROM part),
+spots AS (SELECT s, j, 6 * s * t * t * (1 - t) + s * t * t * t AS x, 6 * t * (1 - t) * (1 - t) + 2 * s * t * t * t AS y FROM p, (SELECT j::INT AS j, j / 1024.0::DOUBLE AS t FROM range(0, 1025) r(j))),
+cut AS (SELECT s, (k * 128)::INT AS a, ((k + 1) * 128)::INT AS b FROM p, range(0, 8) r(k)
+ UNION ALL SELECT s, unnest([a, (a + b) // 2])::INT, unnest([(a + b) // 2, b])::INT FROM (
+  SELECT c.s, c.a, c.b, max(abs((v.y - u.y) * (q.x - u.x) - (v.x - u.x) * (q.y - u.y)) / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2)) AS off
+  FROM cut c JOIN spots u ON u.s = c.s AND u.j = c.a JOIN spots v ON v.s = c.s AND v.j = c.b, range(1, 4) r(m) JOIN spots q ON q.s = c.s AND q.j = c.a + m * (c.b - c.a) // 4 GROUP BY ALL) WHERE off > 0.001),
+ends AS (SELECT s, a AS j FROM cut UNION SELECT s, b FROM cut)
+SELECT p_partkey AS part, (dense_rank() OVER (PARTITION BY p_partkey ORDER BY j) - 1)::BIGINT AS k, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM part JOIN ends ON ends.s = p_size JOIN spots USING (s, j)""")
+def drawing_splines(spark, d):
+    """Parts as cubic splines of one span; all points of their samples."""
+    size = _number("p_size")
+    marks = ["0 SECTION 2 ENTITIES 0 SPLINE 70 8 71 3 72 8 73 4 74 0 40 0 40 0 40 0 40 0 40 1 40 1 40 1 40 1 10 0 20 0 10 0 20 2 10 ", (F.col("p_size").cast("long") * 2).cast("string"), " 20 0 10 ", size, " 20 ", (F.col("p_size").cast("long") * 2).cast("string"), " 0 ENDSEC 0 EOF"]
+    text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
+    found = curve_samples.sampled_curves(dxf_geometry.curves(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))))
     points = found.select(F.col("package_id").cast("long").alias("part"), F.posexplode("points").alias("k", "p"))
     return points.select("part", F.col("k").cast("long").alias("k"), (F.round(F.col("p")[0], 6) + 0.0).alias("x"), (F.round(F.col("p")[1], 6) + 0.0).alias("y"))
 

@@ -1,4 +1,4 @@
-"""Geometry of drawing entities: curves and their samples, extrusion axes, and polylines that are meshes."""
+"""Geometry of drawing entities: parameters of curves, extrusion axes, and polylines that are meshes."""
 
 from __future__ import annotations
 
@@ -38,40 +38,36 @@ def _length(a: Column) -> Column:
     return F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
 
 
-def _scaled(a: Column, factor: Column) -> Column:
-    return F.transform(a, lambda x: x * factor)
+def _with_extrusion(rows: DataFrame) -> DataFrame:
+    """``extrusion``: the unit normal of an entity's plane; z where the entity names none. Each step is a column, so that no expression is written out twice."""
+    z = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    steps = rows.withColumn("__normal", _point(210)).withColumn("__length", _length(F.col("__normal")))
+    unit = F.transform("__normal", lambda v: v / F.col("__length"))
+    return steps.withColumn("extrusion", F.when(F.col("__length") > 0, unit).otherwise(z)).drop("__normal", "__length")
 
 
-def _unit(a: Column) -> Column:
-    return F.when(_length(a) > 0, _scaled(a, 1 / _length(a)))
+def _with_world(rows: DataFrame, point: str, name: str) -> DataFrame:
+    """``name``: the column ``point`` of the plane of ``extrusion`` in world coordinates, by the arbitrary-axis rule.
 
-
-def extrusion() -> Column:
-    """The normal of an entity's plane; z where the entity names none."""
-    return F.coalesce(_unit(_point(210)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-
-
-def plane_axes(normal: Column) -> tuple[Column, Column]:
-    """x and y axis of the plane of ``normal``, by the arbitrary-axis rule: near z (within 1/64) x is square to world y, else to world z."""
-    near = (F.abs(normal[0]) < 1 / 64) & (F.abs(normal[1]) < 1 / 64)
-    up = F.when(near, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    x = _unit(_cross(up, normal))
-    return x, _unit(_cross(normal, x))
-
-
-def to_world(point: Column, normal: Column) -> Column:
-    """A point of the plane of ``normal`` in world coordinates."""
-    x, y = plane_axes(normal)
-    return F.array(*[point[0] * x[k] + point[1] * y[k] + point[2] * normal[k] for k in range(3)])
+    Where the normal is near z (within 1/64), the plane's x axis is square to world y, else to world z.
+    """
+    n, zero = F.col("extrusion"), F.lit(0.0)
+    near = (F.abs(n[0]) < 1 / 64) & (F.abs(n[1]) < 1 / 64)
+    steps = rows.withColumn("__across", F.when(near, F.array(n[2], zero, -n[0])).otherwise(F.array(-n[1], n[0], zero)))
+    steps = steps.withColumn("__wide", _length(F.col("__across")))
+    steps = steps.withColumn("__x", F.transform("__across", lambda v: v / F.col("__wide")))
+    steps = steps.withColumn("__y", _cross(n, F.col("__x")))
+    p = F.col(point)
+    world = F.array(*[p[0] * F.col("__x")[k] + p[1] * F.col("__y")[k] + p[2] * n[k] for k in range(3)])
+    return steps.withColumn(name, F.when(p.isNotNull(), world)).drop("__across", "__wide", "__x", "__y")
 
 
 def plane_entities(entities: DataFrame) -> DataFrame:
     """(package_id, path, nth, type, handle, extrusion, center, center_world, elevation) of circles, arcs, flat polylines, solids and traces."""
     rows = entities.filter(F.col("type").isin("CIRCLE", "ARC", "LWPOLYLINE", "SOLID", "TRACE"))
     center = F.when(F.col("type").isin("CIRCLE", "ARC"), _point(10))
-    named = rows.select(*KEYS, "type", "handle", extrusion().alias("extrusion"), center.alias("center"), F.when(F.col("type") == "LWPOLYLINE", _value(38)).alias("elevation"))
-    world = F.when(F.col("center").isNotNull(), to_world(F.col("center"), F.col("extrusion")))
-    return named.withColumn("center_world", world)
+    named = _with_extrusion(rows).select(*KEYS, "type", "handle", "extrusion", center.alias("center"), F.when(F.col("type") == "LWPOLYLINE", _value(38)).alias("elevation"))
+    return _with_world(named, "center", "center_world")
 
 
 def curves(entities: DataFrame) -> DataFrame:
@@ -90,7 +86,7 @@ def curves(entities: DataFrame) -> DataFrame:
         "ratio": F.when(ellipse, _value(40)),
         "start_param": F.when(ellipse, _value(41)),
         "end_param": F.when(ellipse, _value(42)),
-        "extrusion": F.when(ellipse, extrusion()),
+        "extrusion": F.when(ellipse, F.col("extrusion")),
         "degree": F.when(spline, _value(71).cast("int")),
         "flags": F.when(spline, _value(70).cast("int")),
         "knots": F.when(spline, F.slice(some(40), F.lit(1), n_knots)),
@@ -106,30 +102,7 @@ def curves(entities: DataFrame) -> DataFrame:
         "turn_height": F.when(helix, _last(42)),
         "handedness": F.when(helix, _last(290).cast("int")),
     }
-    return entities.filter(spline | line | ellipse).select(*KEYS, "type", "handle", *[value.alias(name) for name, value in fields.items()])
-
-
-def sampled_ellipses(found: DataFrame, chord_error: float = 1e-3, least: int = 8, most: int = 4096) -> DataFrame:
-    """Ellipses of :func:`curves` with ``points`` on them and ``reason``: no chord is further than ``chord_error`` from the curve.
-
-    A curve that takes more than ``most`` points gets none, and the reason says so.
-    """
-    center, major = F.col("center"), F.col("major_axis")
-    minor = _scaled(_cross(F.col("extrusion"), major), F.col("ratio"))
-    turn = 2 * F.acos(F.lit(-1.0))
-    start, end = F.coalesce("start_param", F.lit(0.0)), F.coalesce("end_param", turn)
-    span = F.when(end > start, end - start).otherwise(end - start + turn)
-    step = 2 * F.acos(1 - F.least(F.lit(chord_error) / _length(major), F.lit(1.0)))
-    rows = found.filter("type = 'ELLIPSE'").withColumns({"__minor": minor, "__start": start, "__span": span, "__parts": F.greatest(F.ceil(span / step), F.lit(least)).cast("int")})
-
-    def at(k: Column) -> Column:
-        angle = F.col("__start") + F.col("__span") * k / F.col("__parts")
-        return F.array(*[center[i] + major[i] * F.cos(angle) + F.col("__minor")[i] * F.sin(angle) for i in range(3)])
-
-    fits = F.coalesce(F.col("__parts") < most, F.lit(False))
-    reason = F.when(~F.coalesce(_length(major) * _length(F.col("__minor")) > 0, F.lit(False)) | center.isNull(), "DXF_CURVE_TESSELLATION_FAILED").when(~fits, "DXF_CURVE_VERTEX_LIMIT_EXCEEDED")
-    sampled = rows.withColumns({"points": F.when(reason.isNull(), F.transform(F.sequence(F.lit(0), F.when(fits, F.col("__parts")).otherwise(0)), at)), "reason": reason})
-    return sampled.drop("__minor", "__start", "__span", "__parts")
+    return _with_extrusion(entities.filter(spline | line | ellipse)).select(*KEYS, "type", "handle", *[value.alias(name) for name, value in fields.items()])
 
 
 def _polyline_parts(entities: DataFrame) -> DataFrame:
