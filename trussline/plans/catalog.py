@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
-from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, trust, validate
+from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
 from trussline.sources import curve_samples, dxf_geometry, packages, scanners
+from trussline.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -830,6 +831,43 @@ def drawing_splines(spark, d):
     return points.select("part", F.col("k").cast("long").alias("k"), (F.round(F.col("p")[0], 6) + 0.0).alias("x"), (F.round(F.col("p")[1], 6) + 0.0).alias("y"))
 
 
+_BOX = [(0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)]
+
+
+@register(f"""WITH p AS (SELECT DISTINCT p_size::DOUBLE AS s FROM part), v AS (SELECT s, i, x * s AS x, y * 2.0::DOUBLE AS y, z * 1.0::DOUBLE AS z FROM p, (VALUES (0, 0, 0, 0), (1, 1, 0, 0), (2, 1, 1, 0), (3, 0, 1, 0), (4, 0, 0, 1), (5, 1, 0, 1), (6, 1, 1, 1), (7, 0, 1, 1)) t(i, x, y, z)),
+c AS (SELECT f, k, q[k + 1] AS i, q[(k + 1) % 4 + 1] AS j FROM (VALUES {', '.join(f'({k}, {list(q)})' for k, q in enumerate(_BOX))}) t(f, q), range(0, 4) r(k)),
+fp AS (SELECT s, f, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c JOIN v USING (i) GROUP BY ALL),
+e AS (SELECT fp.s, least(c.i, c.j) AS a, greatest(c.i, c.j) AS b, sum(fp.x) AS x, sum(fp.y) AS y, sum(fp.z) AS z FROM c JOIN fp USING (f) GROUP BY ALL),
+ep AS (SELECT e.s, e.a, e.b, (row_number() OVER (PARTITION BY e.s ORDER BY e.a, e.b) - 1) AS n, (v.x + w.x) / 2 AS mx, (v.y + w.y) / 2 AS my, (v.z + w.z) / 2 AS mz, (v.x + w.x + e.x) / 4 AS x, (v.y + w.y + e.y) / 4 AS y, (v.z + w.z + e.z) / 4 AS z FROM e JOIN v ON v.s = e.s AND v.i = e.a JOIN v w ON w.s = e.s AND w.i = e.b),
+q AS (SELECT fp.s, c.i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c JOIN fp USING (f) GROUP BY ALL), r AS (SELECT ep.s, v.i, avg(mx) AS x, avg(my) AS y, avg(mz) AS z FROM v JOIN ep ON ep.s = v.s AND v.i IN (ep.a, ep.b) GROUP BY ALL),
+n AS (SELECT v.s, v.i AS vertex, (q.x + 2 * r.x) / 3 AS x, (q.y + 2 * r.y) / 3 AS y, (q.z + 2 * r.z) / 3 AS z FROM v JOIN q USING (s, i) JOIN r USING (s, i) UNION ALL SELECT s, 8 + n, x, y, z FROM ep UNION ALL SELECT s, 20 + f, x, y, z FROM fp)
+SELECT p_partkey AS part, vertex::BIGINT AS vertex, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM part JOIN n ON n.s = p_size""")
+def mesh_subdivision(spark, d):
+    """Parts as boxes in subdivision meshes; the vertices after one step."""
+    size = _number("p_size")
+    places = [(0, 0, 0), (1, 0, 0), (1, 2, 0), (0, 2, 0), (0, 0, 1), (1, 0, 1), (1, 2, 1), (0, 2, 1)]
+    marks = ["0 SECTION 2 ENTITIES 0 MESH 91 1 92 8"]
+    for x, y, z in places:
+        marks += [" 10 ", size if x else "0", f" 20 {y} 30 {z}"]
+    marks += [" 93 30" + "".join(" 90 4" + "".join(f" 90 {v}" for v in q) for q in _BOX) + " 94 0 0 ENDSEC 0 EOF"]
+    text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
+    entities = scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))
+    vertices, faces = (stored(rows, "meshes") for rows in dxf_geometry.subdivision_meshes(entities))
+    points, _ = subdivision.subdivide(vertices, faces, dxf_geometry.KEYS)
+    return points.select(F.col("package_id").cast("long").alias("part"), F.col("vertex").cast("long").alias("vertex"), *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])
+
+
+@register("""SELECT p_partkey AS part, e AS element, k, round(CASE k WHEN 0 THEN 0.0 WHEN 1 THEN p_size - d ELSE p_size - d END, 6) + 0.0 AS x, round(CASE k WHEN 2 THEN 2 * p_size ELSE d END, 6) + 0.0 AS y FROM part, (VALUES (0::BIGINT, 0.5::DOUBLE), (1, -0.25)) v(e, d), (VALUES (0::BIGINT), (1), (2)) t(k)""")
+def drawing_multilines(spark, d):
+    """Parts as multilines of two elements around one corner; all points of both lines."""
+    size, twice = _number("p_size"), (F.col("p_size").cast("long") * 2).cast("string")
+    marks = ["0 SECTION 2 ENTITIES 0 MLINE 2 WALL 40 1 70 1 71 0 72 3 73 2 11 0 21 0 31 0 13 0 23 1 33 0 74 1 41 0.5 74 1 41 -0.25 11 ", size, " 21 0 31 0 13 -1 23 1 33 0 74 2 41 0.5 41 7 74 1 41 -0.25 11 ", size, " 21 ", twice, " 31 0 13 -1 23 0 33 0 74 1 41 0.5 74 1 41 -0.25 0 ENDSEC 0 EOF"]
+    text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
+    lines = dxf_geometry.multilines(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text))))
+    points = lines.select(F.col("package_id").cast("long").alias("part"), F.col("element").cast("long").alias("element"), F.posexplode("points").alias("k", "p"))
+    return points.select("part", "element", F.col("k").cast("long").alias("k"), *[(F.round(F.col("p")[k], 6) + 0.0).alias(c) for k, c in enumerate("xy")])
+
+
 def _step(spark, d):
     o = table(spark, d, "orders")
     marks = ["ISO-10303-21;HEADER;ENDSEC;DATA;#1=IFCWALL('", F.col("o_orderpriority"), "',#2);#2=IFCPROPERTYSINGLEVALUE('Status',$,IFCLABEL('", F.col("o_orderstatus"), "'),$);#3=IFCRELAGGREGATES(#1,#", (F.col("o_orderkey") % 5 + 1).cast("string"), ");ENDSEC;END-ISO-10303-21;"]

@@ -143,3 +143,54 @@ def polyline_meshes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     faces = corners.groupBy(*key, "face").agg(F.array_sort(F.collect_list(F.struct("corner", "vertex")))["vertex"].alias("corners")).filter(F.size("corners") >= 3)
     vertices = numbered.select(*key, "vertex", "p").union(corners.select(*key, "vertex", "p").distinct())
     return vertices.select(*key, "vertex", *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")]), quads.union(faces)
+
+
+def _some(code: int) -> Column:
+    return F.coalesce(F.try_element_at("series", F.lit(code)), F.array().cast("array<double>"))
+
+
+def subdivision_meshes(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (package_id, path, nth, vertex, x, y, z) and faces (.., face, corners, level) of MESH entities.
+
+    Code 90 holds the faces, each as its number of corners and their vertices, in as many values as code 93 says; edges and creases lie behind them. Faces of
+    fewer than three corners, or with a corner that is no vertex, are left out.
+    """
+    meshes = entities.filter("type = 'MESH'")
+    count = F.coalesce(_value(92), F.lit(0.0))
+    points = meshes.select(*KEYS, F.posexplode(_points(10, count)).alias("vertex", "p"))
+    vertices = points.filter("p is not null").select(*KEYS, "vertex", *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")])
+    listed = F.transform(F.slice(_some(90), F.lit(1), F.coalesce(_value(93), F.lit(0.0)).cast("int")), lambda v: v.cast("int"))
+    empty = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("now"), F.array().cast("array<array<int>>").alias("faces"))
+
+    def step(held: Column, v: Column) -> Column:
+        now = F.concat(held["now"], F.array(v))
+        begins, ends = held["left"] == 0, held["left"] == 1
+        return F.struct(
+            F.when(begins, v).otherwise(held["left"] - 1).alias("left"),
+            F.when(begins | ends, F.array().cast("array<int>")).otherwise(now).alias("now"),
+            F.when(ends, F.concat(held["faces"], F.array(now))).otherwise(held["faces"]).alias("faces"),
+        )
+
+    level = F.coalesce(_value(91), F.lit(0.0)).cast("int")
+    faces = meshes.select(*KEYS, level.alias("level"), count.alias("n"), F.posexplode(F.aggregate(listed, empty, step)["faces"]).alias("face", "corners"))
+    whole = F.forall("corners", lambda v: (v >= 0) & (v < F.col("n")))
+    return vertices, faces.filter((F.size("corners") >= 3) & whole).select(*KEYS, "face", "corners", "level")
+
+
+def multilines(entities: DataFrame) -> DataFrame:
+    """(package_id, path, nth, handle, style, element, closed, points) of MLINE entities: the line of each element, mitred.
+
+    At each vertex, code 74 tells how many values of code 41 belong to an element; the first is its distance along the mitre.
+    """
+    rows = entities.filter("type = 'MLINE'")
+    n, elements = (F.coalesce(_value(code), F.lit(0.0)).cast("int") for code in (72, 73))
+    begins = F.aggregate(_some(74), F.array(F.lit(0)), lambda ends, v: F.concat(ends, F.array(F.element_at(ends, -1) + v.cast("int"))))
+    read = rows.select(*KEYS, "handle", F.col("block").alias("style"), (F.coalesce(_value(71), F.lit(0.0)).cast("int").bitwiseAND(2) != 0).alias("closed"), n.alias("n"), elements.alias("elements"), _points(11, n).alias("places"), _points(13, n).alias("mitres"), _some(41).alias("distances"), _some(74).alias("counts"), begins.alias("begins"))
+    each = read.filter("n > 0 and elements > 0").withColumn("element", F.explode(F.sequence(F.lit(0), F.col("elements") - 1)))
+
+    def at(place: Column, k: Column) -> Column:
+        slot = k * F.col("elements") + F.col("element")
+        away = F.when(F.get("counts", slot) > 0, F.get("distances", F.get("begins", slot))).otherwise(0.0)
+        return F.zip_with(place, F.get("mitres", k), lambda p, m: p + m * F.coalesce(away, F.lit(0.0)))
+
+    return each.select(*KEYS, "handle", "style", "element", "closed", F.transform("places", at).alias("points"))
