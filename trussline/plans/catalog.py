@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,8 @@ from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
 from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
-from trussline.sources import curve_samples, dxf_geometry, packages, scanners
-from trussline.storage import stored
+from trussline.sources import curve_samples, dxf_geometry, package_store, packages, scanners
+from trussline.storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -749,6 +750,24 @@ def record_scan(spark, d):
     return packages.records(packages.jsonl_files(lines)).select("package_id", F.col("line").cast("long").alias("line"), "record_id", "record_type")
 
 
+_STORE_TYPES = {"model/entities.jsonl": ("entity", "part"), "model/relations.jsonl": ("relation", "line")}
+
+
+@register("""SELECT l_suppkey::VARCHAR AS package_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY printf('part-%010d', l_partkey)) AS line, printf('part-%010d', l_partkey) AS record_id, 'entity' AS record_type FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
+def package_store_records(spark, d):
+    """Suppliers as archives in a folder: their parts and order lines as records, written in two phases; entities are read back without opening the relations."""
+    li = table(spark, d, "lineitem").withColumn("package_id", F.col("l_suppkey").cast("string"))
+    keys = {"part": F.col("l_partkey"), "line": F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")}
+    lines = None
+    for path, (kind, name) in _STORE_TYPES.items():
+        rows = li.select("package_id", F.lit(path).alias("path"), F.format_string(f"{name}-%010d", keys[name].cast("long")).alias("record_id")).distinct()
+        rows = rows.withColumn("json", F.format_string(f'{{"record_id":"%s","record_type":"{kind}"}}', "record_id"))
+        lines = rows if lines is None else lines.union(rows)
+    folder = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    package_store.write_packages(packages.jsonl_files(lines), folder)
+    return package_store.scan(spark, folder, "record_type = 'entity'").select("package_id", "line", "record_id", "record_type")
+
+
 @register("""SELECT c_custkey AS package_id, 'SCHEMA_INVALID' AS code, 'model/entities.jsonl:1' || pointer AS path FROM customer, (VALUES (7, ''), (5, '#/record_version'), (3, '#/source_refs/0/locator'), (4, '#/provenance/recorded_at'), (6, '#/provenance')) v(k, pointer)
 WHERE c_custkey % k = 0 AND NOT (pointer LIKE '#/prov%' AND c_custkey % 7 = 0)""")
 def record_schemas(spark, d):

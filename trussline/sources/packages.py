@@ -57,16 +57,22 @@ def _member_error(info: zipfile.ZipInfo, seen: set[str], limits: Limits) -> str
     return None
 
 
+def member_fault(members: list[zipfile.ZipInfo], limits: Limits) -> str | None:
+    """The first rule that an archive's directory breaks."""
+    error = "ARCHIVE_TOO_MANY_MEMBERS" if len(members) > limits.members else "ARCHIVE_TOO_LARGE" if sum(m.file_size for m in members) > limits.total_bytes else None
+    seen: set[str] = set()
+    for m in members:
+        error = error or _member_error(m, seen, limits)
+        seen.add(m.filename)
+    return error
+
+
 def open_archive(package: str, content: bytes, limits: Limits) -> Iterator[tuple[str, str | None, bytes | None, str | None]]:
     """Rows (package, path, content, error); an archive that breaks a rule gives that one row only."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             members = [m for m in archive.infolist() if not m.is_dir()]
-            error = "ARCHIVE_TOO_MANY_MEMBERS" if len(members) > limits.members else "ARCHIVE_TOO_LARGE" if sum(m.file_size for m in members) > limits.total_bytes else None
-            seen: set[str] = set()
-            for m in members:
-                error = error or _member_error(m, seen, limits)
-                seen.add(m.filename)
+            error = member_fault(members, limits)
             if error:
                 yield package, None, None, error
                 return

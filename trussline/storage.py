@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import cache
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +49,8 @@ def drop_stored(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and inner path of a folder, as tasks open it: local or shared folders, object stores, HDFS."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri("file:///" + path.removeprefix("file:").lstrip("/"))
