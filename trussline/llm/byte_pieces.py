@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters whose classes are the same in every version of Unicode that the libraries bring; other parts go to the library whole.
 SETTLED = re.compile(r"[\n -~\xa1-ӿ]*")
-CACHE_PARTS, CACHE_CHARS = 1 << 18, 48
+#: Entries of a cache, characters of its longest key, and how many misses of a full cache show that the text has changed.
+CACHE_PARTS, CACHE_CHARS, STALE = 1 << 19, 48, 1 << 22
 
 
 def byte_characters() -> list[str]:
@@ -31,18 +33,22 @@ def byte_characters() -> list[str]:
 
 
 class Memory(dict):
-    """Results of ``make`` by their argument; empties itself when full and keeps no long arguments."""
+    """Results of ``make`` by their argument, for short arguments. What comes first stays, as frequent parts come early; after ``STALE`` misses it starts anew."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.missed = make, 0
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_PARTS:
+        if len(self) < CACHE_PARTS:
+            if len(key) <= CACHE_CHARS:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > STALE:
                 self.clear()
-            self[key] = value
+                self.missed = 0
         return value
 
 
@@ -55,8 +61,10 @@ class BytePieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        specials = [] if plain_specials else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_special = re.compile("|".join(specials) or r"(?!)").search
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pattern = regex.compile(PATTERN)
         self.letters = dict(enumerate(byte_characters()))
         self.model = self.tokenizer.model
@@ -64,17 +72,19 @@ class BytePieces:
         self.parts = Memory(self._part)
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], self.dtype).tobytes()
+        letters = word.replace(" ", self.letters[0x20]) if word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         """The library's own encoding, without a cache."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _ids(self, text: str) -> bytes:
-        if not SETTLED.fullmatch(text) or any(s in text for s in self.specials):
+        if not SETTLED.fullmatch(text) or self.has_special(text):
             return self.whole(text)
-        return b"".join(map(self.words.__getitem__, [text] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.pattern.findall(text)))
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.words[text]
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def _part(self, part: str) -> bytes:
         return self._ids(" " + part)
