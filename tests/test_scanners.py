@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from trussline.sources import scanners
+from trussline.sources import ifc_model, scanners
 
 STEP = """ISO-10303-21;
 HEADER;
@@ -40,8 +40,8 @@ def test_step(spark):
     assert got == {1: ("IFCPROJECT", [2]), 2: ("IFCWALL", [1]), 3: ("COMPLEX_INSTANCE", [1]), 4: ("IFCRELAGGREGATES", [1, 2]), 5: ("IFCPROPERTYSINGLEVALUE", []), 6: ("IFCRELODD", [7])}
     assert {r.path: r.error for r in rows.filter("error is not null").collect()} == {"bad": "STEP_PARSE_FAILED", "twice": "STEP_ENTITY_DUPLICATE"}
     assert [r.ref for r in scanners.dangling_instances(rows.filter("error is null")).collect()] == [7]
-    assert sorted((r.relation_type, r.ref) for r in scanners.ifc_relations(rows).collect()) == [("aggregation", 1), ("aggregation", 2), ("ifc:IFCRELODD", 7)]
-    assert [(r.name, r.value) for r in scanners.ifc_properties(rows).collect()] == [("Fire rating", "F'30")]
+    assert sorted((r.relation_type, r.ref) for r in ifc_model.ifc_relations(rows).collect()) == [("aggregation", 1), ("aggregation", 2), ("ifc:IFCRELODD", 7)]
+    assert [(r.name, r.value) for r in ifc_model.ifc_properties(rows).collect()] == [("Fire rating", "F'30")]
 
 
 def test_iges(spark):

@@ -142,13 +142,46 @@ def base64url(data: Column) -> Column:
     return F.translate(F.base64(data), "+/=\r\n", "-_")
 
 
+# The short escapes of JSON strings; other control characters are \\u00xx in lower case.
+_SHORT_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_text(text: Column) -> Column:
+    """A string as canonical JSON writes it, in quotes; control characters take the slower way only where there are some."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    full = plain
+    for code in range(0x20):
+        full = F.replace(full, F.lit(chr(code)), F.lit(_SHORT_ESCAPES.get(chr(code), f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), full).otherwise(plain), F.lit('"'))
+
+
+def _finding_identity(text: str | None) -> str | None:
+    if text is None:
+        return None
+    value = json.loads(text)
+    refs = sorted({unicodedata.normalize("NFC", x) for x in value.pop("evidence_refs")})
+    return json.dumps({k: unicodedata.normalize("NFC", v) for k, v in value.items()} | {"evidence_refs": refs}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+@F.pandas_udf(StringType())
+def _normalised_identity(texts: pd.Series) -> pd.Series:
+    return texts.map(_finding_identity)
+
+
 def fingerprint(check_id: Column, code: Column, subject: Column, state: Column, refs: Column) -> Column:
-    """SHA-256 of the canonical identity of a finding. ``refs`` is an array of strings; order and repeats don't count."""
-    refs = F.array_sort(F.array_distinct(F.transform(refs, lambda x: x)))
-    identity = F.to_json(F.struct(check_id.alias("check_id"), code.alias("code"), refs.alias("evidence_refs"), state.alias("observed_state"), subject.alias("subject_id")))
-    # the fields are in canonical order; only characters that JSON or NFC may write in another way need the general form
-    odd = identity.rlike(r"[^ -~]|\\\\u")
-    return F.sha2(F.concat(F.coalesce(canonical_json(F.when(odd, identity)), F.when(~odd, identity)), F.lit("\n")), 256)
+    """SHA-256 of the canonical identity of a finding. ``refs`` is an array of strings; order and repeats don't count.
+
+    The identity is written by Spark; only texts beyond ASCII are normalised by Python, references before they are sorted.
+    An empty or null field, or reference, gives null.
+    """
+    listed = F.array_sort(F.array_distinct(F.transform(refs, lambda x: x)))
+    joined = F.concat(F.lit("["), F.array_join(F.transform(listed, json_text), ","), F.lit("]"))
+    parts = {"check_id": json_text(check_id), "code": json_text(code), "evidence_refs": joined, "observed_state": json_text(state), "subject_id": json_text(subject)}
+    identity = F.concat(*[x for k, (name, value) in enumerate(parts.items()) for x in (F.lit(f'{"{" if not k else ","}"{name}":'), value)], F.lit("}"))
+    filled = lambda x: F.coalesce(F.length(x) > 0, F.lit(False))
+    sound = filled(check_id) & filled(code) & filled(subject) & filled(state) & F.forall(refs, filled)
+    odd = identity.rlike(r"[^\x00-\x7f]")
+    return F.when(sound, F.sha2(F.concat(F.coalesce(_normalised_identity(F.when(odd, identity)), identity), F.lit("\n")), 256))
 
 
 def sorted_distinct(items: Column) -> Column:

@@ -12,7 +12,7 @@ from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
 from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
-from trussline.sources import curve_samples, dxf_geometry, package_store, packages, scanners
+from trussline.sources import curve_samples, dxf_geometry, ifc_model, package_store, packages, scanners
 from trussline.storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,6 +304,14 @@ def finding_fingerprint(spark, d):
     return gate.with_fingerprints(_state_findings(spark, d)).select("package_id", "code", "subject_id", "fingerprint")
 
 
+@register("""SELECT page_id, sha256('{"check_id":"pages","code":"TEXT","evidence_refs":["a","b' || page_id || '"],"observed_state":"known","subject_id":' || to_json(nfc_normalize(html))::VARCHAR || '}' || chr(10)) AS fingerprint FROM pages WHERE html <> ''""")
+def page_fingerprints(spark, d):
+    """Whole pages as subjects of findings, with their line ends, quotes and accents."""
+    refs = F.array(F.concat(F.lit("b"), F.col("page_id").cast("string")), F.lit("a"), F.lit("a"))
+    pages = table(spark, d, "pages").filter("html <> ''")
+    return pages.select("page_id", canon.fingerprint(F.lit("pages"), F.lit("TEXT"), F.col("html"), F.lit("known"), refs).alias("fingerprint"))
+
+
 _OUTCOMES = f"""{_DIAG}, pr AS (SELECT * FROM (VALUES (0, 'pass'), (1, 'waived'), (2, 'requires_review'), (3, 'fail'), (4, 'error')) t(r, s)),
 votes AS (SELECT package_id, CASE WHEN severity = 'error' AND affected_count >= 90 THEN 'error' WHEN severity = 'error' AND affected_count >= 70 THEN 'fail' WHEN severity = 'warning' AND affected_count >= 95 THEN 'requires_review' WHEN affected_count = 1 THEN 'waived' ELSE 'pass' END AS s FROM diag),
 o AS (SELECT package_id, max(r) AS r FROM votes JOIN pr USING (s) GROUP BY 1), f AS (SELECT u.package_id, coalesce(pr.s, 'pass') AS s FROM (SELECT DISTINCT package_id FROM diag) u LEFT JOIN o USING (package_id) LEFT JOIN pr ON pr.r = o.r),
@@ -904,8 +912,20 @@ def model_scan(spark, d):
     """Properties, relations and dangling references of the models of all orders."""
     found = _step(spark, d)
     row = lambda rows, kind, name, value: rows.select(F.col("package_id").cast("long").alias("package_id"), F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
-    relations = scanners.ifc_relations(found)
-    return row(scanners.ifc_properties(found), "property", "name", "value").union(row(relations, "aggregation", "id", "ref")).union(row(scanners.dangling_instances(found), "dangling", "id", "ref"))
+    relations = ifc_model.ifc_relations(found)
+    return row(ifc_model.ifc_properties(found), "property", "name", "value").union(row(relations, "aggregation", "id", "ref")).union(row(scanners.dangling_instances(found), "dangling", "id", "ref"))
+
+
+@register("""SELECT o_orderkey AS package_id, 1 AS element, 'Pset, a' AS set_name, name, measure, CASE name WHEN 'Status' THEN o_orderpriority || ', ''x''' ELSE value END AS value, origin FROM orders, (VALUES ('Status', 'IFCLABEL', NULL, 'occurrence'), ('N', NULL, '-', 'occurrence'), ('Kinds', 'IFCLABEL', 'a, b|c', 'type'), ('Load', 'IFCREAL', '2.|-|1.', 'type')) v(name, measure, value, origin)""")
+def model_properties(spark, d):
+    """Orders as models: a wall with a set of its own and one of its type, with commas, quotes and ``$`` in names, descriptions and values."""
+    marks = ["ISO-10303-21;HEADER;ENDSEC;DATA;#1=IFCWALL('g',#9,'W, (1)',$,$,$,$,$);#2=IFCWALLTYPE('t',#9,'T',$,$,(#6),$,$,$,.SOLIDWALL.);#3=IFCPROPERTYSINGLEVALUE('Status','d, ''e''',IFCLABEL('", F.col("o_orderpriority"), ", ''x'''),$);"]
+    marks += ["#4=IFCPROPERTYSINGLEVALUE('N','d, e',$,$);#5=IFCPROPERTYSET('p',#9,'Pset, a',$,(#3,#4));#6=IFCPROPERTYSET('q',#9,'Pset, a','x',(#7,#8,#12));#7=IFCPROPERTYSINGLEVALUE('Status',$,IFCLABEL('type'),$);#8=IFCPROPERTYENUMERATEDVALUE('Kinds',$,(IFCLABEL('a, b'),IFCLABEL('c')),$);"]
+    marks += ["#9=IFCOWNERHISTORY($);#10=IFCRELDEFINESBYPROPERTIES('r',#9,$,$,(#1),#5);#11=IFCRELDEFINESBYTYPE('s',#9,$,$,(#1),#2);#12=IFCPROPERTYBOUNDEDVALUE('Load','(',IFCREAL(2.),$,$,IFCREAL(1.));ENDSEC;END-ISO-10303-21;"]
+    text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks])
+    found = stored(scanners.step_instances(_file(table(spark, d, "orders"), "o_orderkey", text)), "models")
+    value = F.array_join("values", "|", "-")
+    return ifc_model.element_properties(found).select(F.col("package_id").cast("long").alias("package_id"), F.col("element").cast("int").alias("element"), "set_name", "name", "measure", value.alias("value"), "origin")
 
 
 @register("""SELECT s_suppkey AS package_id, s_nationkey AS x, t AS triangle, b, c FROM supplier, (VALUES (1, 1, 2), (2, 2, 3)) v(t, b, c)""")

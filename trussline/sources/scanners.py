@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +69,32 @@ def step_statements(text: str, max_depth: int = 64) -> Iterator[tuple[str, str]]
         raise ValueError("STEP_PARSE_FAILED")
 
 
-def _scan_step(text: str) -> list[tuple[int, str, str, list[int]]]:
+def step_arguments(raw: str) -> list[str]:
+    """The arguments between the outer brackets of a statement or list, as written; comments go, strings stay whole."""
+    out: list[list[str]] = [[]]
+    depth = 0
+    for m in _STEP_TOKEN.finditer(raw):
+        token = m[0]
+        if token.startswith("/*"):
+            continue
+        depth += (token == "(") - (token == ")")
+        if not depth:
+            if token == ")":
+                break
+            continue
+        if depth == 1 and token == "(":
+            continue
+        if depth == 1 and token[0] not in "'()":
+            first, *others = token.split(",")
+            out[-1].append(first)
+            out += [[x] for x in others]
+        else:
+            out[-1].append(token)
+    found = ["".join(x).strip() for x in out]
+    return found if found != [""] else []
+
+
+def _scan_step(text: str) -> list[tuple[int, str, str, list[int], list[str] | None]]:
     head, data = text.find("HEADER;"), text.find("DATA;")
     end = text.find("ENDSEC;", data)
     if not text.lstrip().startswith("ISO-10303-21;") or head < 0 or data < head or end < 0 or "END-ISO-10303-21;" not in text:
@@ -81,25 +106,40 @@ def _scan_step(text: str) -> list[tuple[int, str, str, list[int]]]:
         if not m and not many:
             raise ValueError("STEP_PARSE_FAILED")
         body = m[3] if m else many[2]
-        found.append((int((m or many)[1]), m[2] if m else "COMPLEX_INSTANCE", raw, sorted({int(x) for x in re.findall(r"#([1-9][0-9]*)", body)})))
+        found.append((int((m or many)[1]), m[2] if m else "COMPLEX_INSTANCE", raw, sorted({int(x) for x in re.findall(r"#([1-9][0-9]*)", body)}), step_arguments(raw) if m else None))
     if len({f[0] for f in found}) < len(found):
         raise ValueError("STEP_ENTITY_DUPLICATE")
     return found
 
 
+_STEP_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string()]
+#: Instances that are handed over at once, about.
+STEP_ROWS = 8192
+
+
 def step_instances(files: DataFrame) -> DataFrame:
-    """(package_id, path, id, original_class, raw, refs, error) of STEP files; one that doesn't parse gives an error row."""
+    """(package_id, path, id, original_class, raw, refs, args, error) of STEP files; one that doesn't parse gives an error row.
+
+    ``args`` are the arguments as written; complex instances have none of their own.
+    """
+
+    names = ["package_id", "path", "id", "original_class", "raw", "refs", "args", "error"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for package, path, content in frame.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for package, path, content in zip(*(batch.column(c).to_pylist() for c in ("package_id", "path", "content"))):
                 try:
-                    rows = [(package, path, *row, None) for row in _scan_step(bytes(content).decode("latin-1"))]
+                    rows += [(package, path, *row, None) for row in _scan_step(content.decode("latin-1"))]
                 except ValueError as problem:
-                    rows = [(package, path, None, None, None, None, str(problem))]
-                yield pd.DataFrame(rows, columns=["package_id", "path", "id", "original_class", "raw", "refs", "error"]).astype({"id": "Int64"})
+                    rows.append((package, path, None, None, None, None, None, str(problem)))
+                if len(rows) >= STEP_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STEP_TYPES)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STEP_TYPES)], names)
 
-    return files.select("package_id", "path", "content").mapInPandas(run, "package_id string, path string, id long, original_class string, raw string, refs array<long>, error string")
+    return files.select("package_id", "path", "content").mapInArrow(run, "package_id string, path string, id long, original_class string, raw string, refs array<long>, args array<string>, error string")
 
 
 def dangling_instances(instances: DataFrame) -> DataFrame:
@@ -108,32 +148,9 @@ def dangling_instances(instances: DataFrame) -> DataFrame:
     return refs.join(instances.select("package_id", "path", F.col("id").alias("ref")), ["package_id", "path", "ref"], "left_anti")
 
 
-# Relation classes of the building model and the neutral relation that each stands for.
-IFC_RELATIONS = {
-    "IFCRELAGGREGATES": "aggregation",
-    "IFCRELCONTAINEDINSPATIALSTRUCTURE": "containment",
-    "IFCRELDEFINESBYTYPE": "type-assignment",
-    "IFCRELASSOCIATESMATERIAL": "material-assignment",
-    "IFCRELCONNECTSELEMENTS": "connection",
-}
 IFC_SPACES = ("IFCPROJECT", "IFCSITE", "IFCBUILDING", "IFCBUILDINGSTOREY", "IFCSPACE")
 
 
-def ifc_relations(instances: DataFrame) -> DataFrame:
-    """(package_id, path, id, relation_type, ref) of relation instances; those without a neutral name keep their class."""
-    names = F.create_map(*[F.lit(x) for pair in IFC_RELATIONS.items() for x in pair])
-    rel = instances.filter(F.col("original_class").startswith("IFCREL"))
-    return rel.select("package_id", "path", "id", F.coalesce(F.try_element_at(names, "original_class"), F.concat(F.lit("ifc:"), "original_class")).alias("relation_type"), F.explode("refs").alias("ref"))
-
-
-def ifc_properties(instances: DataFrame) -> DataFrame:
-    """(package_id, path, id, name, value): single-value properties of a building model, with the measure's text."""
-    single = instances.filter("original_class = 'IFCPROPERTYSINGLEVALUE'")
-    part = lambda k: F.regexp_extract("raw", r"\(\s*'((?:[^']|'')*)'\s*,[^,]*,\s*(?:[A-Z0-9_]+\(\s*)?('(?:[^']|'')*'|[^,()]*)", k)
-    plain = lambda c: F.replace(c, F.lit("''"), F.lit("'"))
-    return single.select("package_id", "path", "id", plain(part(1)).alias("name"), plain(F.regexp_replace(F.trim(part(2)), "^'|'$", "")).alias("value"))
-
-
 def ifc_kind(original_class: Column) -> Column:
     return F.when(original_class.isin(*IFC_SPACES), "spatial-container").when(original_class.rlike("^IFC(WALL|SLAB|BEAM|COLUMN|DOOR|WINDOW|STAIR|ROOF|COVERING|PLATE|MEMBER|RAILING|FOOTING|PILE)"), "solid-element").otherwise("opaque-object")
 
