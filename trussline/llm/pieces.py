@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, MutableSequence, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -91,7 +91,7 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def relax(pieces: Pieces, text: str, best: list[int], back: list[int], start: int, stop: int) -> None:
+def relax(pieces: Pieces, text: str, best: MutableSequence[int], back: MutableSequence[int], start: int, stop: int) -> None:
     """Extend the best paths from the positions from ``start`` to before ``stop``.
 
     Of equal scores the later start stays: in a run of one character all paths then share the boundaries of the
@@ -113,7 +113,7 @@ def relax(pieces: Pieces, text: str, best: list[int], back: list[int], start: in
             back[i + 1] = i
 
 
-def follow(pieces: Pieces, text: str, back: list[int], end: int) -> list[int]:
+def follow(pieces: Pieces, text: str, back: Sequence[int], end: int) -> list[int]:
     """Ids on the best path to ``end``."""
     out: list[int] = []
     while end > 0:
@@ -133,14 +133,14 @@ class Viterbi:
 
     Only starts in the last ``longest`` positions can still be extended. Once the backpointers of all of these lead to
     one boundary, nothing before it can change: its pieces are committed and forgotten. So the ids are those of the best
-    path of the whole text. Where open paths stay apart for ``most`` characters (periodic text can keep them apart for
-    ever), the best of them is committed up to its last boundary in the older half of the window. What is kept never
-    exceeds ``most`` and two steps, and steps lie at the same places however the stream is cut into chunks.
+    path of the whole text, however the stream is cut into chunks. Nothing is committed before it is certain: periodic text can keep
+    paths apart for as long as it goes on, and what is kept grows with it, by twelve bytes a character beside the text. Commits
+    are tried when the window has doubled, so the time stays linear.
     """
 
-    def __init__(self, pieces: Pieces, every: int = 256, most: int = 8192):
-        self.pieces, self.every, self.most = pieces, every, most
-        self.text, self.best, self.back, self.at = "", [0], [0], 0
+    def __init__(self, pieces: Pieces, every: int = 256):
+        self.pieces, self.every = pieces, every
+        self.text, self.best, self.back, self.at = "", array("q", [0]), array("i", [0]), 0
         self.ahead, self.tried = "", 0
 
     def push(self, chars: str) -> list[int]:
@@ -151,7 +151,7 @@ class Viterbi:
         for k in range(0, taken, self.every):
             self._take(self.ahead[k : k + self.every])
             self._advance(max(self.at, len(self.text) - self.pieces.longest))
-            if len(self.text) >= min(2 * self.tried, self.most):
+            if len(self.text) >= 2 * self.tried:
                 ids += self._commit()
                 self.tried = len(self.text)
         self.ahead = self.ahead[taken:]
@@ -165,8 +165,8 @@ class Viterbi:
 
     def _take(self, more: str) -> None:
         self.text += more
-        self.best += [NEVER] * len(more)
-        self.back += [-1] * len(more)
+        self.best += array("q", [NEVER]) * len(more)
+        self.back += array("i", [-1]) * len(more)
 
     def _advance(self, stop: int) -> None:
         relax(self.pieces, self.text, self.best, self.back, self.at, stop)
@@ -180,21 +180,12 @@ class Viterbi:
             live.remove(last)
             live.add(self.back[last])
         edge = live.pop() if live else 0
-        forced = edge == 0 and len(self.text) >= self.most
-        if forced:
-            edge = max(open_ends, key=lambda k: self.best[k])
-            while edge > len(self.text) // 2:
-                edge = self.back[edge]
         if not edge:
             return []
         ids, low, at = self._ids(edge), self.best[edge], self.at
         self.text = self.text[edge:]
-        if forced:  # paths from the new beginning only
-            self.best, self.back, self.at = [0] + [NEVER] * len(self.text), [0] + [-1] * len(self.text), 0
-            self._advance(at - edge)
-        else:
-            self.best, self.at = [x if x == NEVER else x - low for x in self.best[edge:]], at - edge
-            self.back = [0, *(k - edge if k >= 0 else -1 for k in self.back[edge + 1 :])]
+        self.best, self.at = array("q", [x if x == NEVER else x - low for x in self.best[edge:]]), at - edge
+        self.back = array("i", [0, *(k - edge if k >= 0 else -1 for k in self.back[edge + 1 :])])
         return ids
 
     def _ids(self, end: int) -> list[int]:
