@@ -12,7 +12,7 @@ from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
 from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
-from trussline.sources import curve_samples, dxf_geometry, ifc_model, package_store, packages, scanners
+from trussline.sources import curve_samples, dxf_geometry, ifc_model, package_store, packages, rasters, scanners
 from trussline.storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -956,6 +956,19 @@ def raster_scan(spark, d):
     return found.select(F.col("package_id").cast("long").alias("package_id"), "format", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"), "error")
 
 
+@register("""WITH p AS (SELECT p_partkey AS part, p_size % 5 + 1 AS k, p_size % 2 = 0 AS joined FROM part)
+SELECT part, 0 AS "left", 0 AS top, 4 * k - 3 AS width, 20 AS height, (20 * k + 3 * (k - 1))::BIGINT AS pixels FROM p WHERE joined UNION ALL SELECT part, (4 * i)::INT, 0, 1, 20, 20 FROM p, range(0, 5) r(i) WHERE i < k AND NOT joined""")
+def raster_dark_regions(spark, d):
+    """Parts as bitmaps of bars, joined by a line or not; their dark regions over strips of six rows."""
+    k = (F.col("p_size") % 5 + 1).cast("int")
+    bars = F.rpad(F.repeat(F.lit("1000"), k), 40, "0")
+    line = F.when(F.col("p_size") % 2 == 0, F.rpad(F.repeat(F.lit("1"), k * 4 - 3), 40, "0")).otherwise(bars)
+    text = F.concat(F.lit("P1\n# bars\n40 20\n"), F.array_join(F.array(*[bars] * 9, line, *[bars] * 10), "\n"))
+    strips = rasters.dark_strips(_file(table(spark, d, "part"), "p_partkey", text), rows=6)
+    found = rasters.raster_regions(stored(strips, "strips"))
+    return found.select(F.col("package_id").cast("long").alias("part"), "left", "top", "width", "height", "pixels")
+
+
 @register("SELECT page_id, sha256(encode(html)) AS sha256, octet_length(encode(html))::BIGINT AS bytes, 'embedded' AS embedding_policy, 'sources/' || sha256(encode(html)) AS storage_ref FROM pages")
 def opaque_register(spark, d):
     pages = table(spark, d, "pages").select(F.lit("p").alias("package_id"), F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))

@@ -271,19 +271,20 @@ def gltf_summary(files: DataFrame) -> DataFrame:
 
 
 def raster_headers(files: DataFrame) -> DataFrame:
-    """(package_id, path, format, width, height, depth, error) of PGM, PPM and PNG files, up to 100 million pixels."""
+    """(package_id, path, format, width, height, depth, error) of PBM, PGM, PPM and PNG files, up to 100 million pixels."""
     head = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
     clean = F.regexp_replace(head, r"#[^\n]*\n", " ")
+    bits = lambda k: F.regexp_extract(clean, r"\A(P[14])\s+(\d+)\s+(\d+)\s", k)
     pnm = lambda k: F.regexp_extract(clean, r"\A(P[2356])\s+(\d+)\s+(\d+)\s+(\d+)\s", k)
     number = lambda at, n: F.conv(F.hex(F.substring("content", at, n)), 16, 10).cast("long")
     png = head.startswith("\x89PNG\r\n\x1a\n")
-    kind = F.when(png, "PNG").when(pnm(1).isin("P2", "P5"), "PGM").when(pnm(1).isin("P3", "P6"), "PPM")
-    width = F.when(png, number(17, 4)).otherwise(pnm(2).try_cast("long"))
-    height = F.when(png, number(21, 4)).otherwise(pnm(3).try_cast("long"))
-    depth = F.when(png, number(25, 1)).otherwise(F.when(pnm(4).try_cast("long") > 255, 16).otherwise(8))
-    rows = files.select("package_id", "path", kind.alias("format"), width.alias("width"), height.alias("height"), depth.cast("int").alias("depth"))
-    error = F.when(F.col("format").isNull(), "IMAGE_FORMAT_UNSUPPORTED").when(F.col("width") * F.col("height") > 100_000_000, "IMAGE_TOO_LARGE")
-    return rows.withColumn("error", error)
+    kind = F.when(png, "PNG").when(pnm(1).isin("P2", "P5"), "PGM").when(pnm(1).isin("P3", "P6"), "PPM").when(bits(1) != "", "PBM")
+    side = lambda at, k: F.when(png, number(at, 4)).otherwise(F.coalesce(pnm(k).try_cast("long"), bits(k).try_cast("long")))
+    most = pnm(4).try_cast("long")
+    depth = F.when(png, number(25, 1)).when(kind == "PBM", 1).otherwise(F.when(most > 255, 16).otherwise(8))
+    rows = files.select("package_id", "path", kind.alias("format"), side(17, 2).alias("width"), side(21, 3).alias("height"), depth.cast("int").alias("depth"), most.alias("most"))
+    error = F.when(F.col("format").isNull(), "IMAGE_FORMAT_UNSUPPORTED").when((F.col("width") < 1) | (F.col("height") < 1), "IMAGE_EMPTY").when(~F.col("most").between(1, 65535), "IMAGE_HEADER_INVALID")
+    return rows.withColumn("error", error.when(F.col("width") * F.col("height") > 100_000_000, "IMAGE_TOO_LARGE")).drop("most")
 
 
 # ---- bundles
