@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
-from trussline.operators import context, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
+from trussline.operators import context, datum, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
 from trussline.sources import curve_samples, dxf_geometry, ifc_model, package_store, packages, rasters, scanners
 from trussline.storage import shared_dir, stored
@@ -969,6 +969,32 @@ def raster_dark_regions(spark, d):
     return found.select(F.col("package_id").cast("long").alias("part"), "left", "top", "width", "height", "pixels")
 
 
+_SHIFT = [("a", "GRS80", "WGS84", 1.0, 1.0, -1.0), ("b", "INTL", "WGS84", -87.0, -98.0, -121.0)]
+
+
+@register("""WITH o(op, a1, f1, a2, f2, dx, dy, dz) AS (VALUES ('a', 6378137.0::DOUBLE, 298.257222101::DOUBLE, 6378137.0::DOUBLE, 298.257223563::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, -1.0::DOUBLE), ('b', 6378388.0, 297.0, 6378137.0, 298.257223563, -87.0, -98.0, -121.0)),
+p AS (SELECT c_custkey AS solution_id, CASE c_nationkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS op, (c_custkey % 181 - 90)::DOUBLE AS lat, (c_custkey % 400 - 190)::DOUBLE AS lon, c_acctbal AS h FROM customer),
+x AS (SELECT p.*, a2, (2 - 1 / f2) / f2 AS g, radians(lat) AS phi, radians(lon) AS lam, a1 / sqrt(1 - (2 - 1 / f1) / f1 * sin(radians(lat)) ** 2) AS n, (2 - 1 / f1) / f1 AS e, dx, dy, dz FROM p LEFT JOIN o USING (op)),
+y AS (SELECT *, (n + h) * cos(phi) * cos(lam) + dx AS x, (n + h) * cos(phi) * sin(lam) + dy AS y, (n * (1 - e) + h) * sin(phi) + dz AS z FROM x),
+z AS (SELECT *, list_reduce([0, 0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[], lambda t, i: atan2(z + g * a2 / sqrt(1 - g * sin(t) ** 2) * sin(t), sqrt(x * x + y * y)), atan2(z, sqrt(x * x + y * y) * (1 - g))) AS b FROM y)
+SELECT solution_id, op AS operation_id, CASE WHEN abs(lon) <= 180 THEN round(degrees(b), 9) + 0.0 END AS lat, CASE WHEN abs(lon) <= 180 AND abs(lat) < 90 THEN round(degrees(atan2(y, x)), 9) + 0.0 END AS lon,
+  CASE WHEN abs(lon) <= 180 THEN round(sqrt(x * x + y * y) * cos(b) + z * sin(b) - a2 * sqrt(1 - g * sin(b) ** 2), 4) + 0.0 END AS h, CASE WHEN op = 'c' THEN 'CRS_OPERATION_UNKNOWN' WHEN abs(lon) > 180 THEN 'CRS_POINT_INVALID' END AS error FROM z""")
+def datum_shifts(spark, d):
+    """Customers as points on the globe under two shifts, and one that no registry has."""
+    op = F.when(F.col("c_nationkey") % 3 == 0, "a").when(F.col("c_nationkey") % 3 == 1, "b").otherwise("c")
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("solution_id"), F.lit(0).alias("place"), op.alias("operation_id"), (k % 181 - 90).cast("double").alias("lat"), (k % 400 - 190).cast("double").alias("lon"), F.col("c_acctbal").alias("h"))
+    schema = "operation_id string, source_ellipsoid string, target_ellipsoid string, dx double, dy double, dz double"
+    known = spark.createDataFrame(_SHIFT, schema).withColumns({"required_grids": F.array().cast("array<string>"), "maximum_points": F.lit(100_000), "horizontal_tolerance": F.lit(1e-9), "vertical_tolerance": F.lit(1e-6)})
+    found = datum.shifted_points(points, known)
+    # the longitude of a pole is whatever the arithmetic makes of it, and so is its way back
+    pole = F.abs("lat") == 90
+    error = F.when(pole & (F.col("error") == "CRS_ROUND_TRIP_TOLERANCE_EXCEEDED"), F.lit(None)).otherwise(F.col("error"))
+    good = ~F.coalesce(error.isin("CRS_POINT_INVALID", "CRS_OPERATION_UNKNOWN"), F.lit(False))
+    told = lambda c, n: F.when(good, F.round(c, n) + 0.0)
+    return found.select("solution_id", "operation_id", told("new_lat", 9).alias("lat"), F.when(~pole, told("new_lon", 9)).alias("lon"), told("new_h", 4).alias("h"), error.alias("error"))
+
+
 @register("SELECT page_id, sha256(encode(html)) AS sha256, octet_length(encode(html))::BIGINT AS bytes, 'embedded' AS embedding_policy, 'sources/' || sha256(encode(html)) AS storage_ref FROM pages")
 def opaque_register(spark, d):
     pages = table(spark, d, "pages").select(F.lit("p").alias("package_id"), F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
