@@ -12,7 +12,7 @@ from trussline.functions import canon, values
 from trussline.model import SUPPORT_LEVELS, rank, worst
 from trussline.operators import context, datum, diff, drawings, gate, geometry, graph, inference, policy, providers, query, subdivision, trust, validate
 from trussline.plans.tables import assertion_states, capability_levels, diagnostic_records, diagnostics, entity_records, order_revisions, table
-from trussline.sources import curve_samples, dxf_geometry, ifc_model, package_store, packages, rasters, scanners
+from trussline.sources import curve_samples, dxf_geometry, ifc_model, ifc_plane, package_store, packages, rasters, scanners
 from trussline.storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -995,6 +995,19 @@ def datum_shifts(spark, d):
     return found.select("solution_id", "operation_id", told("new_lat", 9).alias("lat"), F.when(~pole, told("new_lon", 9)).alias("lon"), told("new_h", 4).alias("h"), error.alias("error"))
 
 
+@register("""SELECT p_partkey AS part, 'trimmed_curve' AS kind, k, round(1 + p_size * cos(pi() / 2 * k / 16), 6) + 0.0 AS x, round(2 + p_size * sin(pi() / 2 * k / 16), 6) + 0.0 AS y FROM part, range(0, 17) r(k)
+UNION ALL SELECT p_partkey, 'mapped_item', k, p_size + CASE k WHEN 0 THEN 4.0 ELSE 0.0 END, CASE k WHEN 0 THEN -2.0 ELSE 0.0 END FROM part, range(0, 2) r(k)""")
+def model_plane_geometry(spark, d):
+    """Parts as models: a quarter of a circle, and a line mapped with a turn, a shift and a scale; all points."""
+    size = _number("p_size")
+    marks = ["ISO-10303-21;HEADER;ENDSEC;DATA;#1=IFCCARTESIANPOINT((1.,2.));#2=IFCAXIS2PLACEMENT2D(#1,$);#3=IFCCIRCLE(#2,", size, ".);#4=IFCTRIMMEDCURVE(#3,(IFCPARAMETERVALUE(0.)),(IFCPARAMETERVALUE(1.5707963267948966)),.T.,.PARAMETER.);#5=IFCCARTESIANPOINT((0.,0.));"]
+    marks += ["#6=IFCPOLYLINE((#5,#1));#7=IFCSHAPEREPRESENTATION(#99,'Plan','Curve2D',(#6));#8=IFCREPRESENTATIONMAP(#2,#7);#9=IFCDIRECTION((0.,1.));#10=IFCCARTESIANPOINT((", size, ".,0.));#11=IFCCARTESIANTRANSFORMATIONOPERATOR2D(#9,$,#10,2.);#12=IFCMAPPEDITEM(#8,#11);ENDSEC;END-ISO-10303-21;"]
+    text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks])
+    found = ifc_plane.plane_geometry(scanners.step_instances(_file(table(spark, d, "part"), "p_partkey", text))).filter("kind in ('trimmed_curve', 'mapped_item')")
+    points = found.select(F.col("package_id").cast("long").alias("part"), "kind", F.posexplode(F.flatten("paths")).alias("k", "p"))
+    return points.select("part", "kind", F.col("k").cast("long").alias("k"), *[(F.round(F.col("p")[k], 6) + 0.0).alias(c) for k, c in enumerate("xy")])
+
+
 @register("SELECT page_id, sha256(encode(html)) AS sha256, octet_length(encode(html))::BIGINT AS bytes, 'embedded' AS embedding_policy, 'sources/' || sha256(encode(html)) AS storage_ref FROM pages")
 def opaque_register(spark, d):
     pages = table(spark, d, "pages").select(F.lit("p").alias("package_id"), F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
