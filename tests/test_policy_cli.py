@@ -97,6 +97,26 @@ def test_evaluation(spark, stores):
     assert {r.package_id: (r.outcome, r.exit_code) for r in verdicts.collect()} == {"a": ("requires_review", 1), "b": ("requires_review", 1)}
 
 
+def test_changes_during_an_evaluation_are_errors(spark, stores):
+    now, was = stores / "now", stores / "was"
+    read = lambda root: lambda: packages.read_directories(spark, str(root))
+    one = policy.load_policy(json.dumps(document(checks=[MINIMUM])))
+    still = {r.package_id: r.outcome for r in policy.evaluate_unchanged(spark, one, read(now), read(was))[0].collect()}
+    assert still == {r.package_id: r.outcome for r in policy.evaluate(spark, one, read(now)())[0].collect()}
+    calls = []
+
+    def read_while_it_changes():
+        calls.append(1)
+        if len(calls) == 3:
+            (was / "b" / "context" / "index.md").write_text("changed")
+        return packages.read_directories(spark, str(was))
+
+    verdicts, statuses, findings = policy.evaluate_unchanged(spark, one, read(now), read_while_it_changes)
+    assert {r.package_id: (r.outcome, r.exit_code) for r in verdicts.collect()} == {"a": ("fail", 1), "b": ("error", 2)}
+    assert {(r.check_id, r.status) for r in statuses.filter("package_id = 'b'").collect()} == {("integrity", "error")}
+    assert [(r.package_id, r.code) for r in findings.filter("check_id = 'integrity'").collect()] == [("b", "BASELINE_CHANGED_DURING_EVALUATION")]
+
+
 def test_commands(spark, stores, capsys):
     now, was = str(stores / "now"), str(stores / "was")
     out = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,7 @@ from trussline.operators import diff, gate
 from trussline.operators.query import at_path
 from trussline.sources.packages import inventory, manifests, records
 from trussline.sources.scanners import strict_json
+from trussline.storage import stored
 
 KINDS = ("capability.minimum", "loss.maximum", "value_state.action", "diagnostic.maximum", "diff.regression")
 #: Limits of a policy and of its result; beyond them the run fails instead of cutting.
@@ -174,3 +176,38 @@ def evaluate(spark: SparkSession, policy: Policy, files: DataFrame, baseline: Da
     statuses = every.join(told, ["package_id", "check_id"], "left").withColumn("status", F.coalesce("status", F.lit("pass")))
     statuses = statuses.unionByName(told.filter("check_id = 'limits'"))
     return gate.outcomes(statuses, only), statuses, findings
+
+
+def fingerprints_of(files: DataFrame) -> DataFrame:
+    """(package_id, digest) of each package: over the paths, sizes and hashes of its files, in order."""
+    entry = F.concat_ws("\0", F.coalesce("path", F.lit("")), F.coalesce("sha256", F.lit("")), F.coalesce(F.col("bytes").cast("string"), F.lit("")), F.coalesce("error", F.lit("")))
+    return files.groupBy("package_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(entry, 256))), "\n"), 256).alias("digest"))
+
+
+def drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(package_id) of packages whose digests differ, or that one side lacks."""
+    both = before.join(after.withColumnRenamed("digest", "now"), "package_id", "full_outer")
+    return both.filter(~F.col("digest").eqNullSafe(F.col("now"))).select("package_id")
+
+
+def evaluate_unchanged(spark: SparkSession, policy: Policy, read: Callable[[], DataFrame], read_baseline: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`evaluate` over stores that are read anew before, during and after, as stored tables.
+
+    ``read`` gives the files of the candidates, ``read_baseline`` those of the baseline. A package whose files, or whose baseline's
+    files, aren't the same before and after gets an error of its own and keeps none of its verdicts: they may rest on either state.
+    """
+    sides = {"CANDIDATE_CHANGED_DURING_EVALUATION": read} | ({"BASELINE_CHANGED_DURING_EVALUATION": read_baseline} if read_baseline else {})
+    before = {code: stored(fingerprints_of(side()), "before") for code, side in sides.items()}
+    told = evaluate(spark, policy, read(), read_baseline() if read_baseline else None)
+    _, statuses, findings = (stored(t, "gate") for t in told)
+    moved = [drift(before[code], fingerprints_of(side())).select("package_id", F.lit(code).alias("code")) for code, side in sides.items()]
+    changed = stored(reduce(DataFrame.union, moved), "changed")
+    packages = before["CANDIDATE_CHANGED_DURING_EVALUATION"].select("package_id")
+    # a package of the baseline alone has no verdict to take back
+    concerned = changed.join(packages.union(changed.filter("code like 'CANDIDATE%'").select("package_id")).distinct(), "package_id", "left_semi")
+    errors = gate.with_fingerprints(gate._findings(concerned, "integrity", F.col("code"), F.lit("files"), F.lit("changed"), "error")).withColumn("waiver_id", F.lit(None).cast("string"))
+    kept = lambda rows: rows.join(concerned.select("package_id"), "package_id", "left_anti")
+    failed = concerned.select("package_id", F.lit("integrity").alias("check_id"), F.lit("error").alias("status")).distinct()
+    statuses = kept(statuses).select("package_id", "check_id", "status").unionByName(failed)
+    every = packages.union(concerned.select("package_id")).distinct()
+    return gate.outcomes(statuses, every), statuses, kept(findings).unionByName(errors, allowMissingColumns=True)
