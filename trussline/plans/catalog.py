@@ -312,6 +312,36 @@ def page_fingerprints(spark, d):
     return pages.select("page_id", canon.fingerprint(F.lit("pages"), F.lit("TEXT"), F.col("html"), F.lit("known"), refs).alias("fingerprint"))
 
 
+@register(f"""WITH {_STATE_FINDINGS}, n AS (SELECT package_id, count(*) AS c FROM sf GROUP BY 1) SELECT package_id, code, subject_id, observed_state, disposition FROM sf WHERE package_id NOT IN (SELECT package_id FROM n WHERE c > 9)
+UNION ALL SELECT package_id, 'FINDINGS_LIMIT_EXCEEDED', 'findings', c::VARCHAR, 'error' FROM n WHERE c > 9""")
+def findings_limit(spark, d):
+    """Findings of the packages that have no more than nine; the others have one error each."""
+    found = policy.within_limit(gate.with_fingerprints(_state_findings(spark, d)), 9)
+    return found.select("package_id", "code", "subject_id", "observed_state", "disposition")
+
+
+@register(f"""WITH {_STATE_FINDINGS}, v AS (SELECT package_id, CASE WHEN bool_or(disposition = 'fail') THEN 'fail' ELSE 'requires_review' END AS outcome FROM sf GROUP BY 1)
+SELECT package_id, 0::BIGINT AS place, '# Delivery gate' || chr(10) || chr(10) || 'Outcome: `' || outcome || '` (exit `1`)' || chr(10) AS line FROM v
+UNION ALL SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY code, subject_id, observed_state, disposition), '    {{"check_id":"values","code":"' || code || '","subject_id":"' || subject_id || '","observed_state":"' || observed_state || '","disposition":"' || disposition || '"}}' FROM sf""")
+def gate_markdown(spark, d):
+    found = _state_findings(spark, d)
+    statuses = found.select("package_id", "check_id", F.col("disposition").alias("status"))
+    return gate.markdown(gate.outcomes(statuses, found), found)
+
+
+@register("""SELECT s_suppkey::VARCHAR AS package_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '0.2.0' END AS format_version, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '2024-01-01T00:00:00Z' END AS created_at, 'directory' AS package_form, 'external' AS source_embedding_policy, sha256(s_name) AS logical_digest, CASE WHEN s_nationkey % 2 = 0 THEN 'full' ELSE 'partial' END AS mesh FROM supplier""")
+def package_info(spark, d):
+    """Suppliers as manifests; what the command for information shows."""
+    k = F.col("s_suppkey")
+    version = F.when(k % 3 == 0, "").otherwise('"spec_version":"0.2.0",')
+    moment = F.when(k % 4 == 0, "").otherwise('"created_at":"2024-01-01T00:00:00Z",')
+    mesh = F.when(F.col("s_nationkey") % 2 == 0, "full").otherwise("partial")
+    body = F.concat(F.lit("{"), version, moment, F.lit('"package_form":"directory","source_embedding_policy":"external","capabilities":{"mesh":"'), mesh, F.lit('"},"logical_digest":"'), F.sha2("s_name", 256), F.lit('"}'))
+    files = table(spark, d, "supplier").select(k.cast("string").alias("package_id"), F.lit("manifest.json").alias("path"), F.encode(body, "UTF-8").alias("content"))
+    shown = query.package_info(packages.manifests(files))
+    return shown.withColumn("mesh", F.try_element_at("capabilities", F.lit("mesh"))).drop("capabilities")
+
+
 _OUTCOMES = f"""{_DIAG}, pr AS (SELECT * FROM (VALUES (0, 'pass'), (1, 'waived'), (2, 'requires_review'), (3, 'fail'), (4, 'error')) t(r, s)),
 votes AS (SELECT package_id, CASE WHEN severity = 'error' AND affected_count >= 90 THEN 'error' WHEN severity = 'error' AND affected_count >= 70 THEN 'fail' WHEN severity = 'warning' AND affected_count >= 95 THEN 'requires_review' WHEN affected_count = 1 THEN 'waived' ELSE 'pass' END AS s FROM diag),
 o AS (SELECT package_id, max(r) AS r FROM votes JOIN pr USING (s) GROUP BY 1), f AS (SELECT u.package_id, coalesce(pr.s, 'pass') AS s FROM (SELECT DISTINCT package_id FROM diag) u LEFT JOIN o USING (package_id) LEFT JOIN pr ON pr.r = o.r),
