@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from trussline.llm import repair
@@ -92,20 +93,46 @@ def test_report_equals_row_by_row(spark):
     assert as_report(repair.repair_report(spark.createDataFrame(cases(), CONV))) == by_sql(cases())
 
 
-def test_chunks_and_partitions_change_nothing(spark, monkeypatch):
+def long_conversation():
     draw = random.Random(2)
-    rows = [(7, k // 2, draw.choice(["user", "assistant", "system"]), draw.choice(["Ja.", "Nein.", "so", f"t{k}."])) for k in range(300)] + [(c, 0, "user", "Hi.") for c in range(6)]
-    whole = as_report(repair.repair_report(spark.createDataFrame(rows, CONV)))
-    monkeypatch.setattr(repair, "CHUNK_ROWS", 7)
-    monkeypatch.setattr(repair, "FAN_IN", 3)
-    frame = spark.createDataFrame(rows, CONV).repartition(5)
+    return [(7, k // 2, draw.choice(["user", "assistant", "system"]), draw.choice(["Ja.", "Nein.", "so", f"t{k}."])) for k in range(300)]
+
+
+def test_partitions_change_nothing(spark):
+    rows = long_conversation() + [(c, 0, "user", "Hi.") for c in range(6)]
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
-        assert as_report(repair.repair_report(frame)) == whole
+        assert as_report(repair.repair_report(spark.createDataFrame(rows, CONV).repartition(5))) == by_sql(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_chunks_multiply_to_the_whole(monkeypatch, size):
+    monkeypatch.setattr(repair, "FAN_IN", 3)
+    rows, seen = sorted(((t, r, x) for _, t, r, x in long_conversation())), set()
+    whole, chunks = repair.Chunk(7, 0, 0), []
+    for k, (turn, role, text) in enumerate(rows):
+        if k % size == 0:
+            chunks.append(repair.Chunk(7, 0, k))
+        for chunk in (whole, chunks[-1]):
+            chunk.add(turn, role, text, 1, (role, text) not in seen)
+        seen.add((role, text))
+    record = lambda c, k: {x: v for x, v in c.record(True).items() if x in repair._SUM.names} | {"ord": k, "sizes": [len(c.rows)]}
+    level = [record(c, k) for k, c in enumerate(chunks)]
+    while len(level) > 1:
+        groups = {}
+        for r in level:
+            groups.setdefault(r["ord"] // 3, []).append(r)
+        level = [repair._reduce(pa.Table.from_pylist(g[::-1], repair._SUM)).to_pylist()[0] for g in groups.values()]
+    want = record(whole, 0)
+    assert {k: v for k, v in level[0].items() if k not in ("sizes", "ord")} == {k: v for k, v in want.items() if k not in ("sizes", "ord")}
+    cost, audit = repair.cheapest(repair._as_matrix(want["matrix"]))
+    pieces = repair._split(audit, level[0]["sizes"])
+    parts = [t for c, (piece, after) in zip(chunks, pieces) for t in repair.repaired_rows([(r["role"], r["text"]) for r in c.rows], piece, after)]
+    assert parts == list(repair.repaired_rows([(r["role"], r["text"]) for r in whole.rows], audit, 0)) and len(parts) > 50
+
+
 def test_repeated_rows_and_extra_columns(spark):
     rows = [(1, 0, "user", "Hi.")] * 40 + [(1, 1, "assistant", "Yo.")] + [(2, None, "x", "")] * 3
     frame = spark.createDataFrame([(*r, 5, "z") for r in rows], CONV + ", n long, digest string")
