@@ -87,3 +87,29 @@ def test_columns_of_any_name_come_through(docs):
     out = mixing.mix_documents(table)
     assert out.columns == table.columns and out.count() > 0
     assert {tuple(r)[5:] for r in out.collect()} == {("mine", "own", "kept", "x", "y")}
+
+
+def test_copies_of_a_large_row_come_near_the_target(docs):
+    copy = "w " * 1000
+    rows = [(7, copy, "en", "a")] * 40 + [(100 + k, "x " * 10, "en", "a") for k in range(100)] + [(900 + k, "y " * 50, "en", "b") for k in range(300)]
+    got = mixing.mix_report(docs(rows)).toPandas()
+    assert as_set(got) == as_set(duck(rows))
+    big = got[got["source_size"] == 41_000]
+    assert abs(big["taken"].sum() - big["target"].iloc[0]) <= 1000
+    taken = sorted(got[got["doc_id"] == 7]["taken"])
+    assert len(set(taken)) > 1
+    out = mixing.mix_documents(docs(rows))
+    assert out.filter("doc_id = 7").count() * 1000 == sum(taken) and out.count() == (got["taken"] / got["size"]).sum()
+
+
+def test_rows_of_one_id_and_size_are_told_apart_the_same_way_each_time(docs):
+    rows = [(None, f"w{k} " * 100, "en", "b") for k in range(60)] + [(k, "y " * 50, "en", "a") for k in range(200)]
+    one = sorted(r.text for r in mixing.mix_documents(docs(rows)).filter("doc_id is null").collect())
+    two = sorted(r.text for r in mixing.mix_documents(docs(rows[::-1]).repartition(5)).filter("doc_id is null").collect())
+    assert one == two and 0 < len(one) < 120 and max(map(one.count, one)) <= 2
+
+
+def test_groups_above_a_chunk(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    rows = [(1, "a b c", "en", "s")] * 100 + [(k, "d e", "en", "t") for k in range(50)] + [(2, None, "en", "s")] * 30
+    assert as_set(mixing.mix_report(docs(rows)).toPandas()) == as_set(duck(rows))
