@@ -131,6 +131,22 @@ def test_a_line_that_many_turns_share(spark):
     assert tuple(got) == (n // 2, n // 2)
 
 
-def test_runs_are_named_in_linear_time():
-    marks = quotes.run_marks([f"line {k}" for k in range(20000)], [2, 5000, 19999, 30000])
-    assert len(marks) == 19999 + 15001 + 2
+def test_runs_are_found_by_either_end():
+    runs = quotes.Runs([f"line {k}" for k in range(9)])
+    ask = lambda at, n, tail: {"lines": n, "run": runs.name(at, n), "anchor": runs.name(at + n - 4 if tail else at, 4), "at": n - 4 if tail else 0}
+    asked = [ask(0, 4, False), ask(2, 7, True), ask(1, 6, False)]
+    lines = [f"line {k}" for k in range(9)]
+    assert quotes.held_runs(lines, asked) == {a["run"] for a in asked}
+    assert quotes.held_runs(lines[:8], asked) == {asked[0]["run"], asked[2]["run"]}
+    assert quotes.held_runs([], asked) == set() and [quotes.half(n) for n in (1, 2, 3, 4, 7, 8)] == [1, 2, 2, 4, 4, 8]
+
+
+def test_a_long_message_quoted_in_all_sizes_costs_linear_rows(spark):
+    n = 1500
+    lines = [f"line {k}" for k in range(n)]
+    rows = [(1, 0, "user", "\n".join(lines))] + [(1, k, "user", "\n".join("> " + x for x in lines[:k]) + f"\nanswer {k}") for k in range(2, n + 1)]
+    parsed = quotes.stored(quotes._parsed(table(spark, rows)), "parsed")
+    asked = parsed.select("conv_id", quotes.F.explode("quotes").alias("q")).select("conv_id", "q.*").withColumn("half", quotes.F.expr("shiftleft(1, cast(floor(log2(lines)) as int))"))
+    assert quotes._blocks(parsed, asked).count() <= 2 * n
+    got = quotes.quote_links(parsed)
+    assert got.count() == n - 1 and got.filter("origin <> 0").count() == 0
