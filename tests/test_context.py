@@ -91,3 +91,30 @@ def test_repeated_places_are_rendered_once_each(spark):
     got = {r.path: r.content for r in context.render(sections, packages).collect()}
     assert got["context/chunk-001.md"] == "# Context chunk 1\n\ny\nx\nx\nx\n"
     assert "Records in the context: 4\n" in got["context/index.md"]
+
+
+def test_packages_stay_whole_where_a_join_is_turned_to_a_broadcast(spark):
+    """A join by package planned as a merge and broadcast in the end reads its rows by writers, not by package."""
+    from pyspark.sql import functions as F
+
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 30000, 1, 6).select((F.col("id") % 5).cast("string").alias("package_id"), F.col("id").alias("place"), F.col("id").alias("record_id"), (F.col("id") * 37 % 900).alias("size"))
+        totals = rows.groupBy("package_id").agg(F.count("*").alias("total"))
+        b = context.Budget(tokens=3000, chunk_tokens=500)
+        got = {(r.package_id, r.place): r.chunk for r in context.pack(rows.join(totals, "package_id"), b).collect()}
+    finally:
+        for k in put:
+            spark.conf.unset(k)
+    for p in range(5):
+        packer = context.Packer(b, 6000)
+        for k in range(p, 30000, 5):
+            assert got[str(p), k] == packer.offer(k * 37 % 900), (p, k)
+
+
+def test_sections_without_a_place_come_last(spark):
+    rows = [("p", None, "last", 8000, 3), ("p", 1, "a", 8000, 3), ("p", 2, "b", 8000, 3)]
+    got = {r.record_id: r.chunk for r in context.pack(spark.createDataFrame(rows, "package_id string, place long, record_id string, size long, total long"), context.Budget(tokens=4300)).collect()}
+    assert got == {"a": 1, "b": 2, "last": None}

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from trussline.storage import in_runs
+
 
 def _alike(value: object) -> object:
     """Values that compare equal become the same: true is 1, 1.0 is 1."""
@@ -113,7 +115,7 @@ def ordered_digests(rows: DataFrame, key: str, line: Column, name: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(now, batch.column(0).type), pa.array([digest.hexdigest()])], [key, name])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, line.alias("line")).repartition(key).sortWithinPartitions(key, "line").mapInArrow(run, f"{key} {kind}, {name} string")
+    return in_runs(rows.select(key, line.alias("line")), [key], "line").mapInArrow(run, f"{key} {kind}, {name} string")
 
 
 def inventory_line(path: Column, sha256: Column, size: Column) -> Column:

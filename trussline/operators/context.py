@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions.canon import token_estimate
 from trussline.model import CONTEXT_ORDER, rank
+from trussline.storage import in_runs
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,7 @@ def pack(sections: DataFrame, budget: Budget = Budget()) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in sections.schema}
     index = "index_bytes" if "index_bytes" in sections.columns else F.lit(budget.index_bytes).alias("index_bytes")
-    dealt = sections.select("package_id", "place", "record_id", "size", "total", index).repartition("package_id").sortWithinPartitions("package_id", "place")
+    dealt = in_runs(sections.select("package_id", "place", "record_id", "size", "total", index), ["package_id"], F.col("place").asc_nulls_last())
     return dealt.mapInArrow(run, f"package_id {types['package_id']}, place {types['place']}, record_id {types['record_id']}, chunk long")
 
 

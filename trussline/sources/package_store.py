@@ -40,7 +40,7 @@ from pyspark.sql.types import Row, StructType
 
 from trussline.model import RECORD_FILES
 from trussline.sources.packages import Limits, member_fault
-from trussline.storage import file_system, stored
+from trussline.storage import file_system, in_runs, stored
 
 #: Directories that planning reads at a time, and bytes of small members that share a task.
 THREADS, TASK_BYTES = 16, 32 << 20
@@ -341,5 +341,5 @@ def write_packages(files: DataFrame, folder: str, overwrite: bool = False) -> No
     """Write (package_id, path, content) as archives, all or none. A package's members pass through one task, one at a time."""
     _register(files.sparkSession)
     rows = files.select(F.col("package_id").cast("string").alias("package_id"), "path", "content")
-    dealt = rows.repartition("package_id").sortWithinPartitions("package_id", "path")
+    dealt = in_runs(rows, ["package_id"], "path")
     dealt.withColumn("error", F.lit(None).cast("string")).write.format("package_files").mode("overwrite" if overwrite else "append").save(folder)
