@@ -99,3 +99,19 @@ def test_statements_survive_any_cut():
             assert len(list(scanners.step_statements(cut))) <= 6
         except ValueError:
             pass
+
+
+def test_drawing_entities_equal_those_of_the_tags(spark):
+    tags = "0 SECTION 2 HEADER 9 $INSUNITS 70 4 0 ENDSEC 0 SECTION 2 BLOCKS 0 LINE 5 9 10 x 20 1 0 ENDSEC 0 SECTION 2 ENTITIES 0 LINE 5 1A 8 walls 10 1.5 20 2 11 3 21 4 10 7 0 TEXT 5 1B 8 notes 999 y 0 INSERT 5 1C 2 door 10 0 0 ENDSEC 0 EOF".split()
+    some = files(spark, a="\n".join(tags), b="7\nx\n0\nSECTION\n2\nENTITIES\n0\nCIRCLE\n40\n2\n5", c="1", d="x\ny")
+    rows = lambda found: sorted(map(repr, found.select(*columns).collect()))
+    columns = ["package_id", "path", "nth", "type", "section", "handle", "layer", "block", "kind", "numbers", "series"]
+    got = rows(scanners.drawing_entities(some))
+    assert len(got) == 5 and got == rows(scanners.dxf_entities(scanners.dxf_tags(some)))
+
+
+def test_drawing_planes_deal_out_files_only(spark, sf):
+    from trussline.plans import catalog
+
+    plan = catalog.drawing_planes(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan

@@ -771,8 +771,9 @@ def request_ids(spark, d):
 
 
 def _file(rows, key, content):
-    """Texts as files of packages named by a key."""
-    return rows.select(F.col(key).cast("string").alias("package_id"), F.lit("file").alias("path"), F.encode(content, "UTF-8").alias("content"))
+    """Texts as files of packages named by a key, dealt out before they are written: a few megabytes of rows are many more of text and work."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).select(F.col(key).cast("string").alias("package_id"), F.lit("file").alias("path"), F.encode(content, "UTF-8").alias("content"))
 
 
 def _number(column):
@@ -854,8 +855,7 @@ def drawing_planes(spark, d):
     size = _number("p_size")
     marks = ["0 SECTION 2 ENTITIES 0 CIRCLE 8 a 10 ", size, " 20 2 0 ARC 8 b 10 ", size, " 20 2 30 3 210 0 220 0 230 -1 0 CIRCLE 8 c 10 ", size, " 20 2 30 3 210 1 220 0 230 0 0 ENDSEC 0 EOF"]
     text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
-    entities = scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))
-    rows = dxf_geometry.plane_entities(entities).join(entities.select(*dxf_geometry.KEYS, "kind", "layer"), dxf_geometry.KEYS)
+    rows = dxf_geometry.plane_entities(scanners.drawing_entities(_file(table(spark, d, "part"), "p_partkey", text)))
     return rows.select(F.col("package_id").cast("long").alias("part"), "type", *[F.round(F.col("center_world")[k], 9).alias(c) for k, c in enumerate("xyz")], "kind", "layer")
 
 
@@ -865,7 +865,7 @@ def drawing_ellipses(spark, d):
     """Parts as whole ellipses; all points of their samples."""
     size = _number("p_size")
     text = F.replace(F.concat(F.lit("0 SECTION 2 ENTITIES 0 ELLIPSE 10 "), size, F.lit(" 20 0 11 "), size, F.lit(" 21 0 40 0.5 0 ENDSEC 0 EOF")), F.lit(" "), F.lit("\n"))
-    found = curve_samples.sampled_curves(dxf_geometry.curves(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))))
+    found = curve_samples.sampled_curves(dxf_geometry.curves(scanners.drawing_entities(_file(table(spark, d, "part"), "p_partkey", text))))
     points = found.select(F.col("package_id").cast("long").alias("part"), F.posexplode("points").alias("k", "p"))
     return points.select("part", F.col("k").cast("long").alias("k"), (F.round(F.col("p")[0], 6) + 0.0).alias("x"), (F.round(F.col("p")[1], 6) + 0.0).alias("y"))
 
@@ -883,7 +883,7 @@ def drawing_splines(spark, d):
     size = _number("p_size")
     marks = ["0 SECTION 2 ENTITIES 0 SPLINE 70 8 71 3 72 8 73 4 74 0 40 0 40 0 40 0 40 0 40 1 40 1 40 1 40 1 10 0 20 0 10 0 20 2 10 ", (F.col("p_size").cast("long") * 2).cast("string"), " 20 0 10 ", size, " 20 ", (F.col("p_size").cast("long") * 2).cast("string"), " 0 ENDSEC 0 EOF"]
     text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
-    found = curve_samples.sampled_curves(dxf_geometry.curves(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))))
+    found = curve_samples.sampled_curves(dxf_geometry.curves(scanners.drawing_entities(_file(table(spark, d, "part"), "p_partkey", text))))
     points = found.select(F.col("package_id").cast("long").alias("part"), F.posexplode("points").alias("k", "p"))
     return points.select("part", F.col("k").cast("long").alias("k"), (F.round(F.col("p")[0], 6) + 0.0).alias("x"), (F.round(F.col("p")[1], 6) + 0.0).alias("y"))
 
@@ -908,7 +908,7 @@ def mesh_subdivision(spark, d):
         marks += [" 10 ", size if x else "0", f" 20 {y} 30 {z}"]
     marks += [" 93 30" + "".join(" 90 4" + "".join(f" 90 {v}" for v in q) for q in _BOX) + " 94 0 0 ENDSEC 0 EOF"]
     text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
-    entities = scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text)))
+    entities = scanners.drawing_entities(_file(table(spark, d, "part"), "p_partkey", text))
     vertices, faces = (stored(rows, "meshes") for rows in dxf_geometry.subdivision_meshes(entities))
     points, _ = subdivision.subdivide(vertices, faces, dxf_geometry.KEYS)
     return points.select(F.col("package_id").cast("long").alias("part"), F.col("vertex").cast("long").alias("vertex"), *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])
@@ -920,7 +920,7 @@ def drawing_multilines(spark, d):
     size, twice = _number("p_size"), (F.col("p_size").cast("long") * 2).cast("string")
     marks = ["0 SECTION 2 ENTITIES 0 MLINE 2 WALL 40 1 70 1 71 0 72 3 73 2 11 0 21 0 31 0 13 0 23 1 33 0 74 1 41 0.5 74 1 41 -0.25 11 ", size, " 21 0 31 0 13 -1 23 1 33 0 74 2 41 0.5 41 7 74 1 41 -0.25 11 ", size, " 21 ", twice, " 31 0 13 -1 23 0 33 0 74 1 41 0.5 74 1 41 -0.25 0 ENDSEC 0 EOF"]
     text = F.replace(F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks]), F.lit(" "), F.lit("\n"))
-    lines = dxf_geometry.multilines(scanners.dxf_entities(scanners.dxf_tags(_file(table(spark, d, "part"), "p_partkey", text))))
+    lines = dxf_geometry.multilines(scanners.drawing_entities(_file(table(spark, d, "part"), "p_partkey", text)))
     points = lines.select(F.col("package_id").cast("long").alias("part"), F.col("element").cast("long").alias("element"), F.posexplode("points").alias("k", "p"))
     return points.select("part", "element", F.col("k").cast("long").alias("k"), *[(F.round(F.col("p")[k], 6) + 0.0).alias(c) for k, c in enumerate("xy")])
 

@@ -63,10 +63,10 @@ def _with_world(rows: DataFrame, point: str, name: str) -> DataFrame:
 
 
 def plane_entities(entities: DataFrame) -> DataFrame:
-    """(package_id, path, nth, type, handle, extrusion, center, center_world, elevation) of circles, arcs, flat polylines, solids and traces."""
+    """(package_id, path, nth, type, handle, kind, layer, extrusion, center, center_world, elevation) of circles, arcs, flat polylines, solids and traces."""
     rows = entities.filter(F.col("type").isin("CIRCLE", "ARC", "LWPOLYLINE", "SOLID", "TRACE"))
     center = F.when(F.col("type").isin("CIRCLE", "ARC"), _point(10))
-    named = _with_extrusion(rows).select(*KEYS, "type", "handle", "extrusion", center.alias("center"), F.when(F.col("type") == "LWPOLYLINE", _value(38)).alias("elevation"))
+    named = _with_extrusion(rows).select(*KEYS, "type", "handle", "kind", "layer", "extrusion", center.alias("center"), F.when(F.col("type") == "LWPOLYLINE", _value(38)).alias("elevation"))
     return _with_world(named, "center", "center_world")
 
 

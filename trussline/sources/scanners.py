@@ -143,7 +143,9 @@ def step_instances(files: DataFrame) -> DataFrame:
 
 
 def dangling_instances(instances: DataFrame) -> DataFrame:
-    """References of STEP instances that no instance of the file has."""
+    """References of STEP instances that no instance of the file has; the scan of a file tells them, else a join does."""
+    if "lacking" in instances.columns:
+        return instances.select("package_id", "path", F.explode("lacking").alias("ref"), "id").select("package_id", "path", "ref", "id")
     refs = instances.select("package_id", "path", "id", F.explode("refs").alias("ref"))
     return refs.join(instances.select("package_id", "path", F.col("id").alias("ref")), ["package_id", "path", "ref"], "left_anti")
 
@@ -210,11 +212,17 @@ def dxf_entities(tags: DataFrame) -> DataFrame:
     marked = tags.withColumns({"nth": F.sum(begins.cast("int")).over(w), "after_section": (F.col("code") == 2) & (before == "SECTION")})
     marked = marked.withColumn("section", F.last(F.when(F.col("after_section"), F.col("value")), ignorenulls=True).over(w))
     first = lambda code: F.min_by(F.when(F.col("code") == code, F.col("value")), F.when(F.col("code") == code, F.col("place")))
-    code = F.col("code")
-    numeric = code.between(10, 99) | code.between(140, 149) | code.between(210, 239) | code.between(280, 299)
-    held = F.array_sort(F.collect_list(F.when(numeric, F.struct("place", "code", F.col("value").try_cast("double").alias("number")))))
+    held = F.array_sort(F.collect_list(F.when(_is_numeric(F.col("code")), F.struct("place", "code", F.col("value").try_cast("double").alias("number")))))
+    return _with_series(marked.filter("nth > 0").groupBy("package_id", "path", "nth").agg(first(0).alias("type"), F.first("section").alias("section"), first(5).alias("handle"), first(8).alias("layer"), first(2).alias("block"), held.alias("held")))
+
+
+def _is_numeric(code: Column) -> Column:
+    return code.between(10, 99) | code.between(140, 149) | code.between(210, 239) | code.between(280, 299)
+
+
+def _with_series(grouped: DataFrame) -> DataFrame:
+    """Entities with ``series`` and ``numbers`` in place of the numeric pairs in ``held``, and their kind; those of other sections are left out."""
     series = F.map_from_arrays(F.array_distinct(F.col("held")["code"]), F.transform(F.array_distinct(F.col("held")["code"]), lambda c: F.filter("held", lambda t: t["code"] == c)["number"]))
-    grouped = marked.filter("nth > 0").groupBy("package_id", "path", "nth").agg(first(0).alias("type"), F.first("section").alias("section"), first(5).alias("handle"), first(8).alias("layer"), first(2).alias("block"), held.alias("held"))
     grouped = grouped.withColumn("series", series).drop("held")
     grouped = grouped.withColumn("numbers", F.transform_values(F.map_filter("series", lambda c, v: c < 60), lambda c, v: v[0]))
     kind = F.lit("opaque-object")
@@ -223,6 +231,34 @@ def dxf_entities(tags: DataFrame) -> DataFrame:
     return grouped.filter("section in ('ENTITIES', 'BLOCKS') and type not in ('SECTION', 'ENDSEC', 'EOF')").withColumn("kind", kind)
 
 
+def drawing_entities(files: DataFrame) -> DataFrame:
+    """The rows of :func:`dxf_entities` straight from ASCII drawings.
+
+    A file is one row already, so its pairs are cut at each code 0 where they stand and nothing is dealt out or sorted.
+    """
+    lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("lines") / 2).cast("int") - 1), lambda k: F.struct(F.trim(F.col("lines")[2 * k]).try_cast("int").alias("code"), F.trim(F.col("lines")[2 * k + 1]).alias("value")))
+    rows = files.select("package_id", "path", lines.alias("lines")).filter(F.size("lines") >= 2).select("package_id", "path", pairs.alias("tags"))
+    places = F.transform("tags", lambda t, k: F.struct(k.alias("k"), t["code"].alias("code"), t["value"].alias("value")))
+    begins = F.filter(places, lambda t: t["code"] == 0)["k"]
+    named = F.filter(places, lambda t: (t["code"] == 2) & (F.get("tags", t["k"] - 1)["value"] == "SECTION"))
+    marked = rows.select("package_id", "path", "tags", begins.alias("begins"), named.alias("named"))
+    cut = F.transform(
+        "begins",
+        lambda b, i: F.struct(
+            (i + 1).cast("long").alias("nth"),
+            F.slice("tags", b + 1, F.coalesce(F.get("begins", i + 1), F.size("tags")) - b).alias("own"),
+            F.try_element_at(F.filter("named", lambda t: t["k"] < b), F.lit(-1))["value"].alias("section"),
+        ),
+    )
+    # an outer explode, as the plain one would have the array made once more to see whether it is empty
+    each = marked.select("package_id", "path", F.explode_outer(cut).alias("e")).filter("e is not null").select("package_id", "path", "e.*")
+    first = lambda code: F.get(F.filter("own", lambda t: t["code"] == code), 0)["value"]
+    held = F.transform(F.filter("own", lambda t: _is_numeric(t["code"])), lambda t: F.struct(t["code"].alias("code"), t["value"].try_cast("double").alias("number")))
+    listed = each.select("package_id", "path", "nth", F.col("own")[0]["value"].alias("type"), "section", first(5).alias("handle"), first(8).alias("layer"), first(2).alias("block"), held.alias("held"))
+    return _with_series(listed)
+
+
 def dxf_unit(code: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in DXF_UNITS.items() for x in pair]), code)
 
