@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.test_geometry_files import drawing
 from trussline.operators import subdivision
@@ -94,3 +95,12 @@ def test_multilines_of_a_drawing(spark):
     got = {r.element: r for r in dxf_geometry.multilines(e).collect()}
     assert set(got) == {0, 1} and got[0].closed and got[0].style == "STD"
     assert got[0].points == [[0, 0.5, 1], [4, 1, 1]] and got[1].points == [[0, 0, 1], [4, -2, 1]]
+
+
+def test_meshes_are_never_sent_through_the_driver(spark):
+    """Meshes of much alike numbers are small as files; their joins merge all the same."""
+    vertices = spark.range(8).select(F.lit("p").alias("k"), F.col("id").cast("int").alias("vertex"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
+    faces = spark.range(2).select(F.lit("p").alias("k"), F.col("id").cast("int").alias("face"), F.array(*map(F.lit, (0, 1, 2, 3))).alias("corners"))
+    for rows in subdivision.subdivide(vertices, faces, ["k"]):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

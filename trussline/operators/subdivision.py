@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trussline.storage import joined
+
 AXES = ("x", "y", "z")
 #: Faces of a refined mesh, at most.
 FACES = 5_000_000
@@ -32,13 +34,13 @@ def subdivide(vertices: DataFrame, faces: DataFrame, keys: Sequence[str]) -> tup
     n = F.size("corners")
     turns = F.transform("corners", lambda v, k: F.struct(k.alias("corner"), v.alias("vertex"), F.get("corners", (k + 1) % n).alias("after"), F.get("corners", (k + n - 1) % n).alias("before")))
     corners = faces.select(*keys, "face", F.explode(turns).alias("c")).select(*keys, "face", "c.*")
-    placed = corners.join(vertices, [*keys, "vertex"])
+    placed = joined(corners, vertices, [*keys, "vertex"])
     face_points = placed.groupBy(*keys, "face").agg(*[F.avg(c).alias(f"f{c}") for c in AXES])
-    at_faces = corners.join(face_points, [*keys, "face"])
+    at_faces = joined(corners, face_points, [*keys, "face"])
 
     ends = at_faces.withColumns({"low": F.least("vertex", "after"), "high": F.greatest("vertex", "after")})
     edges = ends.groupBy(*keys, "low", "high").agg(F.count("*").alias("n_faces"), *[F.sum(f"f{c}").alias(f"f{c}") for c in AXES])
-    edges = edges.join(_named("a", vertices).withColumnRenamed("vertex", "low"), [*keys, "low"]).join(_named("b", vertices).withColumnRenamed("vertex", "high"), [*keys, "high"])
+    edges = joined(joined(edges, _named("a", vertices).withColumnRenamed("vertex", "low"), [*keys, "low"]), _named("b", vertices).withColumnRenamed("vertex", "high"), [*keys, "high"])
     edges = edges.withColumn("crease", F.col("n_faces") != 2).withColumn("edge", _rank(keys, "low", "high"))
     middle = {c: (F.col(f"a{c}") + F.col(f"b{c}")) / 2 for c in AXES}
     edges = edges.select(*keys, "low", "high", "edge", "crease", *[middle[c].alias(f"m{c}") for c in AXES], *[F.when(F.col("crease"), middle[c]).otherwise((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"f{c}")) / 4).alias(c) for c in AXES])
@@ -48,23 +50,23 @@ def subdivide(vertices: DataFrame, faces: DataFrame, keys: Sequence[str]) -> tup
     by_edges = both.groupBy(*keys, "vertex").agg(
         F.count("*").alias("valence"), F.count_if("crease").alias("creases"), *[F.avg(f"m{c}").alias(f"r{c}") for c in AXES], *[F.sum(F.when(F.col("crease"), F.col(f"m{c}"))).alias(f"k{c}") for c in AXES]
     )
-    near = vertices.join(by_faces, [*keys, "vertex"], "left").join(by_edges, [*keys, "vertex"], "left")
+    near = joined(joined(vertices, by_faces, [*keys, "vertex"], "left"), by_edges, [*keys, "vertex"], "left")
     moved = {
         c: F.when(F.col("creases") == 0, (F.col(f"q{c}") + 2 * F.col(f"r{c}") + (F.col("valence") - 3) * F.col(c)) / F.col("valence")).when(F.col("creases") == 2, F.col(f"k{c}") / 4 + F.col(c) / 2).otherwise(F.col(c))
         for c in AXES
     }
     number = lambda c: F.col(c).cast("int").alias("vertex")
     olds = near.select(*keys, number("vertex"), *[moved[c].alias(c) for c in AXES])
-    edges = edges.join(sizes, keys).withColumn("vertex", F.col("n_vertices") + F.col("edge"))
+    edges = joined(edges, sizes, keys).withColumn("vertex", F.col("n_vertices") + F.col("edge"))
     counts = edges.groupBy(*keys).agg(F.count("*").alias("n_edges"))
-    middles = face_points.withColumn("place", _rank(keys, "face")).join(sizes, keys).join(counts, keys).withColumn("vertex", F.col("n_vertices") + F.col("n_edges") + F.col("place"))
+    middles = joined(joined(face_points.withColumn("place", _rank(keys, "face")), sizes, keys), counts, keys).withColumn("vertex", F.col("n_vertices") + F.col("n_edges") + F.col("place"))
     points = olds.union(edges.select(*keys, number("vertex"), *AXES)).union(middles.select(*keys, number("vertex"), *[F.col(f"f{c}").alias(c) for c in AXES]))
 
     on = lambda name: edges.select(*keys, F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"), F.col("vertex").alias(name))
     quads = corners.withColumns({"low_next": F.least("vertex", "after"), "high_next": F.greatest("vertex", "after"), "low_last": F.least("vertex", "before"), "high_last": F.greatest("vertex", "before")})
     for name in ("next", "last"):
-        quads = quads.join(on(name), [*keys, f"low_{name}", f"high_{name}"])
-    quads = quads.join(middles.select(*keys, "face", F.col("vertex").alias("middle")), [*keys, "face"])
+        quads = joined(quads, on(name), [*keys, f"low_{name}", f"high_{name}"])
+    quads = joined(quads, middles.select(*keys, "face", F.col("vertex").alias("middle")), [*keys, "face"])
     shape = F.array(*[F.col(c).cast("int") for c in ("vertex", "next", "middle", "last")])
     return points, quads.select(*keys, _rank(keys, "face", "corner").alias("face"), shape.alias("corners"))
 
