@@ -115,3 +115,20 @@ def test_drawing_planes_deal_out_files_only(spark, sf):
 
     plan = catalog.drawing_planes(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_plain_statements_read_as_all_others():
+    text = "#1=A(1,(2,3),$);#2 = B ( ) ;#3=C('x;(',#1);/* c */#4=D((1.,2.),((3.)));#5=E(A(1));"
+    found = [s for s, _ in scanners.step_statements(text)]
+    assert found == ["#1=A(1,(2,3),$);", "#2 = B ( ) ;", "#3=C('x;(',#1);", "/* c */#4=D((1.,2.),((3.)));", "#5=E(A(1));"]
+    assert [scanners.step_arguments(s) for s in found] == [["1", "(2,3)", "$"], [], ["'x;('", "#1"], ["(1.,2.)", "((3.))"], ["A(1)"]]
+    for bad in ("#1=A(1;", "#1=A(1));", "#1=A(1);x"):
+        with pytest.raises(ValueError):
+            list(scanners.step_statements(bad))
+
+
+def test_the_scan_tells_references_that_lack_their_instance(spark):
+    rows = scanners.step_instances(files(spark, good=STEP)).cache()
+    pairs = lambda found: sorted((r.id, r.ref) for r in found.collect())
+    assert pairs(scanners.dangling_instances(rows)) == pairs(scanners.dangling_instances(rows.drop("lacking"))) == [(6, 7)]
+    assert "Join" not in scanners.dangling_instances(rows)._jdf.queryExecution().executedPlan().toString()

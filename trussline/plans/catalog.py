@@ -940,7 +940,7 @@ def step_scan(spark, d):
 UNION ALL SELECT o_orderkey, 'dangling', '3', (o_orderkey % 5 + 1)::VARCHAR FROM orders WHERE o_orderkey % 5 > 2""")
 def model_scan(spark, d):
     """Properties, relations and dangling references of the models of all orders."""
-    found = _step(spark, d)
+    found = stored(_step(spark, d).select("package_id", "path", "id", "original_class", "refs", "args", "lacking"), "models")
     row = lambda rows, kind, name, value: rows.select(F.col("package_id").cast("long").alias("package_id"), F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
     relations = ifc_model.ifc_relations(found)
     return row(ifc_model.ifc_properties(found), "property", "name", "value").union(row(relations, "aggregation", "id", "ref")).union(row(scanners.dangling_instances(found), "dangling", "id", "ref"))

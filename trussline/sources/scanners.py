@@ -44,6 +44,9 @@ def register_opaque(files: DataFrame, policy: str = "external") -> DataFrame:
 
 
 _STEP_TOKEN = re.compile(r"'(?:[^']|'')*'|/\*.*?\*/|[();]|[^'/();]+|/", re.DOTALL)
+#: A statement, or a list of arguments, without strings, comments or deep brackets; it needs no look at its parts.
+_PLAIN_STATEMENT = re.compile(r"[^'/();]*\((?:[^'/();]+|\([^'/();]*\))*\)[^'/();]*;")
+_PLAIN_ARGUMENTS = re.compile(r"[^'/();]*\(([^'/()]*)\)")
 _SIMPLE = re.compile(r"#([1-9][0-9]*)\s*=\s*([A-Z][A-Z0-9_]*)\s*\((.*)\)\s*;", re.DOTALL)
 _COMPLEX = re.compile(r"#([1-9][0-9]*)\s*=\s*\((.*)\)\s*;", re.DOTALL)
 
@@ -53,7 +56,11 @@ def step_statements(text: str, max_depth: int = 64) -> Iterator[tuple[str, str]]
     raw: list[str] = []
     bare: list[str] = []
     depth = at = 0
-    for m in _STEP_TOKEN.finditer(text):
+    if max_depth >= 2:
+        while m := _PLAIN_STATEMENT.match(text, at):
+            at = m.end()
+            yield (plain := m[0].strip()), plain
+    for m in _STEP_TOKEN.finditer(text, at):
         if m.start() != at:
             break
         token, at = m[0], m.end()
@@ -71,6 +78,8 @@ def step_statements(text: str, max_depth: int = 64) -> Iterator[tuple[str, str]]
 
 def step_arguments(raw: str) -> list[str]:
     """The arguments between the outer brackets of a statement or list, as written; comments go, strings stay whole."""
+    if m := _PLAIN_ARGUMENTS.match(raw):
+        return [x.strip() for x in m[1].split(",")] if m[1].strip() else []
     out: list[list[str]] = [[]]
     depth = 0
     for m in _STEP_TOKEN.finditer(raw):
@@ -94,7 +103,8 @@ def step_arguments(raw: str) -> list[str]:
     return found if found != [""] else []
 
 
-def _scan_step(text: str) -> list[tuple[int, str, str, list[int], list[str] | None]]:
+def scan_step(text: str) -> list[tuple[int, str, str, list[int], list[str] | None]]:
+    """(id, class, statement, references, arguments) of the instances of a file; ValueError if it doesn't parse."""
     head, data = text.find("HEADER;"), text.find("DATA;")
     end = text.find("ENDSEC;", data)
     if not text.lstrip().startswith("ISO-10303-21;") or head < 0 or data < head or end < 0 or "END-ISO-10303-21;" not in text:
@@ -112,34 +122,37 @@ def _scan_step(text: str) -> list[tuple[int, str, str, list[int], list[str] | No
     return found
 
 
-_STEP_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string()]
+_STEP_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.string()]
 #: Instances that are handed over at once, about.
 STEP_ROWS = 8192
 
 
 def step_instances(files: DataFrame) -> DataFrame:
-    """(package_id, path, id, original_class, raw, refs, args, error) of STEP files; one that doesn't parse gives an error row.
+    """(package_id, path, id, original_class, raw, refs, args, lacking, error) of STEP files; one that doesn't parse gives an error row.
 
-    ``args`` are the arguments as written; complex instances have none of their own.
+    ``args`` are the arguments as written; complex instances have none of their own. ``lacking`` are the references that no
+    instance of the file has.
     """
 
-    names = ["package_id", "path", "id", "original_class", "raw", "refs", "args", "error"]
+    names = ["package_id", "path", "id", "original_class", "raw", "refs", "args", "lacking", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for package, path, content in zip(*(batch.column(c).to_pylist() for c in ("package_id", "path", "content"))):
                 try:
-                    rows += [(package, path, *row, None) for row in _scan_step(content.decode("latin-1"))]
+                    found = scan_step(content.decode("latin-1"))
+                    there = {row[0] for row in found}
+                    rows += [(package, path, *row, [r for r in row[3] if r not in there], None) for row in found]
                 except ValueError as problem:
-                    rows.append((package, path, None, None, None, None, None, str(problem)))
+                    rows.append((package, path, None, None, None, None, None, None, str(problem)))
                 if len(rows) >= STEP_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STEP_TYPES)], names)
                     rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STEP_TYPES)], names)
 
-    return files.select("package_id", "path", "content").mapInArrow(run, "package_id string, path string, id long, original_class string, raw string, refs array<long>, args array<string>, error string")
+    return files.select("package_id", "path", "content").mapInArrow(run, "package_id string, path string, id long, original_class string, raw string, refs array<long>, args array<string>, lacking array<long>, error string")
 
 
 def dangling_instances(instances: DataFrame) -> DataFrame:
