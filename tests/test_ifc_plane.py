@@ -70,3 +70,14 @@ def test_shared_parts_are_worked_out_once():
     rows += [(k, "IFCGEOMETRICCURVESET", [f"(#{k - 1},#{k - 1})"], [k - 1]) for k in range(4, 30)]
     got = ifc_plane.evaluate(rows)
     assert got[18][2] is None and len(got[18][1]) == 2**15 and got[29][2] == ifc_plane.TOO_MANY
+
+
+def test_geometry_of_files_equals_that_of_their_instances(spark):
+    from tests.test_scanners import files
+    from trussline.sources import scanners
+
+    text = "ISO-10303-21;HEADER;ENDSEC;DATA;" + BASE + "#10=IFCTEXTLITERAL('a, (b)',#4,.RIGHT.);#11=IFCPOLYLINE((#1,#77));#12=IFCWALL(#1);ENDSEC;END-ISO-10303-21;"
+    some = files(spark, a=text, b=text.replace("2.", "3."), bad=text.replace("#3=", "#2="), empty="ISO-10303-21;HEADER;ENDSEC;DATA;#1=IFCWALL('x');ENDSEC;END-ISO-10303-21;")
+    rows = lambda found: sorted(map(repr, found.collect()))
+    got = rows(ifc_plane.file_geometry(some))
+    assert len(got) == 10 and got == rows(ifc_plane.plane_geometry(scanners.step_instances(some)))

@@ -1033,7 +1033,7 @@ def model_plane_geometry(spark, d):
     marks = ["ISO-10303-21;HEADER;ENDSEC;DATA;#1=IFCCARTESIANPOINT((1.,2.));#2=IFCAXIS2PLACEMENT2D(#1,$);#3=IFCCIRCLE(#2,", size, ".);#4=IFCTRIMMEDCURVE(#3,(IFCPARAMETERVALUE(0.)),(IFCPARAMETERVALUE(1.5707963267948966)),.T.,.PARAMETER.);#5=IFCCARTESIANPOINT((0.,0.));"]
     marks += ["#6=IFCPOLYLINE((#5,#1));#7=IFCSHAPEREPRESENTATION(#99,'Plan','Curve2D',(#6));#8=IFCREPRESENTATIONMAP(#2,#7);#9=IFCDIRECTION((0.,1.));#10=IFCCARTESIANPOINT((", size, ".,0.));#11=IFCCARTESIANTRANSFORMATIONOPERATOR2D(#9,$,#10,2.);#12=IFCMAPPEDITEM(#8,#11);ENDSEC;END-ISO-10303-21;"]
     text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks])
-    found = ifc_plane.plane_geometry(scanners.step_instances(_file(table(spark, d, "part"), "p_partkey", text))).filter("kind in ('trimmed_curve', 'mapped_item')")
+    found = ifc_plane.file_geometry(_file(table(spark, d, "part"), "p_partkey", text)).filter("kind in ('trimmed_curve', 'mapped_item')")
     points = found.select(F.col("package_id").cast("long").alias("part"), "kind", F.posexplode(F.flatten("paths")).alias("k", "p"))
     return points.select("part", "kind", F.col("k").cast("long").alias("k"), *[(F.round(F.col("p")[k], 6) + 0.0).alias(c) for k, c in enumerate("xy")])
 
