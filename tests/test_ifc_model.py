@@ -66,3 +66,8 @@ def test_elements_inherit_from_their_type(spark):
     assert got[1, "IFCWALL", "S", "P"] == (["own"], "occurrence")
     assert got[1, "IFCWALL", "S", "C.P"] == (["type"], "type") and got[2, "IFCDOOR", "S", "P"] == (["own"], "occurrence") and got[2, "IFCDOOR", "Q", "A"] == (["2."], "occurrence")
     assert not any(k[0] == 2 and k[3].startswith("C.") for k in got)
+
+
+def test_models_are_never_sent_through_the_driver(spark):
+    plan = ifc_model.element_properties(model(spark, "#1=IFCWALL('g');"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

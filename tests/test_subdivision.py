@@ -99,8 +99,8 @@ def test_multilines_of_a_drawing(spark):
 
 def test_meshes_are_never_sent_through_the_driver(spark):
     """Meshes of much alike numbers are small as files; their joins merge all the same."""
-    vertices = spark.range(8).select(F.lit("p").alias("k"), F.col("id").cast("int").alias("vertex"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
-    faces = spark.range(2).select(F.lit("p").alias("k"), F.col("id").cast("int").alias("face"), F.array(*map(F.lit, (0, 1, 2, 3))).alias("corners"))
+    vertices = spark.range(8).select((F.col("id") / 100).cast("int").alias("k"), F.col("id").cast("int").alias("vertex"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
+    faces = spark.range(2).select((F.col("id") / 100).cast("int").alias("k"), F.col("id").cast("int").alias("face"), F.array(*map(F.lit, (0, 1, 2, 3))).alias("corners"))
     for rows in subdivision.subdivide(vertices, faces, ["k"]):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan

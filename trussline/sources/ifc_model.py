@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trussline.storage import joined
+
 KEYS = ["package_id", "path"]
 
 # Relation classes and the neutral relation that each stands for.
@@ -147,7 +149,7 @@ def property_sets(instances: DataFrame) -> DataFrame:
     complexes = instances.filter(kind == "IFCCOMPLEXPROPERTY").select(*KEYS, F.col("id").alias("property"), string_value(argument(0)).alias("above"), references(argument(3)).alias("below"))
     out = now
     for _ in range(COMPLEX_DEPTH):
-        inner = now.join(complexes, [*KEYS, "property"])
+        inner = joined(now, complexes, [*KEYS, "property"])
         now = inner.select(*KEYS, "set", "set_name", F.concat("prefix", "above", F.lit(".")).alias("prefix"), F.explode("below").alias("property"))
         out = out.union(now)
     return out
@@ -161,15 +163,16 @@ def element_properties(instances: DataFrame) -> DataFrame:
     """
     ends = relation_ends(instances.filter(F.col("original_class").isin("IFCRELDEFINESBYPROPERTIES", "IFCRELDEFINESBYTYPE")))
     side = lambda name, role, new: ends.filter(F.col("original_class") == name).filter(F.col("role") == role).select(*KEYS, "id", F.col("ref").alias(new))
-    own = side("IFCRELDEFINESBYPROPERTIES", "RelatedObjects", "element").join(side("IFCRELDEFINESBYPROPERTIES", "RelatingPropertyDefinition", "set"), [*KEYS, "id"])
-    types = side("IFCRELDEFINESBYTYPE", "RelatedObjects", "element").join(side("IFCRELDEFINESBYTYPE", "RelatingType", "type"), [*KEYS, "id"])
+    own = side("IFCRELDEFINESBYPROPERTIES", "RelatedObjects", "element")
+    own = joined(own, side("IFCRELDEFINESBYPROPERTIES", "RelatingPropertyDefinition", "set"), [*KEYS, "id"])
+    types = joined(side("IFCRELDEFINESBYTYPE", "RelatedObjects", "element"), side("IFCRELDEFINESBYTYPE", "RelatingType", "type"), [*KEYS, "id"])
     of_type = instances.filter(F.col("original_class").rlike("^IFC[A-Z0-9]*(TYPE|STYLE)$")).select(*KEYS, F.col("id").alias("type"), F.explode(references(argument(5))).alias("set"))
-    inherited = types.join(of_type, [*KEYS, "type"])
+    inherited = joined(types, of_type, [*KEYS, "type"])
     given = own.select(*KEYS, "element", "set", F.lit(0).alias("rank")).union(inherited.select(*KEYS, "element", "set", F.lit(1).alias("rank"))).distinct()
     named = properties(instances).select(*KEYS, F.col("id").alias("property"), "name", "measure", "values", "unit")
-    filled = property_sets(instances).join(named, [*KEYS, "property"]).withColumn("name", F.concat("prefix", "name"))
+    filled = joined(property_sets(instances), named, [*KEYS, "property"]).withColumn("name", F.concat("prefix", "name"))
     classes = instances.select(*KEYS, F.col("id").alias("element"), F.col("original_class").alias("element_class"))
-    rows = given.join(filled, [*KEYS, "set"]).join(classes, [*KEYS, "element"])
+    rows = joined(joined(given, filled, [*KEYS, "set"]), classes, [*KEYS, "element"])
     first = F.row_number().over(Window.partitionBy(*KEYS, "element", "set_name", "name").orderBy("rank", "set", "property"))
     kept = rows.withColumn("first", first).filter("first = 1")
     return kept.select(*KEYS, "element", "element_class", "set_name", "name", "measure", "values", "unit", F.when(F.col("rank") == 0, "occurrence").otherwise("type").alias("origin"))
