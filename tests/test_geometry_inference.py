@@ -126,6 +126,21 @@ def test_large_boxes_are_filed_under_few_cells(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_flat_boxes_are_dealt_out_and_met_by_few_others(spark):
+    from trussline.operators import graph
+
+    boxes = [(k, float(k % 7), float(k), float(k % 7 + 500), float(k + 1)) for k in range(2000)]
+    boxes += [(k + 5000, float(k % 7 + 20), float(k), float(k % 7 + 30), float(k + 1)) for k in range(0, 2000, 9)]
+    table = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double")
+    on = ["lx", "ly", "cx", "cy"]
+    outer, inner = graph.filed_boxes(table, 16.0)
+    assert outer.join(inner, on).count() < 20 * len(boxes)
+    found = graph.contained_boxes(table, 16.0)
+    assert {(r.outer, r.inner) for r in found.collect()} == {(k, k + 5000) for k in range(0, 2000, 9)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_rasters_that_cannot_be_read_give_an_error(spark):
     from trussline.operators import inference
 
