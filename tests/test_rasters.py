@@ -154,3 +154,15 @@ def test_headers(spark):
     rows = scanners.raster_headers(files(spark, a=b"P4 3 2\nab", b=b"P5 0 5 255\n", c=b"P5 1 1 70000\n", d=b"P1\n# c\n9 8 0", e=GOOD, f=b"P5 2 2 65535\n"))
     got = {r.path: (r.format, r.width, r.height, r.depth, r.error) for r in rows.collect()}
     assert got == {"a": ("PBM", 3, 2, 1, None), "b": ("PGM", 0, 5, 8, "IMAGE_EMPTY"), "c": ("PGM", 1, 1, 16, "IMAGE_HEADER_INVALID"), "d": ("PBM", 9, 8, 1, None), "e": ("PNG", 5, 3, 8, None), "f": ("PGM", 2, 2, 16, None)}
+
+
+def test_many_rasters_are_joined_at_once(spark):
+    rng = np.random.default_rng(6)
+    pictures = {f"n{k}": rng.random(tuple(rng.integers(1, 12, 2))) < 0.6 for k in range(200)}
+    data = {k: b"P4 %d %d\n" % v.shape[::-1] + np.packbits(v, axis=1).tobytes() for k, v in pictures.items()}
+    regions = rasters.raster_regions(rasters.dark_strips(files(spark, **data), rows=3))
+    got = Counter((r.path, r.left, r.top, r.width, r.height, r.pixels) for r in regions.collect())
+    assert got == Counter({(name, *region): n for name, picture in pictures.items() for region, n in flood(picture).items()})
+    # each raster once a Python call, and each strip cut twice, is what small files can't bear
+    plan = regions._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan and plan.split("Initial Plan")[0].count("Scan") == 1

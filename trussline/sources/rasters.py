@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 PIXELS, STRIP_ROWS, LIGHT = 100_000_000, 256, 33
 #: Bytes of strips that are handed over at once, about.
 BATCH_BYTES = 4 << 20
+#: Pixels that are worked on at once, unless one row or strip has more.
+AT_ONCE = 1 << 20
 # The parts of red, green and blue in a shade of grey, of 65536.
 GREY = (19595, 38470, 7471)
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -161,7 +164,9 @@ def _pnm_rows(data: bytes) -> tuple[int, int, Iterator[np.ndarray]]:
             digits = digits[(digits == 48) | (digits == 49)]
             if len(digits) < width * height:
                 raise Unreadable("IMAGE_CUT_SHORT")
-            yield from ((1 - (digits[k * width : (k + 1) * width] - 48)) * np.uint8(255) for k in range(height))
+            step = max(1, AT_ONCE // width)
+            for k in range(0, height, step):
+                yield from (49 - digits[k * width : min(k + step, height) * width].reshape(-1, width)) * np.uint8(255)
         elif kind in (2, 3):
             values = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[: n * height], np.uint32)
             if len(values) < n * height:
@@ -215,13 +220,19 @@ def dark_strips(files: DataFrame, rows: int = STRIP_ROWS, light: int = LIGHT) ->
                 try:
                     width, height, lines = open_raster(content.as_py() or b"")
                     held: list[np.ndarray] = []
-                    first = 0
+                    packed: list[bytes] = []
+                    first = n = 0
                     for line in lines:
-                        held.append(np.packbits(line < light))
-                        if len(held) == rows or first + len(held) == height:
-                            out.append((*key, width, height, first, len(held), np.concatenate(held).tobytes(), None))
+                        held.append(line)
+                        n += 1
+                        full = n == rows or first + n == height
+                        if full or len(held) * width >= AT_ONCE:
+                            packed.append(np.packbits(np.stack(held) < light, axis=1).tobytes())
+                            held.clear()
+                        if full:
+                            out.append((*key, width, height, first, n, b"".join(packed), None))
                             size += len(out[-1][6]) + 256
-                            first, held = first + len(held), []
+                            first, n, packed = first + n, 0, []
                             if size > BATCH_BYTES:
                                 yield ready()
                 except (Unreadable, ValueError, OverflowError, struct.error, zlib.error) as problem:
@@ -247,13 +258,6 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def row_runs(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop) of the runs of a boolean strip, in order."""
-    edges = np.diff(np.pad(dark.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    rows, starts = np.nonzero(edges == 1)
-    return rows, starts, np.nonzero(edges == -1)[1]
-
-
 def touching(starts: np.ndarray, stops: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of runs of two rows that share a column."""
     first = np.searchsorted(high, starts, "right")
@@ -262,103 +266,143 @@ def touching(starts: np.ndarray, stops: np.ndarray, low: np.ndarray, high: np.nd
     return np.repeat(np.arange(len(starts)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def strip_regions(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop, region) of a strip's runs; a region is named by the number of its first run."""
-    rows, starts, stops = row_runs(dark)
-    borders = np.searchsorted(rows, np.arange(len(dark) + 1))
-    pairs = []
-    for r in range(len(dark) - 1):
-        a, b, c = borders[r : r + 3]
-        if a < b < c:
-            i, j = touching(starts[a:b], stops[a:b], starts[b:c], stops[b:c])
-            pairs.append((i + a, j + b))
-    none = np.zeros(0, np.int64)
-    return rows, starts, stops, _least_labels(len(rows), np.concatenate([none, *(p[0] for p in pairs)]), np.concatenate([none, *(p[1] for p in pairs)]))
-
-
-_PARTS = "package_id string, path string, first_row int, part long, pixels long, left int, top int, right int, bottom int, upper array<struct<start:int,stop:int>>, lower array<struct<start:int,stop:int>>"
+def strip_regions(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(strip, row, start, stop, region) of the runs of strips of one shape (strip, row, column), in order; a region is named by the number of its first run."""
+    edges = np.diff(np.pad(dark.astype(np.int8), ((0, 0), (0, 0), (1, 1))), axis=2)
+    strips, rows, starts = np.nonzero(edges == 1)
+    stops = np.nonzero(edges == -1)[2]
+    # rows one after the other on one line, with a gap between them
+    wide = dark.shape[2] + 1
+    at = (strips * dark.shape[1] + rows) * wide
+    above = np.flatnonzero(rows < dark.shape[1] - 1)
+    i, j = touching(at[above] + wide + starts[above], at[above] + wide + stops[above], at + starts, at + stops)
+    return strips, rows, starts, stops, _least_labels(len(strips), above[i], j)
+
+
+_RUN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+_PARTS = "package_id string, path string, first_row int, n_rows int, pixels long, left int, top int, right int, bottom int, upper array<struct<start:int,stop:int>>, lower array<struct<start:int,stop:int>>"
+
+
+def _bounds(place: np.ndarray, n: int, **ends: np.ndarray) -> list[pa.Array]:
+    """Sums of ``pixels`` and least ``left`` and ``top``, largest ``right`` and ``bottom`` by place."""
+    pixels = np.zeros(n, np.int64)
+    np.add.at(pixels, place, ends["pixels"])
+    out = [pa.array(pixels)]
+    for name, least in (("left", True), ("top", True), ("right", False), ("bottom", False)):
+        found = np.full(n, (1 << 31) - 1 if least else 0, np.int64)
+        (np.minimum if least else np.maximum).at(found, place, ends[name])
+        out.append(pa.array(found, pa.int32()))
+    return out
+
+
+def _stack_parts(batch: pa.RecordBatch, which: np.ndarray, n_rows: int, width: int) -> pa.RecordBatch:
+    """Regions of the rows ``which`` of a batch, all strips of one shape."""
+    packed = np.frombuffer(b"".join(batch.column("dark").take(pa.array(which)).to_pylist()), np.uint8).reshape(len(which), n_rows, -1)
+    strips, rows, starts, stops, region = strip_regions(np.unpackbits(packed, axis=2)[:, :, :width])
+    names, place = np.unique(region, return_inverse=True)
+    first, height = (batch.column(c).to_numpy()[which] for c in ("first_row", "height"))
+    shift = first[strips]
+    ends = _bounds(place, len(names), pixels=stops - starts, left=starts, top=rows + shift, right=stops, bottom=rows + shift + 1)
+    borders = []
+    for meets in ((rows == 0) & (shift > 0), (rows == n_rows - 1) & (shift + n_rows < height[strips])):
+        own = np.flatnonzero(meets)
+        own = own[np.argsort(place[own], kind="stable")]
+        offsets = np.append(0, np.cumsum(np.bincount(place[own], minlength=len(names))))
+        runs = pa.StructArray.from_arrays([pa.array(starts[own], pa.int32()), pa.array(stops[own], pa.int32())], fields=list(_RUN))
+        borders.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs))
+    where = pa.array(which[strips[names]])
+    columns = [batch.column(c).take(where) for c in ("package_id", "path", "first_row", "n_rows")]
+    return pa.RecordBatch.from_arrays([*columns, *ends, *borders], ["package_id", "path", "first_row", "n_rows", "pixels", "left", "top", "right", "bottom", "upper", "lower"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of each strip; ``upper`` and ``lower`` are their runs in its first and last row, where neighbours meet them."""
+    """Regions of each strip; ``upper`` and ``lower`` are their runs where the strips above and below meet them."""
+    for batch in batches:
+        shapes = np.stack([batch.column(c).to_numpy() for c in ("n_rows", "width")], axis=1)
+        kinds, kind = np.unique(shapes, axis=0, return_inverse=True)
+        for k, (n_rows, width) in enumerate(kinds.tolist()):
+            own = np.flatnonzero(kind.ravel() == k)
+            step = max(1, AT_ONCE // (n_rows * width))
+            for low in range(0, len(own), step):
+                yield _stack_parts(batch, own[low : low + step], n_rows, width)
+
+
+_REGIONS = "package_id string, path string, left int, top int, width int, height int, pixels long"
+
+
+def _regions(parts: pa.Table, place: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Regions of parts; ``place`` numbers the region of each, ``first`` is a part of each."""
+    ends = {c: parts.column(c).to_numpy() for c in ("pixels", "left", "top", "right", "bottom")}
+    pixels, left, top, right, bottom = _bounds(place, len(first), **ends)
+    keys = [parts.column(c).combine_chunks().take(pa.array(first)) for c in ("package_id", "path")]
+    return pa.RecordBatch.from_arrays([*keys, left, top, pc.subtract(right, left), pc.subtract(bottom, top), pixels], ["package_id", "path", "left", "top", "width", "height", "pixels"])
+
+
+def _numbered(table: pa.Table, keys: tuple[str, ...] = ("package_id", "path")) -> np.ndarray:
+    """Numbers of the rasters of sorted rows, from 0."""
+    changed = np.zeros(table.num_rows, bool)
+    for c in keys:
+        code = table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        changed[1:] |= code[1:] != code[:-1]
+    return np.cumsum(changed)
+
+
+def _joined_parts(parts: pa.Table) -> pa.RecordBatch:
+    """Regions of the parts of whole rasters, joined where a lower border meets the upper one below."""
+    raster = _numbered(parts)
+    top = parts.column("first_row").to_numpy().astype(np.int64)
+    sides = []
+    for side, edge in (("lower", top + parts.column("n_rows").to_numpy()), ("upper", top)):
+        lists = parts.column(side).combine_chunks()
+        row = np.repeat(np.arange(parts.num_rows), lists.value_lengths().to_numpy())
+        runs = lists.flatten()
+        sides.append((row, raster[row], edge[row], *(runs.field(c).to_numpy().astype(np.int64) for c in ("start", "stop"))))
+    # borders one after the other on one line, with a gap between them
+    lines = np.concatenate([np.stack(side[1:3], axis=1) for side in sides])
+    wide = 1 + max((int(side[4].max()) for side in sides if len(side[4])), default=0)
+    at = np.unique(lines, axis=0, return_inverse=True)[1].ravel() * wide
+    (low_row, _, _, low_start, low_stop), (up_row, _, _, up_start, up_stop) = sides
+    low_at, up_at = at[: len(low_row)], at[len(low_row) :]
+    order = np.argsort(up_at + up_start)
+    i, j = touching(low_at + low_start, low_at + low_stop, (up_at + up_start)[order], (up_at + up_stop)[order])
+    first, place = np.unique(_least_labels(parts.num_rows, low_row[i], up_row[order][j]), return_inverse=True)
+    return _regions(parts, place, first)
+
+
+def _join_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions of parts that come raster by raster. Parts at no border leave at once; the others of a raster, whose runs are bounded by :data:`PIXELS`, are held to its end."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        made: list[pa.RecordBatch] = []
-        for row in batch.to_pylist():
-            packed = np.frombuffer(row["dark"], np.uint8).reshape(row["n_rows"], -1)
-            rows, starts, stops, region = strip_regions(np.unpackbits(packed, axis=1)[:, : row["width"]].astype(bool))
-            if not len(rows):
-                continue
-            names, place = np.unique(region, return_inverse=True)
-            ends = {"left": np.full(len(names), 1 << 30), "right": np.zeros(len(names), np.int64), "bottom": np.zeros(len(names), np.int64)}
-            np.minimum.at(ends["left"], place, starts)
-            np.maximum.at(ends["right"], place, stops)
-            np.maximum.at(ends["bottom"], place, rows + 1)
-            border: dict[str, list[list]] = {"upper": [[] for _ in names], "lower": [[] for _ in names]}
-            for side, edge in (("upper", 0), ("lower", row["n_rows"] - 1)):
-                for k in np.flatnonzero(rows == edge).tolist():
-                    border[side][place[k]].append({"start": int(starts[k]), "stop": int(stops[k])})
-            first = row["first_row"]
-            n = len(names)
-            run = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            columns = {
-                "package_id": pa.array([row["package_id"]] * n, pa.string()),
-                "path": pa.array([row["path"]] * n, pa.string()),
-                "first_row": pa.array([first] * n, pa.int32()),
-                "part": pa.array(names, pa.int64()),
-                "pixels": pa.array(np.bincount(place, stops - starts).astype(np.int64)),
-                "left": pa.array(ends["left"], pa.int32()),
-                "top": pa.array(rows[names] + first, pa.int32()),
-                "right": pa.array(ends["right"], pa.int32()),
-                "bottom": pa.array(ends["bottom"] + first, pa.int32()),
-                "upper": pa.array(border["upper"], run),
-                "lower": pa.array(border["lower"], run),
-            }
-            made.append(pa.RecordBatch.from_pydict(columns))
-        if made:
-            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
-
-
-_NAMES = "package_id string, path string, first_row int, part long, region long"
-
-
-def _join_borders(table: pa.Table) -> pa.Table:
-    """The region of each part that touches a border, of one raster; its border runs are bounded by :data:`PIXELS`."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["first_row"], r["part"]))
-    by_strip: dict[int, list[int]] = {}
-    for k, r in enumerate(rows):
-        by_strip.setdefault(r["first_row"], []).append(k)
-    order = sorted(by_strip)
-    pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step = {f: rows[by_strip[f][0]]["n_rows"] for f in order}
-    for f in order:
-        below = by_strip.get(f + step[f])
-        if not below:
+        parts = pa.Table.from_batches([batch])
+        reach = pc.or_(pc.greater(pc.list_value_length(parts.column("upper")), 0), pc.greater(pc.list_value_length(parts.column("lower")), 0))
+        alone = parts.filter(pc.invert(reach))
+        if alone.num_rows:
+            yield _regions(alone, np.arange(alone.num_rows), np.arange(alone.num_rows))
+        parts = parts.filter(reach)
+        if not parts.num_rows:
             continue
-        runs = []
-        for side, members in (("lower", by_strip[f]), ("upper", below)):
-            found = sorted((x["start"], x["stop"], k) for k in members for x in rows[k][side] or [])
-            runs.append(np.array(found, np.int64).reshape(-1, 3))
-        i, j = touching(runs[0][:, 0], runs[0][:, 1], runs[1][:, 0], runs[1][:, 1])
-        pairs_a.append(runs[0][i, 2])
-        pairs_b.append(runs[1][j, 2])
-    label = _least_labels(len(rows), np.concatenate(pairs_a), np.concatenate(pairs_b))
-    fields = [("package_id", pa.string()), ("path", pa.string()), ("first_row", pa.int32()), ("part", pa.int64())]
-    columns = [pa.array([r[c] for r in rows], t) for c, t in fields]
-    return pa.Table.from_arrays([*columns, pa.array(label, pa.int64())], [*(c for c, _ in fields), "region"])
+        ends = pa.concat_tables([*(pa.Table.from_batches([b]).slice(b.num_rows - 1) for b in held[-1:]), parts])
+        raster = _numbered(ends)[-parts.num_rows :]
+        open_from = int(np.searchsorted(raster, raster[-1]))
+        if raster[-1]:
+            done = pa.concat_tables([pa.Table.from_batches(held), parts.slice(0, open_from)]) if held else parts.slice(0, open_from)
+            yield _joined_parts(done)
+            held.clear()
+        held += parts.slice(open_from).combine_chunks().to_batches()
+    if held:
+        yield _joined_parts(pa.Table.from_batches(held))
 
 
 def raster_regions(strips: DataFrame) -> DataFrame:
     """(package_id, path, left, top, width, height, pixels) of the 4-connected dark regions of rasters of :func:`dark_strips`.
 
-    Runs of a strip are joined in its task; over borders, only parts that reach one are brought together, a raster at a time.
+    Runs of a strip are joined in its task, many strips at a time; over borders, only parts that reach one are brought
+    together, a raster in one run of a task and many rasters at a time.
     """
     keys = ["package_id", "path"]
-    good = strips.filter("error is null").repartition(*keys, "first_row")
-    parts = good.select(*keys, "width", "first_row", "n_rows", "dark").mapInArrow(_parts, _PARTS)
-    heights = strips.filter("error is null").select(*keys, "first_row", "n_rows")
-    edge = parts.filter("size(upper) > 0 or size(lower) > 0").join(heights, [*keys, "first_row"]).select(*keys, "first_row", "n_rows", "part", "upper", "lower")
-    names = edge.groupBy(*keys).applyInArrow(_join_borders, _NAMES)
-    named = parts.join(names, [*keys, "first_row", "part"], "left")
-    whole = F.when(F.col("region").isNotNull(), F.struct(F.lit(-1).alias("strip"), F.col("region").alias("n"))).otherwise(F.struct(F.col("first_row").alias("strip"), F.col("part").alias("n")))
-    joined = named.groupBy(*keys, whole.alias("whole")).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.sum("pixels").alias("pixels"))
-    return joined.select(*keys, "left", "top", (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"), "pixels")
+    dealt = int(strips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = strips.filter("error is null").repartition(dealt, *keys, "first_row")
+    parts = good.select(*keys, "width", "height", "first_row", "n_rows", "dark").mapInArrow(_parts, _PARTS)
+    alone = (F.size("upper") == 0) & (F.size("lower") == 0)
+    runs = parts.repartition(dealt, F.xxhash64(*keys, F.when(alone, F.col("first_row")))).sortWithinPartitions(*keys)
+    return runs.mapInArrow(_join_borders, _REGIONS)
