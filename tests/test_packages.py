@@ -160,3 +160,16 @@ def test_manifest_fields(spark):
     assert sorted(r.path for r in validate.check_manifests(base.withColumns(bad)).collect()) == sorted(f"manifest.json#/{f}" for f in bad)
     empty = {name: F.lit(None).cast(base.withColumns(good).schema[name].dataType) for name in good}
     assert validate.check_manifests(base.withColumns(empty)).count() == 5
+
+
+def test_record_lines_are_sorted_in_all_tasks_of_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from trussline.operators import validate
+
+    n = 4000
+    lines = spark.range(n).select((F.col("id") % 50).alias("package_id"), F.lit("records/entities.jsonl").alias("path"), F.col("id").alias("line"), F.format_string("entity-%d", F.col("id") % 1000).alias("record_id"), F.lit("entity").alias("record_type"), F.lit("{}").alias("json"))
+    found = validate.check_records(lines).filter("code = 'RECORD_ID_DUPLICATE'")
+    assert {(r.package_id, r.path) for r in found.collect()} == {(k % 50, f"records/entities.jsonl:{k}") for k in range(1000, n)}
+    # small as they are sent, so adaptive execution would join them into few tasks
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

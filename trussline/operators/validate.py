@@ -147,20 +147,26 @@ def check_records(records: DataFrame) -> DataFrame:
     """Lines (package_id, path, line, record_id, record_type, json) that are no JSON, of the wrong form, repeated or out of order.
 
     A repeat is any line but the first of its id in the order of the files. Order is told against the line before that
-    has an id, within a file.
+    has an id, within a file. Lines are sorted without their JSON, and dealt into as many tasks as the session shuffles
+    to: much alike lines are small as they are sent, and what their size joins into one task is many times larger once sorted there.
     """
     at = F.format_string("%s:%d", F.col("path"), F.col("line"))
     broken = F.try_parse_json(F.col("json")).isNull()
     named = ~broken & F.coalesce(F.length("record_id") > 0, F.lit(False))
     place = F.array_position(F.array(*map(F.lit, RECORD_FILES)), F.col("path"))
     nth = F.row_number().over(Window.partitionBy("package_id", "record_id").orderBy(~F.col("named"), place, "line"))
-    before = F.last(F.when(F.col("named"), F.col("record_id")), ignorenulls=True).over(Window.partitionBy("package_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    rows = records.withColumns({"broken": broken, "named": named}).withColumns({"nth": nth, "before": before})
+    before = F.last(F.when(F.col("named"), F.col("record_id")), ignorenulls=True).over(Window.partitionBy("deal", "package_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    typed = F.coalesce(F.col("record_type").isin(*RECORD_TYPES), F.lit(False))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = records.select("package_id", "path", "line", "record_id", broken.alias("broken"), named.alias("named"), typed.alias("typed"))
+    # dealt by a hash, as a constant path would be dropped from the window's keys, and these rows dealt once more
+    counted = slim.repartition(parts, "package_id", "record_id").withColumns({"nth": nth, "deal": F.xxhash64("package_id", "path")})
+    rows = counted.repartition(parts, "deal").withColumn("before", before)
     is_named, whole = F.col("named"), ~F.col("broken")
     rules = [
         (F.col("broken"), "JSONL_INVALID", at),
         (whole & ~is_named, "SCHEMA_INVALID", F.concat(at, F.lit("#/record_id"))),
-        (whole & ~F.coalesce(F.col("record_type").isin(*RECORD_TYPES), F.lit(False)), "SCHEMA_INVALID", F.concat(at, F.lit("#/record_type"))),
+        (whole & ~F.col("typed"), "SCHEMA_INVALID", F.concat(at, F.lit("#/record_type"))),
         (is_named & (F.col("nth") > 1), "RECORD_ID_DUPLICATE", at),
         (is_named & F.coalesce(F.col("record_id") < F.col("before"), F.lit(False)), "RECORD_ORDER_INVALID", at),
     ]
