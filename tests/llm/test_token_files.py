@@ -104,3 +104,12 @@ def test_files_of_lost_tasks_don_t_count(spark, tmp_path):
     token_files.write_token_files(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), str(target))
     (target / "left-behind.tok").write_bytes(b"TOKPFOR1 half a file")
     assert token_files.read_token_files(spark, str(target)).count() == 2
+
+
+def test_words_behind_a_space_are_kept_once():
+    from trussline.llm.byte_pieces import BYTE_BPE_PATH, BytePieces
+
+    pieces = BytePieces(BYTE_BPE_PATH, False, 1 << 10)
+    text = "one two, three (two) four\nfive six, two"
+    assert pieces.encode(text) == pieces.whole(text)
+    assert {"two", "two,", "three"} <= set(pieces.parts) and not {w for w in pieces.words if w[0] == " " and w[1:].isalpha()}

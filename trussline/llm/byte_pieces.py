@@ -18,11 +18,11 @@ import regex
 BYTE_BPE_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pre-token pattern that belongs to this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT = re.compile(r" (?<=\S )(?=\S)")
 #: Characters whose classes are the same in every version of Unicode that the libraries bring; other parts go to the library whole.
 SETTLED = re.compile(r"[\n -~\xa1-ӿ]*")
-#: Entries of a cache, characters of its longest key, and how many misses of a full cache show that the text has changed.
-CACHE_PARTS, CACHE_CHARS, STALE = 1 << 19, 48, 1 << 22
+#: Entries of the caches, characters of its longest key, and how many misses of a full cache show that the text has changed.
+CACHE_PARTS, CACHE_CHARS, STALE = 1 << 20, 48, 1 << 22
 
 
 def byte_characters() -> list[str]:
@@ -35,13 +35,13 @@ def byte_characters() -> list[str]:
 class Memory(dict):
     """Results of ``make`` by their argument, for short arguments. What comes first stays, as frequent parts come early; after ``STALE`` misses it starts anew."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.missed = make, 0
+        self.make, self.entries, self.missed = make, entries, 0
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < CACHE_PARTS:
+        if len(self) < self.entries:
             if len(key) <= CACHE_CHARS:
                 self[key] = value
         else:
@@ -55,7 +55,7 @@ class Memory(dict):
 class BytePieces:
     """Ids of texts as packed little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, plain_specials: bool):
+    def __init__(self, path: str, plain_specials: bool, entries: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -68,8 +68,9 @@ class BytePieces:
         self.pattern = regex.compile(PATTERN)
         self.letters = dict(enumerate(byte_characters()))
         self.model = self.tokenizer.model
-        self.words = Memory(self._word)
-        self.parts = Memory(self._part)
+        # words behind a space are parts, so they are kept once
+        self.words = Memory(self._word, entries // 8)
+        self.parts = Memory(self._part, entries - entries // 8)
 
     def _word(self, word: str) -> bytes:
         letters = word.replace(" ", self.letters[0x20]) if word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
@@ -83,11 +84,17 @@ class BytePieces:
         if not SETTLED.fullmatch(text) or self.has_special(text):
             return self.whole(text)
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return self.words[text]
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+            return self.parts[text[1:]] if text[0] == " " else self.words[text]
+        words = self.pattern.findall(text)
+        if len(words[0]) > 1 and words[0][0] == " " and words[0][1:].isalpha():
+            return self.parts[words[0][1:]] + b"".join(map(self.words.__getitem__, words[1:]))
+        return b"".join(map(self.words.__getitem__, words))
 
     def _part(self, part: str) -> bytes:
-        return self._ids(" " + part)
+        text = " " + part
+        if part.isalpha() and SETTLED.fullmatch(part) and not self.has_special(text):
+            return self._word(text)
+        return self._ids(text)
 
     def encode(self, text: str) -> bytes:
         first, *rest = CUT.split(text)
@@ -101,5 +108,5 @@ class BytePieces:
 
 
 @lru_cache(maxsize=2)
-def byte_pieces(path: str, plain_specials: bool = False) -> BytePieces:
-    return BytePieces(path, plain_specials)
+def byte_pieces(path: str, plain_specials: bool = False, entries: int = CACHE_PARTS) -> BytePieces:
+    return BytePieces(path, plain_specials, entries)

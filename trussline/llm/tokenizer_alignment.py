@@ -85,7 +85,7 @@ class Aligner:
     """Alignments of parts, kept by part: sizes, the written groups, and the links as pairs of ids."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = byte_pieces(a_path, True), PiecePieces(b_path)
+        self.a, self.b = byte_pieces(a_path, True, 1 << 19), PiecePieces(b_path)
         self.a_bytes = self.a.token_bytes()
         self.a_lengths = np.array(list(map(len, self.a_bytes)), np.int64)
         within, between = {}, {}
