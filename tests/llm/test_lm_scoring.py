@@ -251,3 +251,67 @@ def test_frequent_words(spark):
     for most, want in ((0, 0), (1, 1), (3, 3), (4, 4), (6, 4), (7, 7), (100, 9)):
         got = lm.frequent_words(counts, most, 64).collect()
         assert len(got) == want and (not got or min(r.c for r in got) >= max([5000, 3000, 1500, 900, 7, 7, 7, 1, 1, 0][want:]))
+
+
+def test_the_learner_takes_the_gradient_of_the_model(texts):
+    own = [t.encode()[:900] for _, t in texts[:12] if t]
+    scorer = lm.start(own, RANKS, SMALL)
+    learner, coded, model = lm.Learner(scorer.opened(lm.starting(RANKS))), code(own), scorer.model
+    learner.step = lambda: None
+    learner(coded, chunk=7)
+    grads = [np.zeros_like(g) for g in learner.grads[:2]]
+    for ids, rows, out in zip(learner.ids, learner.rows, grads):
+        np.add.at(out, ids[: learner.filled].ravel(), rows[: learner.filled].reshape(-1, rows.shape[-1]))
+    inputs, want, counts = (np.concatenate(x) for x in zip(*scorer.chunks(coded, 100)))
+    shape = (len(inputs), SMALL.stride)
+    _, grad = model.gradients(inputs, scorer.fold[want].reshape(shape), counts.reshape(shape))
+    got = np.concatenate([*grads, np.zeros((len(grads[0]), 0))], axis=1) / learner.waiting
+    want = np.concatenate([grad[n] for n in ("query", "own", "turn", "key", "value")], axis=1)
+    assert learner.waiting == len(coded.pieces) and np.allclose(got[:, :-1], want, atol=1e-6)
+    assert np.allclose(learner.grads[2] / learner.waiting, grad["gate"], atol=1e-5) and np.allclose(learner.grads[3] / learner.waiting, grad["near"], atol=1e-5)
+
+
+def test_sums_by(started):
+    r = np.random.default_rng(3)
+    ids, rows = np.minimum(r.zipf(1.4, 3000), 400), r.normal(size=(3000, 5)).astype(np.float32)
+    want = np.ones((500, 5))
+    np.add.at(want, ids, rows)
+    assert np.allclose(lm.sums_by(ids, rows, np.ones((500, 5))), want, atol=1e-4)
+
+
+def test_every_training_window_teaches_the_attention_tables(docs, texts):
+    """The start sees twenty texts; all others change the tables, too, and what they teach helps texts that nobody saw."""
+    s = dataclasses.replace(SMALL, start_texts=20, step_windows=64)
+    slim = docs(texts).select("doc_id", F.col("text").cast("binary").alias("text")).repartition(3)
+    held = ~lm.in_fold(F.col("doc_id"), 7, 2)
+    sample = lm.start_sample(slim, held, s.start_texts)
+    taught = [t.encode() for k, t in texts if t and zlib.crc32(str(k).encode()) % 7 != 2]
+    coded, fresh = code(taught, s), code([t.encode() for k, t in texts if t and zlib.crc32(str(k).encode()) % 7 == 2], s)
+    pieces, mass, shares, lesson = lm.expected_uses(lm._gathered(slim.filter(held), lm.start(sample, RANKS, s), RANKS, s), s.classes)
+    empty = sum(not t for k, t in texts if zlib.crc32(str(k).encode()) % 7 != 2)
+    assert lesson[1][lesson[0].argmax()] == len(coded.pieces) + empty  # targets behind the common tables: all of them
+    plain = lm.start(sample, RANKS, s).opened(lm.starting(RANKS))
+    before, after = np.zeros((len(plain.fold), s.classes)), np.zeros(s.classes)
+    plain.expect(coded, before, after)
+    before = (before * plain.table)[pieces]
+    plain = lm.settled(lm.start(sample, RANKS, s), pieces, before, after).opened(lm.starting(RANKS))
+    scorer = lm.settled(lm.start(sample, RANKS, s), pieces, mass, shares, lesson).opened(lm.starting(RANKS))
+    used = np.unique(np.concatenate([[lm.AT_END], scorer.fold[coded.pieces]]))
+    for n in ("query", "key", "value", "own", "turn"):
+        changed = np.flatnonzero((getattr(scorer.model, n) != getattr(plain.model, n)).any(axis=1))
+        assert len(np.setdiff1d(used, changed)) <= 1, n  # an end is no input but at the start
+    assert scorer.log10_probs(fresh)[0].sum() > plain.log10_probs(fresh)[0].sum()
+
+
+def test_tasks_are_averaged_by_the_targets_of_each_row():
+    s = lm.LmSettings(width=2, classes=3, window=6, stride=4)
+    model, zero = lm.AttentionModel(5, s), lm.AttentionModel(5, s)
+    rows = np.arange(5 * 4 * 3, dtype=float).reshape(-1, 3)  # 4 * 2 + 3 columns in 4 parts
+    places = np.array([4, 5, 6, 7, 20])
+    weights = np.array([2, 2, 2, 2, 10])
+    lm.taught(model, places, weights, np.concatenate([rows[4:8] * 2, [[10.0, 20, 30]]]))
+    row = rows[4:8].ravel()
+    for n, at in (("query", 0), ("own", 2), ("turn", 4), ("key", 7), ("value", 9)):
+        change = getattr(model, n) - getattr(zero, n)
+        assert np.allclose(change[1], row[at : at + change.shape[1]], atol=1e-5) and not change[[0, 2, 3, 4]].any()
+    assert np.allclose((model.gate - zero.gate).ravel(), [1, 2, 3, 0, 0, 0], atol=1e-6) and np.allclose(model.near, zero.near)
