@@ -135,6 +135,21 @@ def test_codes(texts):
     assert (coded.pieces == 50256).sum() == 4 and coded.hashes[1] == coded.hashes[5]
 
 
+@pytest.mark.parametrize("odd", [b"", b"\xff\xfe ok"])
+def test_new_words_are_encoded_together_once(odd):
+    """Each new word of a batch once, with the subword ids that it has alone, whatever stands in it."""
+    data = ["a\u00a0b \x85c \x1cd x\u3000y <|endoftext|> don't Don't \u00e9\u00c9 12,5 don't".encode(), odd, ("w" * 3000 + " \U0001f600").encode()]
+    coder, calls = lm.Coder(RANKS, SMALL, repr(odd), {}), []
+    encode = coder.encode
+    coder.encode = lambda words: calls.append(words) or encode(words)
+    coded, again = coder(data), coder(data[::-1])
+    words = [w for text in data for w in lm.words_of(text)]
+    assert calls == [list(dict.fromkeys(words))] and coder.known.words == calls[0]
+    single = lm.encoding(RANKS)._core_bpe.encode_single_piece
+    want = [[k for w in lm.words_of(text) for k in single(b" " + w)] + [coder.end] for text in data]
+    assert coded.pieces.tolist() == sum(want, []) and again.pieces.tolist() == sum(want[::-1], [])
+
+
 def test_a_small_lexicon_changes_nothing(docs, texts):
     rows = texts[:30] + [(9003, "NEW new É " * 50)]
     one, two = ({r.doc_id: r.score for r in lm.lm_report(docs(rows), dataclasses.replace(SMALL, lexicon_words=n, batch_bytes=4000)).collect()} for n in (100, 1 << 19))
