@@ -953,9 +953,9 @@ def model_properties(spark, d):
     marks += ["#4=IFCPROPERTYSINGLEVALUE('N','d, e',$,$);#5=IFCPROPERTYSET('p',#9,'Pset, a',$,(#3,#4));#6=IFCPROPERTYSET('q',#9,'Pset, a','x',(#7,#8,#12));#7=IFCPROPERTYSINGLEVALUE('Status',$,IFCLABEL('type'),$);#8=IFCPROPERTYENUMERATEDVALUE('Kinds',$,(IFCLABEL('a, b'),IFCLABEL('c')),$);"]
     marks += ["#9=IFCOWNERHISTORY($);#10=IFCRELDEFINESBYPROPERTIES('r',#9,$,$,(#1),#5);#11=IFCRELDEFINESBYTYPE('s',#9,$,$,(#1),#2);#12=IFCPROPERTYBOUNDEDVALUE('Load','(',IFCREAL(2.),$,$,IFCREAL(1.));ENDSEC;END-ISO-10303-21;"]
     text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in marks])
-    found = stored(scanners.step_instances(_file(table(spark, d, "orders"), "o_orderkey", text)), "models")
+    found = ifc_model.file_properties(_file(table(spark, d, "orders"), "o_orderkey", text))
     value = F.array_join("values", "|", "-")
-    return ifc_model.element_properties(found).select(F.col("package_id").cast("long").alias("package_id"), F.col("element").cast("int").alias("element"), "set_name", "name", "measure", value.alias("value"), "origin")
+    return found.select(F.col("package_id").cast("long").alias("package_id"), F.col("element").cast("int").alias("element"), "set_name", "name", "measure", value.alias("value"), "origin")
 
 
 @register("""SELECT s_suppkey AS package_id, s_nationkey AS x, t AS triangle, b, c FROM supplier, (VALUES (1, 1, 2), (2, 2, 3)) v(t, b, c)""")

@@ -44,9 +44,20 @@ def register_opaque(files: DataFrame, policy: str = "external") -> DataFrame:
 
 
 _STEP_TOKEN = re.compile(r"'(?:[^']|'')*'|/\*.*?\*/|[();]|[^'/();]+|/", re.DOTALL)
-#: A statement, or a list of arguments, without strings, comments or deep brackets; it needs no look at its parts.
-_PLAIN_STATEMENT = re.compile(r"[^'/();]*\((?:[^'/();]+|\([^'/();]*\))*\)[^'/();]*;")
-_PLAIN_ARGUMENTS = re.compile(r"[^'/();]*\(([^'/()]*)\)")
+_STEP_STRING = r"'(?:[^']++|'')*+'"
+
+
+def _bracketed(levels: int) -> str:
+    """A pattern of brackets of at most so many levels without comments; no part is tried in two ways, so a text takes no longer than its length."""
+    return rf"\((?:[^'/()]++|{_STEP_STRING}{'|' + _bracketed(levels - 1) if levels > 1 else ''})*+\)"
+
+
+#: A statement, or a list of arguments, without comments or deep brackets; it needs no look at its tokens.
+_PLAIN_STATEMENT = re.compile(rf"[^'/();]*+{_bracketed(3)}[^'/();]*+;")
+_PLAIN_ARGUMENTS = re.compile(r"[^'/();]*+\(([^'/()]*+)\)")
+_NESTED_ARGUMENTS = re.compile(rf"[^'/();]*+({_bracketed(3)})")
+_ARGUMENT = re.compile(rf"((?:[^'/(),]++|{_STEP_STRING}|{_bracketed(2)})*+),")
+_STRINGS = re.compile(_STEP_STRING)
 _SIMPLE = re.compile(r"#([1-9][0-9]*)\s*=\s*([A-Z][A-Z0-9_]*)\s*\((.*)\)\s*;", re.DOTALL)
 _COMPLEX = re.compile(r"#([1-9][0-9]*)\s*=\s*\((.*)\)\s*;", re.DOTALL)
 
@@ -56,12 +67,12 @@ def step_statements(text: str, max_depth: int = 64) -> Iterator[tuple[str, str]]
     raw: list[str] = []
     bare: list[str] = []
     depth = at = 0
-    if max_depth >= 2:
-        while m := _PLAIN_STATEMENT.match(text, at):
-            at = m.end()
-            yield (plain := m[0].strip()), plain
-    for m in _STEP_TOKEN.finditer(text, at):
-        if m.start() != at:
+    while at < len(text):
+        if max_depth >= 3 and not raw and (m := _PLAIN_STATEMENT.match(text, at)):
+            at, plain = m.end(), m[0].strip()
+            yield plain, _STRINGS.sub(" ", plain)
+            continue
+        if not (m := _STEP_TOKEN.match(text, at)):
             break
         token, at = m[0], m.end()
         raw.append(token)
@@ -80,6 +91,8 @@ def step_arguments(raw: str) -> list[str]:
     """The arguments between the outer brackets of a statement or list, as written; comments go, strings stay whole."""
     if m := _PLAIN_ARGUMENTS.match(raw):
         return [x.strip() for x in m[1].split(",")] if m[1].strip() else []
+    if m := _NESTED_ARGUMENTS.match(raw):
+        return [x.strip() for x in _ARGUMENT.findall(m[1][1:-1] + ",")]
     out: list[list[str]] = [[]]
     depth = 0
     for m in _STEP_TOKEN.finditer(raw):
